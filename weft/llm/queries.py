@@ -11,7 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.llm.decontaminate import DECONTAMINATE_SQL, find_contamination
+from weft.llm.embedding_dedup import near_vectors
 from weft.llm.jaccard_join import jaccard_components
+from weft.llm.mixing import MIX_SQL, mix
+from weft.llm.substring_dedup import REPEATS_SQL, repeated_units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +30,39 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of documents in any 10-word window of a benchmark item."""
+    found = find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    ids = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of vectors with cosine similarity of at least 0.95."""
+    found = near_vectors(table(spark, folder, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op5_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every occurrence but the first of a line of 50 or more words."""
+    found = repeated_units(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "unit", "start", "end", "n_words", F.col("kept_id").alias("kept_doc_id"), "kept_start")
+
+
 @query
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents with 5-word-shingle Jaccard similarity of at least 0.8."""
     return jaccard_components(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents mixed to the target weights of their sources, with a budget of all words."""
+    found = mix(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+ORACLES |= {"op3_decontaminate": DECONTAMINATE_SQL, "op5_repeated_lines": REPEATS_SQL, "op10_mix_sources": MIX_SQL}

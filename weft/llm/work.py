@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of text handed to a Python worker at once; with documents of a few kB this is a few MB.
@@ -65,3 +65,30 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def binary_column(col: pa.Array) -> pa.Array:
     """A string column as UTF-8 bytes without nulls (null: empty)."""
     return (col.fill_null("") if col.null_count else col).cast(pa.large_binary())
+
+
+def running_total(work: Work, df: DataFrame, order: list[str], value: str, out: str, parts: int | None = None) -> DataFrame:
+    """``df`` with ``out``, the running total of the long column ``value`` in the order of the columns ``order``.
+
+    Rows are range-sorted; each partition sums its own rows, then gets the total of the partitions before it.
+    So a source with any part of all rows is spread over tasks, and only one number for each partition is joined.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        from pyspark import TaskContext
+
+        total, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            own = np.cumsum(batch.column(value).to_numpy(zero_copy_only=False)) + total
+            total = int(own[-1]) if len(own) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64()), pa.array([part] * len(own), pa.int32())], [*batch.schema.names, out, "_part"])
+
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    own = work.keep(map_arrow(ranged, run, ", ".join([*names, f"{out} long", "_part int"])))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy("_part").agg(F.max(out).alias("_sum"))
+    sums = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    return own.join(F.broadcast(sums), "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
