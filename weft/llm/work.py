@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.session import ship_package
+
 #: Rows of text handed to a Python worker at once; with documents of a few kB this is a few MB.
 ROWS_PER_BATCH = 1000
 #: A join side of up to this many rows (of two longs or so) may be broadcast.
@@ -20,6 +22,7 @@ BROADCAST_ROWS = 500_000
 def session_of(df: DataFrame) -> SparkSession:
     """The session of ``df``, with Arrow batches small enough for whole texts."""
     spark = df.sparkSession
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     return spark
 
