@@ -145,8 +145,11 @@ def sizes_match(t: int) -> Column:
 
 
 def places_match(t: int) -> Column:
-    """Positional filter: elements up to a shared one, and those after it."""
-    return F.expr(f"(least(pos1, pos2) + 1 + least(n1 - pos1 - 1, n2 - pos2 - 1)) * {100 + t} >= (n1 + n2) * {t}")
+    """Positional filter: elements up to a shared one that are in any other prefix, and those after it.
+
+    Elements of either prefix up to a shared one would be in the other prefix if they were in the other set.
+    """
+    return F.expr(f"(least(rank1, rank2) + 1 + least(n1 - pos1 - 1, n2 - pos2 - 1)) * {100 + t} >= (n1 + n2) * {t}")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80) -> DataFrame:

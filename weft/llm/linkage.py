@@ -31,14 +31,16 @@ def shared_postings(postings: DataFrame) -> DataFrame:
 
 
 def with_hubs(shared: DataFrame, sent: Column) -> DataFrame:
-    """Adds cap, n less the elements that no other item has sent (of ``sent`` elements), and each list's hub.
+    """Adds cap, n less the elements that no other item has sent (of ``sent`` elements), rank, how many shared elements come before, and each list's hub.
 
     The hub is the item that shares the largest part of its postings, the smallest of these.  An original shares
     what its edited copies kept, each copy has elements of its own; so the original of a group, to which all
     copies are similar though not to each other, becomes the hub.
     """
-    stats = shared.groupBy("id").agg(F.countDistinct("key").alias("c"), F.max("n").alias("n")).withColumn("p", sent)
-    rows = shared.join(stats.select("id", (F.col("c") * 1000 / F.col("p")).cast("int").alias("share"), F.expr("n - p + c").alias("cap")), "id")
+    own = Window.partitionBy("id")
+    ranked = shared.withColumn("rank", F.dense_rank().over(own.orderBy("pos")) - 1)  # tasks may have sent copies of a posting
+    ranked = ranked.withColumn("c", F.max("rank").over(own) + 1).withColumn("p", sent)
+    rows = ranked.select("*", (F.col("c") * 1000 / F.col("p")).cast("int").alias("share"), F.expr("n - p + c").alias("cap")).drop("c", "p")
     hub = F.max(F.struct("share", (-F.col("id")).alias("neg"), "n", "cap", "last")).over(Window.partitionBy("key", "salt"))
     return rows.select("*", hub.alias("hub"))
 
@@ -53,7 +55,7 @@ def link_components(
     """(id, component) of items that have at least one verified link; component is the smallest id.
 
     ``texts(ids, n)`` returns (id, text) of the n ids; ``verify`` filters (a, text_a, b, text_b) to the linked pairs
-    (a, b); ``sent`` counts an item's postings; ``sizes`` is a necessary condition on n, cap and last of a pair and ``places`` one on pos1, pos2 too.
+    (a, b); ``sent`` counts an item's postings; ``sizes`` is a necessary condition on n, cap and last of a pair and ``places`` one on pos and rank too.
     """
     hubs = work.keep(with_hubs(work.keep(shared_postings(postings)), sent))
     # Hubs of the blocks of a frequent key are tied to the best of them in the same way.
@@ -64,12 +66,12 @@ def link_components(
     links = check(work, first.select(F.col("id").alias("a"), F.col("other").alias("b")), texts, verify)
     comps = work.keep(components(work, links))
 
-    known = work.keep(hubs.join(comps, "id", "left").select("key", "id", "n", "pos", "cap", "last", F.coalesce("component", "id").alias("comp")))
+    known = work.keep(hubs.join(comps, "id", "left").select("key", "id", "n", "pos", "rank", "cap", "last", F.coalesce("component", "id").alias("comp")))
     by_comp = known.groupBy("key", "comp").count()
     keys = by_comp.groupBy("key").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("count", "comp")).alias("major")).where("k > 1").select("key", "major")
     several = known.join(keys, "key")
-    a = several.where("comp != major").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "pos", "cap", "last", "comp")])
-    b = several.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "cap", "last", "comp", "major")])
+    a = several.where("comp != major").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "pos", "rank", "cap", "last", "comp")])
+    b = several.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "rank", "cap", "last", "comp", "major")])
     # Pairs of minor components meet twice; one of them is enough.
     rest = a.join(b, (a["key"] == b["key"]) & F.expr("comp1 != comp2 and (comp2 = major2 or id1 < id2)") & sizes & places)
     rest = rest.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
