@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import kernel as K
 from weft.llm.linkage import link_components
-from weft.llm.work import BROADCAST_ROWS, Work, binary_column, map_arrow, session_of
+from weft.llm.work import BROADCAST_ROWS, Work, binary_column, map_arrow, session_of, sum_counts
 
 #: Counters of the sketch; each task sends this many 32-bit numbers in SLICES pieces.
 SKETCH, SLICES = 1 << 20, 8
@@ -60,20 +60,10 @@ def _scan(k: int):
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the counters of one slice, which are alone in this group."""
-    total, at = np.zeros(SKETCH // SLICES, np.uint64), None
-    for batch in batches:
-        for s, c in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
-            at, total = s, total + np.frombuffer(c.as_buffer(), np.uint32)
-    if at is not None:
-        yield pa.record_batch({"slice": pa.array([at], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 def _sketch(parts: DataFrame) -> np.ndarray:
     out = np.zeros((SLICES, SKETCH // SLICES), np.uint64)
-    for s, c in parts.groupBy("slice").applyInArrow(lambda t: pa.Table.from_batches(_add(iter(t.to_batches()))), "slice int, counts binary").collect():
-        out[s] = np.frombuffer(c, np.uint64)
+    for k, c in sum_counts(parts, SLICES).items():
+        out[k] = c
     return np.minimum(out.reshape(-1), 0xFFFFFFFF).astype(np.uint32)
 
 
@@ -166,7 +156,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     scan = work.keep(map_arrow(docs, _scan(k), "id long, th long, n long, sid long, slice int, counts binary"))
     rows = scan.where("slice is null").select("id", "th", "n", F.expr("if(n > 0, sid, null)").alias("sid"))
-    sketch = spark.sparkContext.broadcast(_sketch(scan.where("slice is not null").select("slice", "counts")))
+    sketch = spark.sparkContext.broadcast(_sketch(scan.where("slice is not null")))
     classes = work.keep(rows.where("n > 0 and id is not null").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("rep")))
     postings = map_arrow(docs.where("id is not null"), _prefixes(k, threshold, sketch), "key long, salt long, id long, n long, last long, pos long")
 

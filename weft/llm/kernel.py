@@ -44,6 +44,9 @@ def _power(n: int, base: np.uint64) -> np.ndarray:
 #: Words are runs of bytes other than space and \t \n \v \f \r.
 SPACED = np.ones(256, bool)
 SPACED[[32, 9, 10, 11, 12, 13]] = False
+#: Words are runs of ASCII letters and digits and of bytes beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[48:58] = LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 
 
 def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,10 +58,11 @@ def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = SPACED, hashes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = SPACED, hashes: bool = True, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words in ``data``, their hashes (A-Z as a-z), and the index of each document's first word.
 
-    Words never span documents.  The last array has one entry for each document and the number of words.
+    Words never span documents.  With ``prefixes``, the hashes are a matrix: the word's, then those of its first so many
+    bytes, 0 where it isn't longer.  The last array has one entry for each document and the number of words.
     """
     starts, ends, hs = [], [], []
     at, n = 0, len(data)
@@ -87,13 +91,20 @@ def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = SPACED, hashe
             run = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(_VALUE[part] * _power(len(part), _P), out=run[1:])
             h = (run[e] - run[s]) * _power(len(part), _P_INV)[s]
-            hs.append(mix(h + (e - s).astype(np.uint64)))
+            h = mix(h + (e - s).astype(np.uint64))
+            if prefixes:
+                back, more = _power(len(part), _P_INV)[s], [h]
+                for k in prefixes:
+                    stop_at = np.minimum(s + k, e)
+                    more.append(np.where(e - s > k, mix((run[stop_at] - run[s]) * back + U(1000 + k)), U(0)))
+                h = np.stack(more, axis=1)
+            hs.append(h)
         starts.append(s + at)
         ends.append(e + at)
         at = cut
     starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     ends = np.concatenate(ends) if ends else np.zeros(0, np.int64)
-    h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
+    h = np.concatenate(hs) if hs else np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64)
     return starts, ends, h, np.searchsorted(starts, off, "left")
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,6 +71,21 @@ def binary_column(col: pa.Array) -> pa.Array:
     return (col.fill_null("") if col.null_count else col).cast(pa.large_binary())
 
 
+def sum_counts(parts: DataFrame, slices: int) -> dict[int, np.ndarray]:
+    """Sums of the ``counts`` (32-bit numbers) of each ``slice``; rows stream through their task one batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, c in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
+                own = np.frombuffer(c.as_buffer(), np.uint32)
+                total[s] = total[s] + own if s in total else own.astype(np.uint64)
+        yield pa.record_batch({"slice": pa.array(list(total), pa.int32()), "counts": pa.array([t.tobytes() for t in total.values()], pa.binary())})
+
+    rows = map_arrow(parts.select("slice", "counts").repartition(slices, "slice"), run, "slice int, counts binary").collect()
+    return {r.slice: np.frombuffer(r.counts, np.uint64) for r in rows}
+
+
 def running_total(work: Work, df: DataFrame, order: list[str], value: str, out: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``out``, the running total of the long column ``value`` in the order of the columns ``order``.
 
@@ -80,7 +96,6 @@ def running_total(work: Work, df: DataFrame, order: list[str], value: str, out:
     names = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         from pyspark import TaskContext
 
         total, part = 0, TaskContext.get().partitionId()
