@@ -49,8 +49,9 @@ def targets(work: Work, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, re
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) for every row of ``docs``; the budget is the total size.
+    """(uid, id, source, size, source_size, target, copies, taken) for every row of ``docs``; the budget is the total size.
 
+    ``uid`` is the row's number in the input.
     Size is the number of white-space-separated words (null text: 0).  Sources are ranked by code point, null last and a
     source like any other.  The order within a source is by md5 of the id (null: empty), then id, then size, so reruns
     agree and rows that repeat an id stand beside each other; each is mixed on its own.  Empty texts are never
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     lined = running_total(work, copies, ["finish", "rank", "cum", "pass"], "size", "total")
     taken = (F.col("total") <= F.lit(budget)).cast("long")
     out = lined.groupBy("uid").agg(*[F.first(c).alias(c) for c in ("id", "name", "size", "source_size", "target")], F.sum(taken).alias("copies"))
-    return out.select("id", F.col("name").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("uid", "id", F.col("name").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 MIX_SQL = """

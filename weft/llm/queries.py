@@ -18,6 +18,8 @@ from weft.llm.jaccard_join import jaccard_components
 from weft.llm.line_dedup import dedup_lines
 from weft.llm.lm_score import score_texts
 from weft.llm.mixing import MIX_SQL, mix
+from weft.llm.secret_findings import labelled_findings
+from weft.llm.secrets_scan import find_secrets
 from weft.llm.substring_dedup import REPEATS_SQL, repeated_units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +81,12 @@ def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates for secrets in documents and which of them are kept."""
+    return find_secrets(table(spark, folder, "documents"), labelled_findings()).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     """Log-probabilities of documents; a seventh of the ids is held out of training."""

@@ -57,9 +57,15 @@ class Work:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def semi_join(big: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame:
-    """Rows of ``big`` whose key is in ``small``; broadcast only where ``rows`` (its count) is in bounds."""
-    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, key, "left_semi")
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with ``__uid``, the row's number, as the operators give it."""
+    return df.select("*", F.monotonically_increasing_id().alias("__uid"))
+
+
+def without_rows(df: DataFrame, gone: DataFrame, rows: int) -> DataFrame:
+    """``df`` without the rows numbered in the one column of ``gone``; broadcast only where ``rows`` (its count) is in bounds."""
+    gone = gone.toDF("__uid")
+    return numbered(df).join(F.broadcast(gone) if rows <= BROADCAST_ROWS else gone, "__uid", "left_anti").drop("__uid")
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
