@@ -1,8 +1,9 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every document stands in its source's queue, in an order shuffled by a hash.  Its virtual finish time is the
-source's cumulative words up to it, in this and earlier passes of the queue, divided by the source's target.
-All copies are range-sorted by finish time and taken until the budget is used up.
+source's cumulative words up to its middle, in this and earlier passes of the queue, divided by the source's target.
+All copies are range-sorted by finish time and taken until the budget is used up.  As time runs to the middle of a
+document, a source ends within half a document of its target, be its last document long or short.
 """
 
 from __future__ import annotations
@@ -66,11 +67,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("shuffled", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
     queued = running_total(work, rows, ["rank", "shuffled", "id", "size"], "size", "cum").drop("shuffled")
     copies = queued.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    finish = (F.col("cum") - F.col("start") + F.col("pass") * F.col("source_size")).cast("double") / F.col("target")
+    finish = (2 * (F.col("cum") - F.col("start") + F.col("pass") * F.col("source_size")) - F.col("size")).cast("double") / (2 * F.col("target"))
     copies = copies.select("uid", "id", "name", "size", "source_size", "target", "rank", "cum", "pass", F.when(F.col("target") > 0, finish).otherwise(F.lit(float("inf"))).alias("finish"))
     budget = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     lined = running_total(work, copies, ["finish", "rank", "cum", "pass"], "size", "total")
-    taken = (F.col("total") <= F.lit(budget)).cast("long")
+    taken = (2 * F.col("total") - F.col("size") <= F.lit(2 * budget)).cast("long")
     out = lined.groupBy("uid").agg(*[F.first(c).alias(c) for c in ("id", "name", "size", "source_size", "target")], F.sum(taken).alias("copies"))
     return out.select("uid", "id", F.col("name").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -97,11 +98,11 @@ WITH d AS (
     row_number() OVER (ORDER BY d.doc_id) AS uid
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), f AS (
-  SELECT *, CAST(cum + pass * source_size AS DOUBLE) / target AS finish FROM q, (SELECT unnest([0, 1, 2]) AS pass)
+  SELECT *, CAST(2 * (cum + pass * source_size) - size AS DOUBLE) / (2 * target) AS finish FROM q, (SELECT unnest([0, 1, 2]) AS pass)
 ), r AS (
   SELECT *, sum(size) OVER (ORDER BY finish, rank, cum, pass ROWS UNBOUNDED PRECEDING) AS total FROM f
 )
 SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
-  CAST(any_value(size) * count(*) FILTER (WHERE total <= (SELECT max(budget) FROM w)) AS BIGINT) AS taken
+  CAST(any_value(size) * count(*) FILTER (WHERE 2 * total - size <= 2 * (SELECT max(budget) FROM w)) AS BIGINT) AS taken
 FROM r GROUP BY uid, doc_id
 """
