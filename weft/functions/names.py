@@ -4,6 +4,22 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def one_of(x: str, values) -> str:
+    return f"{x} IN ({', '.join(map(text, values))})"
+
+
+def case(x: str, table: dict[str, str], otherwise: str = "NULL") -> str:
+    return f"CASE {x} {' '.join(f'WHEN {text(k)} THEN {text(v)}' for k, v in table.items())} ELSE {otherwise} END"
+
+
 # Canonical names of the parts of a layer, by their names in checkpoints.
 PARTS = {
     "self_attn.q_proj": "attn_q",
@@ -60,39 +76,36 @@ ARCHS = {
 }
 
 
-def text(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
-def one_of(x: str, values) -> str:
-    return f"{x} IN ({', '.join(map(text, values))})"
+#: Steps to the canonical name, columns over (name, arch); each step refers to the one before.
+CANONICAL = [
+    {"bare": "regexp_replace(name, '^(model[.]language_model[.]|model[.]model[.]|model[.])', '')"},
+    {"tail": "regexp_extract(bare, '^layers[.][0-9]+[.](.*)$', 1)", "layer": "regexp_extract(bare, '^layers[.]([0-9]+)[.]', 1)"},
+    {"core": "regexp_replace(tail, '[.](weight|bias)$', '')", "suffix": "regexp_extract(tail, '([.](weight|bias))$', 1)"},
+    {"part": f"CASE WHEN core = 'post_attention_layernorm' THEN CASE WHEN {one_of('arch', POST_ATTENTION_ARCHS)} THEN 'post_attention_norm' ELSE 'ffn_norm' END ELSE {case('core', PARTS)} END"},
+    {"canonical": f"CASE WHEN name = 'lm_head.weight' THEN 'output.weight' WHEN {one_of('bare', TOP)} THEN {case('bare', TOP)} WHEN part IS NOT NULL THEN concat('blk.', CAST(CAST(layer AS BIGINT) AS VARCHAR(20)), '.', part, suffix) END"},
+]
+HELPERS = ("bare", "tail", "layer", "core", "suffix", "part")
 
 
-def case(x: str, table: dict[str, str], otherwise: str = "NULL") -> str:
-    return f"CASE {x} {' '.join(f'WHEN {text(k)} THEN {text(v)}' for k, v in table.items())} ELSE {otherwise} END"
+def canonical(tensors: DataFrame) -> DataFrame:
+    """Adds ``canonical``: null if the name has none (rotary caches and whatever isn't known)."""
+    for step in CANONICAL:
+        tensors = tensors.withColumns({k: F.expr(v) for k, v in step.items()})
+    return tensors.drop(*HELPERS)
 
 
-def canonical(name: str = "name", arch: str = "arch") -> str:
-    """The canonical name; null if the name has none (rotary caches and whatever isn't known)."""
-    bare = f"regexp_replace({name}, '^(model[.]language_model[.]|model[.]model[.]|model[.])', '')"
-    tail = f"regexp_extract({bare}, '^layers[.][0-9]+[.](.*)$', 1)"
-    core = f"regexp_replace({tail}, '[.](weight|bias)$', '')"
-    suffix = f"regexp_extract({tail}, '([.](weight|bias))$', 1)"
-    part = f"CASE WHEN {core} = 'post_attention_layernorm' THEN CASE WHEN {one_of(arch, POST_ATTENTION_ARCHS)} THEN 'post_attention_norm' ELSE 'ffn_norm' END ELSE {case(core, PARTS)} END"
-    layer = f"concat('blk.', CAST(CAST(regexp_extract({bare}, '^layers[.]([0-9]+)[.]', 1) AS BIGINT) AS VARCHAR(20)), '.', {part}, {suffix})"
-    return f"(CASE WHEN {name} = 'lm_head.weight' THEN 'output.weight' WHEN {one_of(bare, TOP)} THEN {case(bare, TOP)} WHEN {tail} <> '' AND ({part}) IS NOT NULL THEN {layer} END)"
+def canonical_sql(source: str) -> str:
+    """The same as DuckDB SQL over the query ``source``."""
+    for step in CANONICAL:
+        source = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in step.items())} FROM ({source})"
+    return f"SELECT * EXCLUDE ({', '.join(HELPERS)}) FROM ({source})"
 
 
 def category(name: str) -> str:
-    found = " ".join(f"WHEN {name} LIKE {text(f'%{p}%')} THEN {text(c)}" for p, c in _escaped())
+    found = " ".join(f"WHEN {name} LIKE {text(f'%{p}%')} THEN {text(c)}" for p, c in CATEGORIES)
     return f"(CASE WHEN {name} = 'output.weight' THEN 'output' WHEN {name} IN ('token_embd.weight', 'per_layer_token_embd.weight') THEN 'token_embd' {found} ELSE 'other' END)"
 
 
-def _escaped() -> list[tuple[str, str]]:
-    """LIKE takes _ for any character, which no canonical name has in these places."""
-    return CATEGORIES
-
-
 def avoided(name: str) -> str:
     return "(" + " OR ".join(f"contains({name}, {text(p)})" for p in AVOID) + ")"
 

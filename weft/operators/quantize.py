@@ -175,3 +175,31 @@ def incoherence(rows: DataFrame) -> DataFrame:
     """(tensor, frobenius, top, gamma): largest magnitude over the norm, times the root of the number of elements; null for zero."""
     sums = rows.groupBy("tensor").agg(F.sum(F.expr("aggregate(v, 0D, (s, x) -> s + CAST(x AS DOUBLE) * x)")).alias("ss"), F.max(F.expr(N.f64(amax()))).alias("top"), F.sum(F.size("v")).alias("n"))
     return sums.select("tensor", F.sqrt("ss").alias("frobenius"), "top", F.expr("top * sqrt(n) / nullif(sqrt(ss), 0)").alias("gamma"))
+
+
+def f16(x: str) -> str:
+    """Value of a finite double rounded to 11 significant bits, ties to even, down to steps of 2**-24."""
+    q = N.two_to(f"greatest({N.exponent(f'greatest(abs({x}), {N.two_to("-40")})')}, -14) - 10")
+    return f"(rint(({x}) / ({q})) * ({q}))"
+
+
+def q8_0(rows: DataFrame) -> DataFrame:
+    """(tensor, row_id, slice, scale, codes): 32 elements with a half-precision scale; halves round away from zero."""
+    blocks = rows.select("tensor", "row_id", F.posexplode(F.expr(slices("v", 32))).alias("slice", "b")).withColumn("d", F.expr(N.div(amax("b"), "127")))
+    y = N.mul("x", f"if(d = 0, CAST(0 AS FLOAT), {N.div('1', 'nullif(d, 0)')})")
+    return blocks.select("tensor", "row_id", "slice", F.expr(f16(N.f64("d"))).alias("scale"), F.expr(f"transform(b, x -> CAST(sign({y}) * floor(abs({N.f64(y)}) + 0.5) AS INT))").alias("codes"))
+
+
+def q4_0(rows: DataFrame) -> DataFrame:
+    """(tensor, row_id, slice, scale, codes): 32 nibbles; the first element of largest magnitude becomes code 0."""
+    top = "aggregate(b, CAST(0 AS FLOAT), (m, x) -> if(abs(x) > abs(m), x, m))"
+    blocks = rows.select("tensor", "row_id", F.posexplode(F.expr(slices("v", 32))).alias("slice", "b")).withColumn("d", F.expr(N.div(top, "-8")))
+    y = N.f32(f"{N.mul('x', f'if(d = 0, CAST(0 AS FLOAT), {N.div("1", "nullif(d, 0)")})')} + CAST(8.5 AS FLOAT)")
+    return blocks.select("tensor", "row_id", "slice", F.expr(f16(N.f64("d"))).alias("scale"), F.expr(f"transform(b, x -> least(15, CAST({y} AS INT)))").alias("codes"))
+
+
+def importance(entries: DataFrame) -> DataFrame:
+    """(name, w) from (name, sums, counts): each count's block of sums is divided by it; a count of 0 or less makes it 1."""
+    width = "CAST(size(sums) div size(counts) AS INT)"
+    value = N.div("s", "nullif(counts[CAST(i div k AS INT)], 0)")
+    return entries.withColumn("k", F.expr(width)).select("name", F.expr(f"transform(sums, (s, i) -> if(counts[CAST(i div k AS INT)] > 0, {value}, CAST(1 AS FLOAT)))").alias("w"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.names import avoided, canonical, text
+from weft.functions.names import avoided, canonical, canonical_sql, text
 
 # Parts of the layers of the made-up models: place, name, rows and columns in units of the width, dimensions.
 LAYER = [
@@ -69,15 +69,15 @@ TENSORS_SQL = f"""SELECT *, {DTYPE} AS dtype FROM (SELECT model, arch, gqa, ndim
   SELECT * FROM (SELECT *, unnest(range(layers)) AS layer FROM (SELECT {', '.join(f'{v} AS {k}' for k, v in MODEL.items())} FROM part)), {_values(LAYER)}
   UNION ALL BY NAME SELECT *, CAST(NULL AS BIGINT) AS layer FROM (SELECT {', '.join(f'{v} AS {k}' for k, v in MODEL.items())} FROM part), {_values(OUTER)}))"""
 
-NAMED = {"gguf_name": f"coalesce({canonical()}, name)", "width": "coalesce(d1, d0)"}
+NAMED = {"gguf_name": "coalesce(canonical, name)", "width": "coalesce(d1, d0)"}
 
 
 def named(tensors: DataFrame) -> DataFrame:
     """Adds the canonical name (the name itself, if there is none) and the row width."""
-    return tensors.withColumns({k: F.expr(v) for k, v in NAMED.items()})
+    return canonical(tensors).withColumns({k: F.expr(v) for k, v in NAMED.items()}).drop("canonical")
 
 
-NAMED_SQL = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in NAMED.items())} FROM ({TENSORS_SQL})"
+NAMED_SQL = f"SELECT * EXCLUDE (canonical), {', '.join(f'{v} AS {k}' for k, v in NAMED.items())} FROM ({canonical_sql(TENSORS_SQL)})"
 
 
 def indivisible(size: str) -> str:

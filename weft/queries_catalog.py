@@ -28,9 +28,9 @@ def tensor_catalog(spark: SparkSession, folder: str) -> DataFrame:
 _CAT = names.category("gguf_name")
 
 
-@query("canonical_names", f"SELECT model, pos, name, {names.canonical()} AS gguf_name, {names.gemma_plus_one('arch', 'name')} AS plus_one FROM ({TENSORS_SQL})")
+@query("canonical_names", f"SELECT model, pos, name, canonical AS gguf_name, {names.gemma_plus_one('arch', 'name')} AS plus_one FROM ({names.canonical_sql(TENSORS_SQL)})")
 def canonical_names(spark: SparkSession, folder: str) -> DataFrame:
-    return tensors(spark, folder).select("model", "pos", "name", F.expr(names.canonical()).alias("gguf_name"), F.expr(names.gemma_plus_one("arch", "name")).alias("plus_one"))
+    return names.canonical(tensors(spark, folder)).select("model", "pos", "name", F.col("canonical").alias("gguf_name"), F.expr(names.gemma_plus_one("arch", "name")).alias("plus_one"))
 
 
 @query("tensor_category", f"SELECT arch, {_CAT} AS category, count(*) AS n, count(DISTINCT gguf_name) AS names FROM ({NAMED_SQL}) GROUP BY ALL")
