@@ -13,7 +13,7 @@ U = np.uint64
 _P = U(0x9E3779B97F4A7C15)  # odd, hence invertible modulo 2**64
 _P_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes hashed at once; bounds the memory of the running sums.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

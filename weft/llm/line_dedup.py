@@ -22,8 +22,8 @@ from weft.llm.work import BROADCAST_ROWS, Work, binary_column, map_arrow, sessio
 
 #: Characters in a shingle.
 SHINGLE = 8
-#: Bands and their rows: lines of Jaccard 0.8 meet with probability 0.998, of 0.85 with 0.9998.
-BANDS, ROWS = 12, 4
+#: Bands and their rows: lines of Jaccard 0.8 meet with probability 0.995, of 0.85 with 0.9994.
+BANDS, ROWS = 10, 4
 PLACES = BANDS * ROWS
 #: Lines with up to FEW shingles have a permutation for each place; from MANY = 0.8 * 0.8 * FEW on one for all.
 FEW, MANY = 160, 102
@@ -51,60 +51,79 @@ def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
 
 
-def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of lines that aren't empty, one after the other, and where each line's begin (and the end)."""
+#: Characters whose signatures are taken at once.
+CHUNK = 1 << 18
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_CODES = K.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * K._P)
+
+
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all windows of the lines, padded and joined; where each line's shingles begin, and how many there are."""
     size = np.array([len(x) for x in lines], np.int64)
     pad = "\0" * SHINGLE
-    code = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = K.mix(code * K._P)
+    code = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = _CODES[code & 0xFFFF]
+    if (code > 0xFFFF).any():
+        h += (code >> 16).astype(np.uint64) * _P2
     for step, power in ((1, K._P), (2, _P2), (4, _P4)):
         h[:-step] += h[step:] * power
-    h = K.mix(h)
-    count = np.maximum(size - SHINGLE + 1, 1)
-    first = np.concatenate([[0], np.cumsum(size + SHINGLE)])[:-1]
+    return K.mix(h), np.concatenate([[0], np.cumsum(size + SHINGLE)])[:-1], np.maximum(size - SHINGLE + 1, 1)
+
+
+def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of lines that aren't empty, one after the other, and where each line's begin (and the end)."""
+    h, first, count = _hashes(lines)
     begin = np.concatenate([[0], np.cumsum(count)])
     return h[np.repeat(first - begin[:-1], count) + np.arange(begin[-1])], begin
 
 
+def _few(lines: list[str]) -> np.ndarray:
+    """Signatures with a permutation for each place."""
+    h, first, count = _hashes(lines)
+    ends = np.minimum(first + count, len(h) - 1)
+    at = np.stack([first, ends], axis=1).reshape(-1)
+    sig = np.empty((len(lines), PLACES), np.uint64)
+    for j in range(PLACES):
+        sig[:, j] = np.minimum.reduceat(h * _MULTIPLIERS[j], at)[::2]
+    return sig
+
+
+def _many(lines: list[str]) -> np.ndarray:
+    """Signatures with one permutation, whose values fall in as many bins as there are places."""
+    h, first, count = _hashes(lines)
+    width = np.diff(np.append(first, len(h)))
+    bin_ = (((h >> K.U(32)) * K.U(PLACES)) >> K.U(32)).astype(np.int64)
+    h *= _MULTIPLIERS[0]
+    h[(first + count)[:, None] + np.arange(SHINGLE - 1)] = _NONE  # windows that reach over a line's end
+    sig = np.full(len(lines) * PLACES, _NONE)
+    np.minimum.at(sig, np.repeat(np.arange(len(lines)) * PLACES, width) + bin_, h)
+    sig = sig.reshape(-1, PLACES)
+    empty = sig == _NONE
+    for step in range(1, PLACES):  # an empty bin borrows from the next one that isn't
+        if not empty.any():
+            break
+        shifted, was = np.roll(sig, -1, axis=1), np.roll(empty, -1, axis=1)
+        take = empty & ~was
+        sig = np.where(take, shifted + K.U(step), sig)
+        empty &= ~take
+    return ~sig  # another family
+
+
+def _chunks(lines: list[str], which: np.ndarray) -> Iterator[np.ndarray]:
+    size = np.cumsum([len(lines[i]) for i in which])
+    yield from np.split(which, np.flatnonzero(np.diff(size // CHUNK)) + 1) if len(which) else ()
+
+
 def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(line numbers, band keys) of lines that aren't empty."""
-    if not lines:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, begin = char_shingles(lines)
-    count = np.diff(begin)
-    places, owner = [], []
-    few = np.flatnonzero(count <= FEW)
-    if len(few):
-        c = count[few]
-        at = np.concatenate([[0], np.cumsum(c)])
-        own = h[np.repeat(begin[few] - at[:-1], c) + np.arange(at[-1])]
-        sig = np.empty((len(few), PLACES), np.uint64)
-        for j in range(PLACES):
-            sig[:, j] = np.minimum.reduceat(own * _MULTIPLIERS[j], at[:-1])
-        places.append(sig)
-        owner.append(few)
-    many = np.flatnonzero(count >= MANY)
-    if len(many):
-        c = count[many]
-        at = np.concatenate([[0], np.cumsum(c)])
-        own = h[np.repeat(begin[many] - at[:-1], c) + np.arange(at[-1])]
-        bin_ = (own >> K.U(32)) * K.U(PLACES) >> K.U(32)
-        sig = np.full(len(many) * PLACES, np.uint64(0xFFFFFFFFFFFFFFFF))
-        np.minimum.at(sig, np.repeat(np.arange(len(many)) * PLACES, c) + bin_.astype(np.int64), own * _MULTIPLIERS[0])
-        sig = sig.reshape(-1, PLACES)
-        empty = sig == np.uint64(0xFFFFFFFFFFFFFFFF)
-        for step in range(1, PLACES):  # an empty bin borrows from the next one that isn't
-            if not empty.any():
-                break
-            shifted, was = np.roll(sig, -1, axis=1), np.roll(empty, -1, axis=1)
-            take = empty & ~was
-            sig = np.where(take, shifted + K.U(step), sig)
-            empty &= ~take
-        places.append(~sig)  # another family
-        owner.append(many)
-    w = K._weights(ROWS)
-    keys = [K.mix((K.mix(s.reshape(-1, BANDS, ROWS)) * w).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)) for s in places]
-    return np.concatenate([np.repeat(o, BANDS) for o in owner]), np.concatenate([k.reshape(-1) for k in keys]).view(np.int64)
+    count = np.array([max(len(x) - SHINGLE + 1, 1) for x in lines], np.int64)
+    owner, keys, w = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], K._weights(ROWS)
+    for signature, which in ((_few, count <= FEW), (_many, count >= MANY)):
+        for part in _chunks(lines, np.flatnonzero(which)):
+            sig = signature([lines[i] for i in part])
+            keys.append(K.mix((K.mix(sig.reshape(-1, BANDS, ROWS)) * w).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).reshape(-1))
+            owner.append(np.repeat(part, BANDS))
+    return np.concatenate(owner), np.concatenate(keys).view(np.int64)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[list[str]]:
@@ -148,43 +167,51 @@ def _postings(hot) -> Callable:
             if not len(key):
                 continue
             lid = np.array(list(new), np.int64)[owner]
-            salt = np.full(len(key), -1)
+            salt = np.full(len(key), -1, np.int32)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 is_hot = keys[at] == key
                 salt[is_hot] = (lid[is_hot] >> 7) % blocks[at[is_hot]]
-            one = np.ones(len(key), np.int64)
-            yield pa.record_batch({"key": key, "salt": salt, "id": lid, "n": one, "last": one, "pos": np.tile(np.arange(BANDS), len(key) // BANDS)})
+            yield pa.record_batch({"key": key, "salt": salt, "id": lid, "pos": np.tile(np.arange(BANDS, dtype=np.int8), len(key) // BANDS)})
 
     return run
 
 
-def _lines_with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) of the lines of each text that ``at`` names as (line, id)."""
     for batch in batches:
-        rows, lines, texts = [], [], []
-        for i, doc in enumerate(_texts(batch)):
-            for k, x in enumerate(doc):
-                if x:
-                    rows.append(i)
-                    lines.append(k)
-                    texts.append(x)
-        yield pa.record_batch({"uid": batch.column("uid").take(pa.array(rows, pa.int64())), "line": pa.array(lines, pa.int64()), "text": pa.array(texts, pa.string())})
+        ids, texts = [], []
+        for t, at in zip(binary_column(batch.column("text")), batch.column("at").to_pylist(), strict=True):
+            parts = t.as_py().split(b"\n")
+            for x in at:
+                ids.append(x["lid"])
+                texts.append(lines_of(parts[x["line"]])[0])
+        yield pa.record_batch({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
+
 
+def _sets(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
+    texts = batch.column(column).to_pylist()
+    if not texts:
+        return []
+    h, begin = char_shingles(texts)
+    return [np.unique(h[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+
+
+def _verify(t: int, family: bool) -> Callable:
+    """The pairs that are linked; with ``family`` all pairs, with whether they are and what a and b share and don't."""
 
-def _verify(t: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for c in ("text_a", "text_b"):
-                texts = batch.column(c).to_pylist()
-                if texts:
-                    h, begin = char_shingles(texts)
-                    sets.append([np.unique(h[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)])
-            good = []
-            for x, y in zip(*sets, strict=True) if sets else ():
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= t * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            x, y = _sets(batch, "text_a"), _sets(batch, "text_b")
+            extras = [np.setdiff1d(p, q, assume_unique=True) for p, q in zip(x, y, strict=True)]
+            n, both = [len(p) for p in x], [len(p) - len(e) for p, e in zip(x, extras, strict=True)]
+            good = pa.array([100 * c >= t * (k + len(q) - c) for c, k, q in zip(both, n, y, strict=True)], pa.bool_())
+            pairs = batch.select(["a", "b"])
+            if not family:
+                yield pairs.filter(good)
+                continue
+            extras = pa.array([e.view(np.int64) for e in extras], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*pairs.columns, good, pa.array(n, pa.int64()), pa.array(both, pa.int64()), extras], ["a", "b", "linked", "n", "c", "extras"])
 
     return run
 
@@ -207,15 +234,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     list_ = max(LIST, classes.count() // 1000)
     hot = scan.where("key is not null").groupBy("key").agg((F.countDistinct("lid") * ONE_IN).alias("n")).where(F.col("n") > list_).orderBy("key").collect()
     hot = spark.sparkContext.broadcast((np.array([r.key for r in hot], np.int64), np.array([r.n // list_ + 1 for r in hot], np.int64)))
-    postings = map_arrow(rows.select("text"), _postings(hot), "key long, salt long, id long, n long, last long, pos long")
+    postings = map_arrow(rows.select("text"), _postings(hot), "key long, salt int, id long, pos tinyint")
 
     def texts(ids: DataFrame, n: int) -> DataFrame:
-        at = classes.join(ids, F.col("lid") == F.col("id"), "left_semi").select("lid", F.col("first.uid").alias("uid"), F.col("first.line").alias("line"))
-        found = map_arrow(rows.select("uid", "text"), _lines_with_ids, "uid long, line long, text string")
-        return found.join(F.broadcast(at) if n <= BROADCAST_ROWS else at, ["uid", "line"]).select(F.col("lid").alias("id"), "text")
+        at = classes.join(ids, F.col("lid") == F.col("id"), "left_semi")
+        at = at.groupBy(F.col("first.uid").alias("uid")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "lid")).alias("at"))
+        return map_arrow(rows.select("uid", "text").join(F.broadcast(at) if n <= BROADCAST_ROWS else at, "uid").select("text", "at"), _pick, "id long, text string")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return map_arrow(pairs, _verify(threshold, False), "a long, b long")
+
+    def family(pairs: DataFrame) -> DataFrame:
+        return map_arrow(pairs, _verify(threshold, True), "a long, b long, linked boolean, n long, c long, extras array<long>")
 
     every = F.lit(True)
-    comps = link_components(work, postings, texts, lambda p: map_arrow(p, _verify(threshold), "a long, b long"), F.lit(BANDS), every, every)
+    comps = link_components(work, postings, texts, verify, F.lit(BANDS), every, every, family, threshold)
     grouped = work.keep(classes.join(comps, F.col("lid") == F.col("id"), "left").select("lid", "first", "n", F.coalesce("component", "lid").alias("group")))
     heads = grouped.groupBy("group").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where("all > 1")
     heads = grouped.join(heads, "group").select("lid", F.col("head.uid").alias("head_uid"), F.col("head.line").alias("head_line"))
@@ -230,7 +263,7 @@ def _without(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.Re
             parts = (text or "").split("\n")
             cut = set(cut or ())
             texts.append("\n".join(x for i, x in enumerate(parts) if i not in cut) if cut else text)
-            all_.append(sum(1 for x in parts if normal(x)))
+            all_.append(sum(1 for x in parts if x and not x.isspace()))
             gone.append(len(cut))
         out = {n: batch.column(n) for n in batch.schema.names if n != "__cut"}
         out[text_col] = pa.array(texts, pa.string())

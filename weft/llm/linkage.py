@@ -1,15 +1,20 @@
 """Similarity links between items that share a posting, without all pairs within a group.
 
 Postings are (key, salt, id, n, last, pos): item ``id`` holds signature element ``key`` at ``pos``; ``n`` is its set size
-and ``last`` the place in a global order of the last element that it has sent; ``salt`` is -1 for ordinary keys and a block number from 0 for frequent ones.
-Two rounds find the components of the graph of all candidate pairs that pass the exact check:
+and ``last`` the place in a global order of the last element that it has sent; ``salt`` is -1 for ordinary keys
+and a block number from 0 for frequent ones.  Two rounds find the components of the graph of all candidate pairs that
+pass the exact check:
 
-1. every item is compared with one hub, the item whose own postings are shared most, of the lists it is in;
-   this ties a group of thousands of near copies together with one comparison for each copy;
+1. every item is compared with one hub, the item that shares most, of the lists it is in; this ties a group of
+   thousands of near copies together with one comparison for each copy;
 2. every remaining candidate pair *between different components* is compared.
 
 A pair within one component can't change the components, so nothing is lost by leaving it out.
 Lists of very frequent keys are split by ``salt`` in round 1 and by Spark's skew join in round 2.
+
+Families (optional) also keep round 2 from pairing all copies of one hub that aren't similar enough to it: what
+two items of a family share is in the hub, or in neither's part of it.  So with c elements shared with the
+hub, a pair can only match if it shares an element that the hub lacks, or if the smaller c is enough by itself.
 """
 
 from __future__ import annotations
@@ -23,25 +28,31 @@ from weft.llm.components import components
 from weft.llm.work import Work
 
 
+#: An element that more than so many of a family have is common to it.
+COMMON = 32
+
+
 def shared_postings(postings: DataFrame) -> DataFrame:
-    """Postings whose list holds another item (those of frequent keys, which stand in several blocks, all)."""
+    """Postings whose list holds another item (those of frequent keys, which stand in several blocks, all), with the list's size."""
     w = Window.partitionBy("key", "salt")
-    lists = postings.select("*", F.min("id").over(w).alias("low"), F.max("id").over(w).alias("top"))
-    return lists.where("low != top or salt >= 0").drop("low", "top")
+    lists = postings.select("*", F.min("id").over(w).alias("low"), F.max("id").over(w).alias("top"), F.count("*").over(w).cast("int").alias("size"))
+    out = lists.where("low != top or salt >= 0").drop("low", "top")
+    return out if "n" in out.columns else out.withColumn("n", F.lit(1).cast("long")).withColumn("last", F.lit(0).cast("long"))
 
 
-def with_hubs(shared: DataFrame, sent: Column) -> DataFrame:
+def with_hubs(shared: DataFrame, sent: Column, by_size: bool) -> DataFrame:
     """Adds cap, n less the elements that no other item has sent (of ``sent`` elements), rank, how many shared elements come before, and each list's hub.
 
-    The hub is the item that shares the largest part of its postings, the smallest of these.  An original shares
-    what its edited copies kept, each copy has elements of its own; so the original of a group, to which all
-    copies are similar though not to each other, becomes the hub.
+    The hub is the item that shares the largest part of its postings, or with ``by_size`` the one that is in the
+    longest lists, the smallest of these.  An original shares what its edited copies kept, each copy has elements of its
+    own; so the original of a group, to which all copies are similar though not to each other, becomes the hub.
     """
-    own = Window.partitionBy("id")
+    own, lists = Window.partitionBy("id"), Window.partitionBy("key", "salt")
     ranked = shared.withColumn("rank", F.dense_rank().over(own.orderBy("pos")) - 1)  # tasks may have sent copies of a posting
     ranked = ranked.withColumn("c", F.max("rank").over(own) + 1).withColumn("p", sent)
-    rows = ranked.select("*", (F.col("c") * 1000 / F.col("p")).cast("int").alias("share"), F.expr("n - p + c").alias("cap")).drop("c", "p")
-    hub = F.max(F.struct("share", (-F.col("id")).alias("neg"), "n", "cap", "last")).over(Window.partitionBy("key", "salt"))
+    score = F.sum("size").over(own) if by_size else F.col("c") * 1000 / F.col("p")
+    rows = ranked.select("*", score.cast("int").alias("share"), F.expr("n - p + c").alias("cap")).drop("c", "p", "size")
+    hub = F.max(F.struct("share", (-F.col("id")).alias("neg"), "n", "cap", "last")).over(lists)
     return rows.select("*", hub.alias("hub"))
 
 
@@ -49,33 +60,83 @@ def _votes(rows: DataFrame) -> DataFrame:
     return rows.select("id", (-F.col("hub.neg")).alias("other"), F.col("n").alias("n1"), F.col("cap").alias("cap1"), F.col("last").alias("last1"), F.col("hub.n").alias("n2"), F.col("hub.cap").alias("cap2"), F.col("hub.last").alias("last2"))
 
 
+def _between(rows: DataFrame, group: str, condition: Column) -> DataFrame:
+    """Rows 1 and 2 of one key in different groups and components; most of the rows are in the key's major group."""
+    sizes = rows.groupBy("key", group).count()
+    keys = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max_by(group, F.struct("count", group)).alias("major")).where("k > 1").select("key", "major")
+    several = rows.join(keys, "key")
+    names = [c for c in rows.columns if c != "key"]
+    a = several.where(f"{group} != major").select("key", *[F.col(c).alias(f"{c}1") for c in names])
+    b = several.select("key", "major", *[F.col(c).alias(f"{c}2") for c in names])
+    # Pairs of minor groups meet twice; one of them is enough.
+    meet = F.expr(f"{group}1 != {group}2 and comp1 != comp2 and ({group}2 = major or id1 < id2)")
+    return a.join(b, (a["key"] == b["key"]) & meet & condition)
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+
+
+def _within(work: Work, family: DataFrame, t: int) -> DataFrame:
+    """Pairs of a family in different components that share a rare element that the hub lacks, or enough of the rest.
+
+    Elements that many of the family have count as if the hub had them; so c bounds what two items share of these.
+    """
+    of_key = Window.partitionBy("key")
+    own = family.select(F.explode("extras").alias("e"), "hub", "id", "comp", "n").withColumn("key", F.xxhash64("hub", "e")).drop("e", "hub")
+    own = own.select("*", F.count("*").over(of_key).alias("k"), (F.min("comp").over(of_key) != F.max("comp").over(of_key)).alias("open"))
+    own = work.keep(own.where(f"open or k > {COMMON}"))  # most elements are one item's own
+    more = own.where(f"k > {COMMON}").groupBy("id").agg(F.count("*").alias("f"))
+    family = work.keep(family.drop("extras").join(more, "id", "left").withColumn("c", F.expr("c + coalesce(f, 0)")).drop("f"))
+    sides = [family.select("hub", "linked", *[F.col(c).alias(f"{c}{k}") for c in ("id", "comp", "n", "c")]) for k in (1, 2)]
+    loose = sides[0].where(f"not linked and c1 * 100 >= n1 * {t}").drop("linked")
+    enough = loose.join(sides[1].drop("linked"), (loose["hub"] == sides[1]["hub"]) & F.expr(f"comp1 != comp2 and least(c1, c2) * {100 + t} >= (n1 + n2) * {t}"))
+    sizes = F.expr(f"least(n1, n2) * 100 >= greatest(n1, n2) * {t} and (least(c1, c2) + least(n1 - c1, n2 - c2)) * {100 + t} >= (n1 + n2) * {t}")
+    rare = own.where(f"open and k <= {COMMON}").select("key", "id", "comp", "n").join(family.select("id", "c"), "id")
+    some = _between(rare, "comp", sizes).withColumns({"core": F.least("c1", "c2"), "sum": F.col("n1") + F.col("n2")})
+    some = some.groupBy(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "core", "sum").count()
+    return _pairs(enough).union(some.where(f"(core + count) * {100 + t} >= sum * {t}").select("a", "b"))
+
+
 def link_components(
-    work: Work, postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], sent: Column, sizes: Column, places: Column
+    work: Work, postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], sent: Column, sizes: Column, places: Column, family: Callable[[DataFrame], DataFrame] | None = None, threshold: int = 80
 ) -> DataFrame:
     """(id, component) of items that have at least one verified link; component is the smallest id.
 
     ``texts(ids, n)`` returns (id, text) of the n ids; ``verify`` filters (a, text_a, b, text_b) to the linked pairs
-    (a, b); ``sent`` counts an item's postings; ``sizes`` is a necessary condition on n, cap and last of a pair and ``places`` one on pos and rank too.
+    (a, b); ``sent`` counts an item's postings; ``sizes`` is a necessary condition on n, cap and last of a pair and
+    ``places`` one on pos and rank too.  ``family`` maps the pairs of round 1 to (a, b, linked, n, c, extras): a's
+    size, what it shares with b, and its other elements; the links are of Jaccard similarity threshold / 100.
     """
-    hubs = work.keep(with_hubs(work.keep(shared_postings(postings)), sent))
+    by_size = family is not None
+    hubs = work.keep(with_hubs(work.keep(shared_postings(postings)), sent, by_size))
     # Hubs of the blocks of a frequent key are tied to the best of them in the same way.
     tops = hubs.where("salt >= 0").select("key", F.col("hub.share").alias("share"), (-F.col("hub.neg")).alias("id"), F.col("hub.n").alias("n"), F.col("hub.cap").alias("cap"), F.col("hub.last").alias("last")).distinct()
     best = F.max(F.struct("share", (-F.col("id")).alias("neg"), "n", "cap", "last")).over(Window.partitionBy("key"))
     votes = _votes(hubs).union(_votes(tops.select("*", best.alias("hub")))).where((F.col("id") != F.col("other")) & sizes)
     first = votes.groupBy("id", "other").count().groupBy("id").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
-    links = check(work, first.select(F.col("id").alias("a"), F.col("other").alias("b")), texts, verify)
+    first = first.select(F.col("id").alias("a"), F.col("other").alias("b"))
+    if family:  # a hub's own hub is nearer to the middle of the group; hubs only ever lead to better ones
+        for _ in range(2):
+            first = work.keep(first)
+            first = first.join(first.select(F.col("a").alias("b"), F.col("b").alias("up")), "b", "left").select("a", F.coalesce("up", "b").alias("b"))
+    compared = check(work, first, texts, family or verify)
+    links = compared.where("linked").select("a", "b") if family else compared
+    if family:  # those that missed the hub are compared with the copy that has the least besides the hub's elements
+        nearest = compared.where("linked").groupBy("b").agg(F.max_by("a", F.struct(F.expr("c / n"), "a")).alias("near"))
+        missed = compared.where("not linked").join(nearest, "b").select("a", F.col("near").alias("b"))
+        links = links.union(check(work, missed, texts, verify))
     comps = work.keep(components(work, links))
 
-    known = work.keep(hubs.join(comps, "id", "left").select("key", "id", "n", "pos", "rank", "cap", "last", F.coalesce("component", "id").alias("comp")))
-    by_comp = known.groupBy("key", "comp").count()
-    keys = by_comp.groupBy("key").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("count", "comp")).alias("major")).where("k > 1").select("key", "major")
-    several = known.join(keys, "key")
-    a = several.where("comp != major").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "pos", "rank", "cap", "last", "comp")])
-    b = several.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "rank", "cap", "last", "comp", "major")])
-    # Pairs of minor components meet twice; one of them is enough.
-    rest = a.join(b, (a["key"] == b["key"]) & F.expr("comp1 != comp2 and (comp2 = major2 or id1 < id2)") & sizes & places)
-    rest = rest.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
-    more = check(work, rest, texts, verify)
+    known = hubs.join(comps, "id", "left").select("key", "id", "n", "pos", "rank", "cap", "last", F.coalesce("component", "id").alias("comp"))
+    if family:
+        members = compared.join(comps.withColumnRenamed("id", "a"), "a", "left")
+        members = work.keep(members.select(F.col("a").alias("id"), F.col("b").alias("hub"), "linked", "n", "c", "extras", F.coalesce("component", "a").alias("comp")))
+        known = known.join(members.select("id", "hub"), "id", "left").withColumn("hub", F.coalesce("hub", "id"))
+        rest = _pairs(_between(work.keep(known.distinct()), "hub", sizes & places)).union(_within(work, members, threshold))
+    else:
+        rest = _pairs(_between(work.keep(known), "comp", sizes & places))
+    more = check(work, rest.distinct(), texts, verify)
     if more.isEmpty():
         return comps
     return components(work, links.union(more))
@@ -86,8 +147,6 @@ def check(work: Work, pairs: DataFrame, texts: Callable[[DataFrame, int], DataFr
     pairs = work.keep(pairs)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     n = ids.count()
-    if not n:
-        return pairs
     have = work.keep(texts(ids, n))
     left = pairs.join(have.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(have.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")

@@ -22,6 +22,8 @@ from weft.llm.work import Work, binary_column, map_arrow, session_of, sum_counts
 MAX_TOXIC, MAX_CLEAN = 10_000, 20_000
 #: Hash buckets, beginnings of words in bytes, and buckets that get a weight (those that tell the classes apart most).
 BUCKETS, PREFIXES, FEATURES = 1 << 20, (4, 5, 6), 4000
+#: Least ratio of a bucket's log-odds to their standard error: words that a few documents happen to hold are left out.
+CLEAR = 2.0
 EPOCHS, RATE, DECAY = 300, 0.1, 1e-6
 _END = np.zeros(256, bool)
 _END[[33, 46, 63, 10]] = True  # ! . ? and line feed
@@ -136,6 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     z = np.abs(np.log(p / q)) / np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
     z[0] = 0
     chosen = np.sort(np.argpartition(-z, FEATURES)[:FEATURES])
+    chosen = chosen[z[chosen] >= CLEAR]
     rows = map_arrow(sample, _selected(spark.sparkContext.broadcast(chosen)), "label int, sentences int, at array<int>, bucket array<int>").toArrow()
     weights, bias = np.zeros(BUCKETS, np.float32), -20.0
     if len(rows):

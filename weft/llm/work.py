@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from weft.session import ship_package
 
-#: Rows of text handed to a Python worker at once; with documents of a few kB this is a few MB.
-ROWS_PER_BATCH = 1000
+#: Rows of text handed to a Python worker at once; with documents of a few kB this is about a MB.
+ROWS_PER_BATCH = 256
 #: A join side of up to this many rows (of two longs or so) may be broadcast.
 BROADCAST_ROWS = 500_000
 
