@@ -174,30 +174,45 @@ def test_vectors_over_cells(spark, monkeypatch):
     assert any(n for _, n, _ in whole)
 
 
-@pytest.mark.parametrize("unit", ["line", "paragraph"])
-def test_repeated_units(spark, unit):
-    df = cases.docs(spark)
-    got = repeated_units(df, unit=unit, min_words=50)
-    texts = dict(cases.texts())
-    seen: dict[str, tuple] = {}
-    want = []
+def test_repeated_lines(spark):
+    got = repeated_units(cases.docs(spark), unit="line", min_words=50)
+    seen, want = {}, []
     for i, t in sorted(cases.texts(), key=lambda x: (x[0] is None, x[0] or 0)):
-        at = 0
-        for part in (t or "").split("\n") if unit == "line" else __import__("re").split(r"(?<=\S)\s*\n(?=[ \t\r]*\n)|\n\n", t or ""):
+        at, run = 0, []
+        for part in [*(t or "").split("\n"), None]:
             w = cases.spaced(part)
-            if len(w) >= 50:
-                if " ".join(w) in seen and unit == "line":
-                    want.append((i, at, at + len(part), *seen[" ".join(w)]))
-                seen.setdefault(" ".join(w), (i, at))
-            at += len(part) + 1
-    if unit == "line":
-        assert rows(got, "id", "start", "end", "kept_id", "kept_start") == sorted(want, key=repr)
-    for r in got.collect():
-        kept = texts[r.kept_id][r.kept_start :]
-        assert cases.spaced(texts[r.id][r.start : r.end]) == cases.spaced(kept)[: r.n_words]
+            if w or part is None:
+                if w and " ".join(w) in seen:
+                    start = at + len(part) - len(part.lstrip(" \t\r"))
+                    run.append((start, at + len(part.rstrip(" \t\r")), len(w), *seen[" ".join(w)]))
+                else:
+                    if sum(x[2] for x in run) >= 50:
+                        want.append((i, run[0][0], run[-1][1], sum(x[2] for x in run), *run[0][3:]))
+                    run = []
+                    if w:
+                        seen[" ".join(w)] = (i, at + len(part) - len(part.lstrip(" \t\r")))
+            at += len(part or "") + 1
+    assert rows(got, "id", "start", "end", "n_words", "kept_id", "kept_start") == sorted(want, key=repr)
     assert repeated_units(cases.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["sentence", "line", "paragraph"])
+def test_repeats_are_cut(spark, unit):
+    df = cases.docs(spark)
+    texts = dict(cases.texts())
+    for r in repeated_units(df, unit=unit).collect():
+        first = cases.spaced(texts[r.id][r.start : r.end])[:5]
+        assert cases.spaced(texts[r.kept_id][r.kept_start :])[:5] == first
     cut = without_repeats(df, unit=unit)
-    assert cut.count() == df.count() and repeated_units(cut, unit=unit).count() == 0
+    assert cut.count() == df.count() and repeated_units(cut, unit=unit).count() == 0 and cut.where("size(removed) > 0").count() > 0
+
+
+def test_passages_within_lines(spark):
+    passage = ". ".join(" ".join(cases.words(900 + k, 15)).capitalize() for k in range(4)) + "."
+    table = [(1, f"Éine first text here. {passage}"), (2, f"Some ñ words before! {passage} And after."), (3, f"no stop before it {passage}\nnext line"), (4, "Clean text. And more of it.")]
+    got = repeated_units(spark.createDataFrame(table, "doc_id long, text string"))
+    found = {r.id: table[r.id - 1][1][r.start : r.end] for r in got.collect()}
+    assert found == {2: passage, 3: passage.split(". ", 1)[1]} and {r.kept_id for r in got.collect()} == {1}
 
 
 def test_mixing(spark):

@@ -69,10 +69,10 @@ def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def op5_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Every occurrence but the first of a line of 50 or more words."""
+def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of sentences that stand in an earlier document, or earlier in the same one."""
     found = repeated_units(table(spark, folder, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "unit", "start", "end", "n_words", F.col("kept_id").alias("kept_doc_id"), "kept_start")
+    return found.select(F.col("id").alias("doc_id"), "start", "end", "n_units", "n_words", F.col("kept_id").alias("kept_doc_id"), "kept_start")
 
 
 @query
@@ -109,4 +109,4 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-ORACLES |= {"op3_decontaminate": DECONTAMINATE_SQL, "op5_repeated_lines": REPEATS_SQL, "op10_mix_sources": MIX_SQL}
+ORACLES |= {"op3_decontaminate": DECONTAMINATE_SQL, "op5_repeated_passages": REPEATS_SQL, "op10_mix_sources": MIX_SQL}

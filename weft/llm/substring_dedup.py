@@ -1,7 +1,8 @@
-"""Substring deduplication by hashing whole lines or paragraphs.
+"""Substring deduplication by hashing whole sentences, lines or paragraphs.
 
-Units are normalised, their digests grouped over all documents, the earliest ranked occurrence is kept and the others
-are returned (or cut out) with their places in the original text.
+Units are normalised, their digests grouped over all documents, and the earliest ranked occurrence is kept.  Neighbouring
+units that aren't the earliest form runs; runs with enough words are returned (or cut out) with their places in the
+original text.  Passages are often set into other lines, so lines are cut further at the ends of sentences by default.
 """
 
 from __future__ import annotations
@@ -9,63 +10,79 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.work import map_arrow, session_of
+from weft.llm import kernel as K
+from weft.llm.work import Work, binary_column, map_arrow, session_of
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_BREAK = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[ \t\r]*\n)+")}
-#: Units of fewer words are left alone: short lines recur by chance.
-MIN_WORDS = 50
+_LOWER = bytes(K.LOWER.tolist())
+#: A unit with what separates it from the next one; matches follow each other without gaps.
+_UNIT = {
+    "sentence": re.compile(rb"[^.!?\n]*(?:[.!?][^.!? \t\n\r\f\v][^.!?\n]*)*(?:[.!?]+[ \t\n\r\f\v]*|\n|$)"),
+    "line": re.compile(rb"[^\n]*(?:\n|$)"),
+    "paragraph": re.compile(rb"(?:[^\n]+(?:\n(?![ \t\r]*\n)|$)?)+(?:\n[ \t\r\n]*)?|\n[ \t\r\n]*"),
+}
+#: Runs of fewer words are left alone: short sentences recur by chance.
+MIN_WORDS = 25
+_BLANK = b" \t\n\r\f\v"
 
 
-def units(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int, int, int, str]]:
-    """(number, start, end, words, normalised text) of the units with enough words; offsets are in characters."""
-    at = 0
-    for number, m in enumerate([*_BREAK[unit].finditer(text), None]):
-        end = m.start() if m else len(text)
-        if end - at >= 2 * min_words - 1:  # words and spaces between them
-            words = _WORD.findall(text[at:end])
-            if len(words) >= min_words:
-                yield number, at, end, len(words), " ".join(words).translate(_LOWER)
-        at = m.end() if m else end
+def units(text: bytes, unit: str) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, words, normalised text) of the units with words, in bytes, without white space around them."""
+    low = text.translate(_LOWER)
+    for m in _UNIT[unit].finditer(low):
+        words = m.group().split()
+        if words:
+            part = m.group()
+            yield m.start() + len(part) - len(part.lstrip(_BLANK)), m.start() + len(part.rstrip(_BLANK)), len(words), b" ".join(words)
 
 
-def _digests(unit: str, min_words: int) -> Callable:
+def _digests(unit: str) -> Callable:
+    names = ["uid", "id", "unit", "start", "end", "n_words", "h1", "h2"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, got = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                for u in units(text or "", unit, min_words):
-                    digest = xxhash.xxh3_128_intdigest(u[4].encode())
+            for i, value in enumerate(binary_column(batch.column("text"))):
+                text = value.as_py()
+                chars = None if text.isascii() else np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+                for k, (start, end, n, norm) in enumerate(units(text, unit)):
+                    if chars is not None:
+                        start, end = int(chars[start]), int(chars[end])
+                    digest = xxhash.xxh3_128_intdigest(norm)
                     rows.append(i)
-                    got.append((*u[:4], (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)))
+                    got.append((k, start, end, n, (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)))
             if got:
-                columns = [pa.array(c, pa.int64()) for c in zip(*got, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("uid").take(pa.array(rows)), batch.column("id").take(pa.array(rows)), *columns], ["uid", "id", "unit", "start", "end", "n_words", "h1", "h2"])
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column("uid").take(at), batch.column("id").take(at), *(pa.array(c, pa.int64()) for c in zip(*got, strict=True))], names)
 
     return run
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """(uid, id, unit, start, end, n_words, kept_id, kept_start): every occurrence but the first of a repeated unit.
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+    """(uid, id, start, end, n_units, n_words, kept_id, kept_start): runs of units that are repeated from elsewhere.
 
-    A unit is a line, or a paragraph between blank lines, with at least ``min_words`` words; two are equal if their words are,
-    A-Z taken as a-z.  Occurrences are ranked by id (null last), then place, then ``uid``, the row's number in
-    the input, which tells rows that repeat an id apart.  [start, end) are characters of the original.  Null and empty texts
-    have no units; repeats within one document count.  Other columns are ignored, whatever their names.
+    A unit is a sentence (up to . ! ? and white space, or a line's end), a line, or a paragraph between blank lines; two are
+    equal if their words are, A-Z taken as a-z.  Occurrences are ranked by id (null last), then place, then ``uid``, the row's
+    number in the input, which tells rows that repeat an id apart.  A run is of neighbouring units none of which is the
+    earliest of its kind, with at least ``min_words`` words together; kept_id and kept_start are of the earliest
+    occurrence of its first unit.  [start, end) are characters of the original.  Null and empty texts have no units; repeats
+    within one document count.  Other columns are ignored, whatever their names.
     """
-    session_of(docs)
+    work = Work(session_of(docs), "units")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = map_arrow(rows, _digests(unit, min_words), "uid long, id long, unit long, start long, end long, n_words long, h1 long, h2 long")
+    found = map_arrow(rows, _digests(unit), "uid long, id long, unit long, start long, end long, n_words long, h1 long, h2 long")
     rank = F.struct(F.col("id").isNull().alias("null"), "id", "start", "uid")
     firsts = found.groupBy("h1", "h2").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = found.join(firsts, ["h1", "h2"]).where((F.col("start") != F.col("kept.start")) | (F.col("uid") != F.col("kept.uid")))
-    return out.select("uid", "id", "unit", "start", "end", "n_words", F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start"))
+    again = work.keep(found.join(firsts, ["h1", "h2"]).where((F.col("start") != F.col("kept.start")) | (F.col("uid") != F.col("kept.uid"))).drop("h1", "h2"))
+    runs = again.withColumn("run", F.expr("unit - row_number() over (partition by uid order by unit)"))
+    out = runs.groupBy("uid", "run").agg(F.first("id").alias("id"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("n_words").alias("n_words"), F.min_by("kept", "unit").alias("kept"))
+    out = out.where(F.col("n_words") >= min_words)
+    return out.select("uid", "id", "start", "end", "n_units", "n_words", F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start"))
 
 
 def _cut(text: str | None, spans: list[dict] | None) -> str | None:
@@ -74,12 +91,14 @@ def _cut(text: str | None, spans: list[dict] | None) -> str | None:
     out, at = [], 0
     for s in sorted(spans, key=lambda s: s["start"]):
         out.append(text[at : s["start"]])
-        at = min(s["end"] + 1, len(text))  # with the line break after it
+        at = s["end"]
+        while at < len(text) and text[at] in " \t\r\n":  # what separated it from the next unit
+            at += 1
     return "".join([*out, text[at:]])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with every repeated unit but the first cut out of its text; ``removed`` lists their original places.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with every repeated run cut out of its text; ``removed`` lists their original places.
 
     Rows, their order aside, and all other columns stay; ``removed`` is empty where nothing was cut.
     """
@@ -91,18 +110,24 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 REPEATS_SQL = r"""
-WITH l AS (
-  SELECT doc_id, uid, unnest(range(len(lines))) AS unit, unnest(lines) AS line
-  FROM (SELECT doc_id, row_number() OVER () AS uid, string_split(text, chr(10)) AS lines FROM documents)
+WITH p AS (
+  SELECT doc_id, uid, unnest(parts) AS part, unnest(range(len(parts))) AS k
+  FROM (SELECT doc_id, row_number() OVER () AS uid, regexp_extract_all(text, '[^.!?\n]*(?:[.!?][^.!? \t\n\r\f\v][^.!?\n]*)*(?:[.!?]+[ \t\n\r\f\v]*|\n|$)') AS parts FROM documents)
 ), u AS (
-  SELECT doc_id, uid, CAST(unit AS BIGINT) AS unit, line,
-    CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY uid ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
-    regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-  FROM l
+  SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY uid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ofs,
+    regexp_extract_all(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM p
+), n AS (
+  SELECT doc_id, uid, row_number() OVER (PARTITION BY uid ORDER BY k) AS unit, ofs + length(regexp_extract(part, '^[ \t\n\r\f\v]*')) AS start, ofs + length(regexp_replace(part, '[ \t\n\r\f\v]*$', '')) AS "end",
+    len(w) AS words, array_to_string(w, ' ') AS norm
+  FROM u WHERE len(w) > 0
 ), r AS (
-  SELECT *, row_number() OVER same AS n, first_value(doc_id) OVER same AS kept_doc_id, first_value(start) OVER same AS kept_start
-  FROM (SELECT *, array_to_string(w, ' ') AS norm FROM u WHERE len(w) >= 50)
-  WINDOW same AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, start, uid)
+  SELECT *, row_number() OVER same AS nth, first_value(doc_id) OVER same AS kept_doc_id, first_value(start) OVER same AS kept_start
+  FROM n WINDOW same AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, start, uid)
+), g AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY uid ORDER BY unit) AS run FROM r WHERE nth > 1
 )
-SELECT doc_id, unit, start, CAST(start + length(line) AS BIGINT) AS "end", CAST(len(w) AS BIGINT) AS n_words, kept_doc_id, kept_start FROM r WHERE n > 1
+SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max("end") AS BIGINT) AS "end", count(*) AS n_units, CAST(sum(words) AS BIGINT) AS n_words,
+  arg_min(kept_doc_id, unit) AS kept_doc_id, CAST(arg_min(kept_start, unit) AS BIGINT) AS kept_start
+FROM g GROUP BY doc_id, uid, run HAVING sum(words) >= 25
 """
