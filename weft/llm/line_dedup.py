@@ -8,6 +8,7 @@ the size still meet.  Bands of the signature are the postings; linkage compares
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,9 +43,16 @@ def normal(line: str) -> str:
     return " ".join(line.split())
 
 
+#: White space that :func:`normal` would change: other than a line feed or a single space.
+_UNEVEN = re.compile(r"[^\S \n]|  ")
+
+
 def lines_of(text: bytes) -> list[str]:
     """Lines, A-Z as a-z, white space collapsed; blank ones are empty."""
-    return [normal(x) for x in text.translate(_LOWER).decode().split("\n")]
+    low = text.translate(_LOWER).decode()
+    if _UNEVEN.search(low):
+        return [normal(x) for x in low.split("\n")]
+    return [x.strip(" ") for x in low.split("\n")]
 
 
 def line_hash(line: str) -> int:
@@ -189,12 +197,16 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
 
 
-def _sets(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
-    texts = batch.column(column).to_pylist()
+def _sets(batch: pa.RecordBatch, column: str, ids: str) -> list[np.ndarray]:
+    """Sets of shingles; texts that stand in several rows are taken once."""
+    number = batch.column(ids).to_numpy()
+    _, first, at = np.unique(number, return_index=True, return_inverse=True)
+    texts = batch.column(column).take(pa.array(first)).to_pylist()
     if not texts:
         return []
     h, begin = char_shingles(texts)
-    return [np.unique(h[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    own = [np.unique(h[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    return [own[k] for k in at]
 
 
 def _verify(t: int, family: bool) -> Callable:
@@ -202,7 +214,7 @@ def _verify(t: int, family: bool) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = _sets(batch, "text_a"), _sets(batch, "text_b")
+            x, y = _sets(batch, "text_a", "a"), _sets(batch, "text_b", "b")
             extras = [np.setdiff1d(p, q, assume_unique=True) for p, q in zip(x, y, strict=True)]
             n, both = [len(p) for p in x], [len(p) - len(e) for p, e in zip(x, extras, strict=True)]
             good = pa.array([100 * c >= t * (k + len(q) - c) for c, k, q in zip(both, n, y, strict=True)], pa.bool_())
@@ -249,7 +261,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     every = F.lit(True)
     comps = link_components(work, postings, texts, verify, F.lit(BANDS), every, every, family, threshold)
-    grouped = work.keep(classes.join(comps, F.col("lid") == F.col("id"), "left").select("lid", "first", "n", F.coalesce("component", "lid").alias("group")))
+    several = classes.join(comps, F.col("lid") == F.col("id"), "left").where("n > 1 or component is not null")
+    grouped = work.keep(several.select("lid", "first", "n", F.coalesce("component", "lid").alias("group")))
     heads = grouped.groupBy("group").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where("all > 1")
     heads = grouped.join(heads, "group").select("lid", F.col("head.uid").alias("head_uid"), F.col("head.line").alias("head_line"))
     return lines.join(heads, "lid").where("uid != head_uid or line != head_line").select("uid", "line")

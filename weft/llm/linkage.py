@@ -19,8 +19,11 @@ hub, a pair can only match if it shares an element that the hub lacks, or if the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +36,36 @@ COMMON = 32
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
-    """Postings whose list holds another item (those of frequent keys, which stand in several blocks, all), with the list's size."""
-    w = Window.partitionBy("key", "salt")
-    lists = postings.select("*", F.min("id").over(w).alias("low"), F.max("id").over(w).alias("top"), F.count("*").over(w).cast("int").alias("size"))
-    out = lists.where("low != top or salt >= 0").drop("low", "top")
-    return out if "n" in out.columns else out.withColumn("n", F.lit(1).cast("long")).withColumn("last", F.lit(0).cast("long"))
+    """Postings whose list holds another item (those of frequent keys, which stand in several blocks, all), with the list's size.
+
+    Lists are sorted together by Spark, which spills, and stream through the task; one list is held at a time.
+    """
+    names = postings.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            table = pa.Table.from_batches([b for b in (rest, batch) if b is not None]).combine_chunks() if rest is not None or batch is not None else None
+            if table is None or not table.num_rows:
+                continue
+            key, salt, item = (table.column(c).to_numpy() for c in ("key", "salt", "id"))
+            begin = np.flatnonzero((np.diff(key, prepend=key[0]) != 0) | (np.diff(salt, prepend=salt[0]) != 0))
+            begin = np.concatenate([[0], begin])
+            done = len(key) if batch is None else int(begin[-1])  # the last list may go on
+            rest = table.slice(done).combine_chunks().to_batches()[0] if done < len(key) else None
+            begin = begin[begin < done]
+            if not len(begin):
+                continue
+            size = np.diff(np.append(begin, done))
+            several = (np.minimum.reduceat(item[:done], begin) != np.maximum.reduceat(item[:done], begin)) | (salt[begin] >= 0)
+            rows = np.flatnonzero(np.repeat(several, size))
+            if len(rows):
+                out = table.take(pa.array(rows)).append_column("size", pa.array(np.repeat(size, size)[rows], pa.int32()))
+                yield from out.combine_chunks().to_batches()
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in postings.schema)
+    out = postings.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, f"{schema}, size int")
+    return out if "n" in names else out.withColumn("n", F.lit(1).cast("long")).withColumn("last", F.lit(0).cast("long"))
 
 
 def with_hubs(shared: DataFrame, sent: Column, by_size: bool) -> DataFrame:
@@ -120,12 +148,12 @@ def link_components(
         for _ in range(2):
             first = work.keep(first)
             first = first.join(first.select(F.col("a").alias("b"), F.col("b").alias("up")), "b", "left").select("a", F.coalesce("up", "b").alias("b"))
-    compared = check(work, first, texts, family or verify)
+    compared, have = check(work, first, texts, family or verify)
     links = compared.where("linked").select("a", "b") if family else compared
     if family:  # those that missed the hub are compared with the copy that has the least besides the hub's elements
         nearest = compared.where("linked").groupBy("b").agg(F.max_by("a", F.struct(F.expr("c / n"), "a")).alias("near"))
         missed = compared.where("not linked").join(nearest, "b").select("a", F.col("near").alias("b"))
-        links = links.union(check(work, missed, texts, verify))
+        links = links.union(check(work, missed, texts, verify, have)[0])
     comps = work.keep(components(work, links))
 
     known = hubs.join(comps, "id", "left").select("key", "id", "n", "pos", "rank", "cap", "last", F.coalesce("component", "id").alias("comp"))
@@ -136,20 +164,19 @@ def link_components(
         rest = _pairs(_between(work.keep(known.distinct()), "hub", sizes & places)).union(_within(work, members, threshold))
     else:
         rest = _pairs(_between(work.keep(known), "comp", sizes & places))
-    more = check(work, rest.distinct(), texts, verify)
+    # In a family every item of a list has been compared, so all texts are there.
+    more, have = check(work, rest.distinct(), texts, verify, have if family else None)
     if more.isEmpty():
         return comps
     return components(work, links.union(more))
 
 
-def check(work: Work, pairs: DataFrame, texts: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The pairs (a, b) that pass ``verify``; the texts of either end travel to the pairs."""
+def check(work: Work, pairs: DataFrame, texts: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], have: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) that pass ``verify``, and the (id, text) used; the texts of either end travel to the pairs."""
     pairs = work.keep(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    n = ids.count()
-    have = work.keep(texts(ids, n))
+    if have is None:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        have = work.keep(texts(ids, ids.count()))
     left = pairs.join(have.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(have.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    out = work.keep(verify(both.select("a", "text_a", "b", "text_b")))
-    work.drop(have)
-    return out
+    return work.keep(verify(both.select("a", "text_a", "b", "text_b"))), have

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from weft.session import ship_package
 
-#: Rows of text handed to a Python worker at once; with documents of a few kB this is about a MB.
-ROWS_PER_BATCH = 256
+#: Rows and bytes handed to a Python worker at once: the bytes bound batches of texts, the rows those of numbers.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 20_000, 1 << 20
 #: A join side of up to this many rows (of two longs or so) may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -25,6 +25,7 @@ def session_of(df: DataFrame) -> SparkSession:
     spark = df.sparkSession
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     return spark
 
 
