@@ -284,6 +284,28 @@ def test_automaton_probabilities_sum_to_one():
         assert abs(known + other - 1) < 1e-9
 
 
+@pytest.mark.parametrize("ngrams", [250_000, 40])
+def test_lm_holds_every_ngram_that_occurs_twice(spark, monkeypatch, ngrams):
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdefgh") + r.choice("xyz") for _ in range(r.randint(0, 60))) for _ in range(60)] + ["rare pair here", "a rare pair again", "rare pair"] + ["ax by cz"] * 30
+    monkeypatch.setattr(lm_score, "NGRAMS", ngrams)  # decides what is broadcast, not what the model holds
+    monkeypatch.setattr(lm_score, "CHUNK", 300)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.id: x.score for x in lm_score.score_texts(df, toxicity.remainder("doc_id", 7) != 2).collect()}
+    split = [[*cases.spaced(t), "\0end"] for t in texts]
+    learnt = [w for i, w in enumerate(split) if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = [Counter(tuple(w[i : i + k]) for w in learnt for i in range(len(w) - k + 1)) for k in (1, 2, 3)]
+    number = {w: i for i, (w,) in enumerate(sorted(counts[0]))}
+    one = np.array([counts[0][(w,)] for w in number])
+    total, discount = int(one.sum()), (lambda a, b: a / (a + 2 * b) if a and b else 0.5)(int((one == 1).sum()), int((one == 2).sum()))
+    grams = [([number[w] for w in g], n) for c in counts[1:] for g, n in c.items() if n >= 2]
+    a = lm_score.build(np.arange(len(number), dtype=np.uint64), one, total, discount, grams)
+    unknown = math.log10(discount * len(number) / total)
+    for i, w in enumerate(split):
+        own = [number.get(x, -1) for x in w]
+        assert abs(got[i] - (lm_score.traverse(a, own) + unknown * own.count(-1))) < 1e-9 * max(1, abs(got[i]))
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     table, labels = [], []

@@ -1,33 +1,41 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with a backoff model of word pairs and triples.
 
-Words are counted exactly over all training texts.  Word pairs and triples are counted exactly where they make up at
-least one in NGRAMS of all tokens, which a count sketch of all of them shows first; so the model has a bounded
-number of n-grams at any size of corpus and the cut-off is a relative frequency.  Contexts with
-such continuations become states, with an arc for each and a failure arc to the next shorter context that
-carries the backoff weight.  One left-to-right pass over a text carries the state and adds up log-probabilities.
+Words are counted exactly over all training texts, and so are word pairs and triples; those that occur at least LEAST
+times are in the model, at any size of corpus.  The model is a table: it is never gathered in one place.
 
-Probabilities are discounted absolutely: P(w | h) = (c(hw) - D) / c(h) on an arc, else backoff(h) P(w | shorter h); at
-the root (c(w) - D) / N, and what the discounts leave, D V / N, is the one unknown word's.  Words that make
-up less than one in HEAD of all tokens always end at the root, so their texts only need their counts, which are joined.
+Probabilities are discounted absolutely: P(w | h) = (c(hw) - D) / c(h) for an n-gram of the model, else backoff(h) P(w | shorter h);
+at the root (c(w) - D) / N, and what the discounts leave, D V / N, is the one unknown word's.  ``build`` and ``traverse`` state
+this as an automaton with failure arcs.  As a pair of the model follows from its triples, a text's score is a plain
+sum: of log P(w) + log backoff(w) over its words, log P(w | v) - log P(w) - log backoff(v) + log backoff(vw) over its pairs vw
+and log P(w | uv) - log backoff(uv) - log P(w | v) over its triples uvw, those of the model.  So every
+n-gram has one weight, and scoring is a join of texts' n-grams with weights, summed by text.
+
+N-grams travel as arrays, one for each chunk of texts and range of hashes; ranges hold about BUCKET tokens' n-grams at any size.
+They are taken in a few passes over the texts, which bounds the disk.  Weights of frequent n-grams are broadcast, which
+saves their way and spreads them; the weights of all others are joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernel as K
-from weft.llm.work import Work, binary_column, map_arrow, session_of, sum_counts
+from weft.llm.work import Work, binary_column, map_arrow, session_of
 
-#: A word is broadcast if it makes up one in HEAD of all tokens, a pair or triple if one in NGRAMS; so there are no more.
+#: Pairs and triples that occur so often are in the model.
+LEAST = 2
+#: A word's weight is broadcast if it makes up one in HEAD of all tokens, a pair's or triple's if one in NGRAMS; others are joined.
 HEAD, NGRAMS = 1_000_000, 250_000
-#: Counters of the sketch of pairs and triples; sent by each task in pieces.
-SKETCH, SLICES = 1 << 21, 16
+#: Tokens whose n-grams travel together, tokens to a range of hashes, and passes over the texts for counts and for weights.
+CHUNK, BUCKET, PASSES = 1_000_000, 500_000, (3, 2)
 #: Discount of pairs and triples.
 DISCOUNT = 0.75
 #: Distinct words that a task gathers before it sends their counts on.
@@ -43,47 +51,57 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, first[1:], K.U(END)), first + np.arange(len(first))
 
 
-def ngrams(h: np.ndarray, begin: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams within texts and where they begin; END is only ever the last word."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    w = K._weights(n)
-    out = sum(h[j : len(h) - n + 1 + j] * w[j] for j in range(n))
-    inside = np.ones(len(out), bool)
-    for j in range(1, n):
-        at = begin[1:] - j  # an n-gram that begins here reaches the next text
-        inside[at[(at >= 0) & (at < len(out))]] = False
-    at = np.flatnonzero(inside)
-    return K.mix(out[at] + K.U(n)), at
+_A, _B, _C, _D = (int(x) for x in K._weights(4))
+_UNDO = tuple(K.U(pow(x, -1, 1 << 64)) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, _A, _C))
+
+
+def _unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of K.mix."""
+    x = (x ^ (x >> K.U(31)) ^ (x >> K.U(62))) * _UNDO[1]
+    x = (x ^ (x >> K.U(27)) ^ (x >> K.U(54))) * _UNDO[0]
+    return x ^ (x >> K.U(30)) ^ (x >> K.U(60))
+
+
+def ngrams(h: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, hashes, hashes of what they end in, texts) of the pairs and triples within texts; END is only ever the last word.
+
+    A pair ends in its second word, a triple in its last pair; with that, :func:`beginnings` gives the rest.
+    """
+    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    pair = K.mix(h[:-1] * K.U(_A) + h[1:] * K.U(_B) + K.U(2))
+    inside = text[:-1] == text[1:]
+    yield 2, pair[inside], h[1:][inside], text[:-1][inside]
+    inside = text[:-2] == text[2:]
+    triple = K.mix(pair[:-1] * K.U(_C) + pair[1:] * K.U(_D) + K.U(3))
+    yield 3, triple[inside], pair[1:][inside], text[:-2][inside]
+
+
+def beginnings(size: int, key: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the first words of pairs, and of the first pairs of triples."""
+    if size == 2:
+        return (_unmix(key) - K.U(2) - end * K.U(_B)) * _UNDO[2]
+    return (_unmix(key) - K.U(3) - end * K.U(_D)) * _UNDO[3]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, n) of words, then the sketch of pairs and triples as (slice, counts)."""
-    sketch = np.zeros(SKETCH, np.uint32)
+    """(hash, n) of words."""
     have: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        (key, n) = _sum(have)
+        key, n = _sum(have)
         have.clear()
-        null = len(key)
-        return pa.record_batch({"hash": pa.array(key.view(np.int64)), "n": pa.array(n, pa.int64()), "slice": pa.nulls(null, pa.int32()), "counts": pa.nulls(null, pa.binary())})
+        return pa.record_batch({"hash": pa.array(key.view(np.int64)), "n": pa.array(n, pa.int64())})
 
     for batch in batches:
-        h, begin = tokens(batch.column("text"))
+        h, _ = tokens(batch.column("text"))
         have.append(np.unique(h, return_counts=True))
         if sum(len(k) for k, _ in have) > 2 * GATHER:
             merged = _sum(have)
             have[:] = [merged]
             if len(merged[0]) > GATHER:
                 yield flush()
-        for n in (2, 3):
-            g, _ = ngrams(h, begin, n)
-            sketch += np.bincount((g & K.U(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
     if have:
         yield flush()
-    if sketch.any():
-        null = pa.nulls(SLICES, pa.int64())
-        yield pa.record_batch({"hash": null, "n": null, "slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([s.tobytes() for s in np.split(sketch, SLICES)], pa.binary())})
 
 
 def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,31 +109,134 @@ def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return key, np.bincount(at, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
 
 
-def _frequent(sketch, least: int) -> Callable:
-    """(size, hash, words, n) of pairs and triples that may occur ``least`` times: their words' hashes and counts."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Token hashes, where texts begin, and their uids, for about CHUNK tokens at a time."""
+    hs, begins, uids, n = [], [np.zeros(1, np.int64)], [], 0
+
+    def chunk() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = np.concatenate(hs), np.concatenate(begins), np.concatenate(uids)
+        hs.clear()
+        uids.clear()
+        begins[:] = [np.zeros(1, np.int64)]
+        return out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, begin = tokens(batch.column("text"))
+        hs.append(h)
+        begins.append(begin[1:] + n)
+        uids.append(batch.column("uid").to_numpy())
+        n += len(h)
+        if n >= CHUNK:
+            yield chunk()
+            n = 0
+    if hs:
+        yield chunk()
+
+
+def _range(key: np.ndarray, ranges: int) -> np.ndarray:
+    return (((key >> K.U(32)) * K.U(ranges)) >> K.U(32)).astype(np.int64)
+
+
+def _pieces(key: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
+    """(range, place) of the ranges of sorted hashes."""
+    own = _range(key, ranges)
+    cuts = np.flatnonzero(np.diff(own, prepend=-1, append=ranges))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(own[a]), slice(a, b)
+
+
+def _counts(ranges: int, part: int) -> Callable:
+    """Rows (range, size, keys, ends, ns) of the distinct pairs and triples of a chunk, in the ranges of one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {2: [], 3: []}
-        words: dict[int, list[int]] = {}
-        for batch in batches:
-            h, begin = tokens(batch.column("text"))
-            for size in (2, 3):
-                g, at = ngrams(h, begin, size)
-                may = sketch.value[(g & K.U(SKETCH - 1)).astype(np.int64)] >= least
-                g, at = g[may], at[may]
-                key, first, n = np.unique(g, return_index=True, return_counts=True)
-                found[size].append((key, n))
-                for k, a in zip(key.tolist(), at[first].tolist(), strict=True):
-                    if k not in words:
-                        words[k] = h[a : a + size].view(np.int64).tolist()
-        for size, parts in found.items():
-            if parts:
-                key, n = _sum(parts)
-                yield pa.record_batch({"hash": pa.array(key.view(np.int64)), "words": pa.array([words[k] for k in key.tolist()], pa.list_(pa.int64())), "n": pa.array(n, pa.int64())})
+        for h, begin, _ in _chunks(batches):
+            for size, key, end, _ in ngrams(h, begin):
+                own = _range(key, ranges) % PASSES[0] == part
+                key, first, n = np.unique(key[own], return_index=True, return_counts=True)
+                end, n = end[own][first], n.astype(np.uint32)
+                got = [(r, size, key[at].tobytes(), end[at].tobytes(), n[at].tobytes()) for r, at in _pieces(key, ranges)]
+                if got:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "size", "keys", "ends", "ns"])
+
+    return run
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """(size, hash, a, b, n) of the pairs and triples of one range that occur at least LEAST times."""
+    out = []
+    for size in (2, 3):
+        own = table.filter(pc.equal(table.column("size"), size))
+        key, end, n = (_joined(own.column(c), t) for c, t in (("keys", np.uint64), ("ends", np.uint64), ("ns", np.uint32)))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+        n = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        kept = n >= LEAST
+        key, end, n = key[first][kept], end[order[first]][kept], n[kept]
+        out.append(pa.table({"size": pa.array(np.full(len(key), size, np.int32)), "hash": key.view(np.int64), "a": beginnings(size, key, end).view(np.int64), "b": end.view(np.int64), "n": n}))
+    return pa.concat_tables(out)
+
+
+def _occurrences(model, ranges: int, part: int) -> Callable:
+    """Rows (range, uids, keys, texts) of the pairs and triples of a chunk but those whose weights are broadcast, in the ranges of one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = model.value[3]
+        for h, begin, uid in _chunks(batches):
+            for _, key, _, text in ngrams(h, begin):
+                own = _range(key, ranges) % PASSES[1] == part
+                key, text = key[own], text[own]
+                order = np.argsort(key)
+                key, text = key[order], text[order]
+                rest = ~_find(head, key)[1]
+                key, text = key[rest], text[rest].astype(np.uint32)
+                got = []
+                for r, at in _pieces(key, ranges):
+                    docs, number = np.unique(text[at], return_inverse=True)
+                    small = np.uint16 if len(docs) <= 1 << 16 else np.uint32
+                    got.append((r, uid[docs].tobytes(), key[at].tobytes(), number.astype(small).tobytes()))
+                if got:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "uids", "keys", "texts"])
 
     return run
 
 
+def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``h`` are in sorted ``keys``, and whether they are."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.searchsorted(keys, h)
+    at[at == len(keys)] = 0
+    return at, keys[at] == h
+
+
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, values, n).astype(np.float64)  # of no values, they would be whole numbers
+
+
+def _weigh(rows: pa.Table, weights: pa.Table) -> pa.Table:
+    """(uid, part): sums of the weights of texts' pairs and triples of one range."""
+    keys, w = weights.column("hash").to_numpy().view(np.uint64), weights.column("weight").to_numpy()
+    order = np.argsort(keys)
+    keys, w = keys[order], w[order]
+    uids, parts = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for u, k, t in zip(*(rows.column(c).to_pylist() for c in ("uids", "keys", "texts")), strict=True):
+        u, k = np.frombuffer(u, np.int64), np.frombuffer(k, np.uint64)
+        t = np.frombuffer(t, np.uint16 if len(t) == 2 * len(k) else np.uint32)
+        at, there = _find(keys, k)
+        hits = np.bincount(t[there], minlength=len(u)) > 0
+        uids.append(u[hits])
+        parts.append(_sums(t[there], w[at[there]], len(u))[hits])
+    uid, at = np.unique(np.concatenate(uids), return_inverse=True)
+    return pa.table({"uid": uid, "part": _sums(at, np.concatenate(parts), len(uid))})
+
+
 @dataclass
 class Automaton:
     """Words are numbers in ``hashes``; state 0 is the root.  Arcs other than the root's are in ``arcs`` by state * words + word."""
@@ -187,25 +308,24 @@ def traverse(a: Automaton, words: list[int]) -> float:
 
 
 def _score(model, base_of_zero: float) -> Callable:
-    """A row for each text: what its frequent words say, and its other words with their numbers."""
+    """A row for each text: what its frequent words and n-grams say, and its other words with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: Automaton = model.value
-        gain = np.log10(a.counts + 1.0)
+        hashes, counts, weights, grams, gram_weights = model.value
+        gain = np.log10(counts + 1.0)
         for batch in batches:
             h, begin = tokens(batch.column("text"))
-            number = np.searchsorted(a.hashes, h) if len(a.hashes) else np.zeros(len(h), np.int64)
-            number[number == len(a.hashes)] = 0
-            there = a.hashes[number] == h if len(a.hashes) else np.zeros(len(h), bool)
-            number = np.where(there, number, -1)
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "part", "rest", "times")}
+            size = batch.num_rows
+            text = np.repeat(np.arange(size), np.diff(begin))
+            number, there = _find(hashes, h)
+            part = _sums(text[there], weights[number[there]], size)
+            for _, key, _, of in ngrams(h, begin):
+                at, known = _find(grams, key)
+                part += _sums(of[known], gram_weights[at[known]], size)
+            n = np.diff(begin)
+            out = {"n_tokens": n, "known": np.bincount(text[there], minlength=size), "base": _sums(text[there], gain[number[there]], size) + base_of_zero * n, "part": part, "rest": [], "times": []}
             for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                own, is_head = number[x:y], there[x:y]
-                rest, times = np.unique(h[x:y][~is_head], return_counts=True)
-                out["n_tokens"].append(y - x)
-                out["known"].append(int(is_head.sum()))
-                out["base"].append(float(gain[own[is_head]].sum() + base_of_zero * (y - x)))
-                out["part"].append(traverse(a, own.tolist()))
+                rest, times = np.unique(h[x:y][~there[x:y]], return_counts=True)
                 out["rest"].append(rest.view(np.int64).tolist())
                 out["times"].append(times.tolist())
             kinds = {"n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "part": pa.float64(), "rest": pa.list_(pa.int64()), "times": pa.list_(pa.int64())}
@@ -214,33 +334,60 @@ def _score(model, base_of_zero: float) -> Callable:
     return run
 
 
+def _weights(work: Work, words: DataFrame, grams: list[DataFrame], total: int, discount: float) -> tuple[DataFrame, DataFrame]:
+    """Words as (hash, n, weight), and pairs and triples as (hash, n, weight); drops what it needs no more, ``grams`` too."""
+    back = F.log10(F.greatest(1 - F.sum("p"), F.lit(1e-12)) / F.greatest(1 - F.sum("lower"), F.lit(1e-12)))
+    root = F.greatest((F.col("n") - discount) / max(total, 1), F.lit(1e-300))
+    of = words.select("hash", F.col("n").cast("double").alias("c"), root.alias("root"))
+    pairs = reduce(DataFrame.union, grams).where("size = 2").join(of.select(F.col("hash").alias("a"), "c"), "a").join(of.select(F.col("hash").alias("b"), F.col("root").alias("lower")), "b")
+    pairs = work.keep(pairs.select("hash", "a", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"), "lower"))
+    singles = work.keep(pairs.groupBy("a").agg(back.alias("back")))
+    several = []
+    for some in grams:
+        threes = some.where("size = 3").join(pairs.select(F.col("hash").alias("a"), F.col("n").alias("c")), "a").join(pairs.select(F.col("hash").alias("b"), F.col("p").alias("lower")), "b")
+        several.append(work.keep(threes.select("hash", "a", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"), "lower")))
+        work.drop(some)
+    triples = reduce(DataFrame.union, several)
+    doubles = work.keep(triples.groupBy("a").agg(back.alias("back")))
+    own = words.join(singles.withColumnRenamed("a", "hash"), "hash", "left").select("hash", "n", (F.log10(root) + F.coalesce("back", F.lit(0.0))).alias("weight"))
+    step = (F.log10("p") - F.log10("lower") - F.col("back")).alias("weight")
+    two = pairs.join(singles, "a").select("hash", "n", step).join(doubles.select(F.col("a").alias("hash"), "back"), "hash", "left")
+    own, two = work.keep(own), work.keep(two.select("hash", "n", (F.col("weight") + F.coalesce("back", F.lit(0.0))).alias("weight")))
+    work.drop(pairs)
+    three = work.keep(triples.join(doubles, "a").select("hash", "n", step))
+    for some in (*several, singles, doubles):
+        work.drop(some)
+    return own, two.union(three)
+
+
 def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, training, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``; scores are log10.
 
     The model learns from the rows for which ``training`` holds (null: it does).  Tokens are runs of bytes other than ASCII
     white space, A-Z as a-z, then one end; null and empty texts have only the end.  base_score adds
-    log10((c + 1) / (N + V + 1)) over tokens, score is the automaton's.  An empty training set leaves c = N = V = 0 and
+    log10((c + 1) / (N + V + 1)) over tokens, score is the model's.  An empty training set leaves c = N = V = 0 and
     a score of 0.  Repeated rows are scored, and learnt from, each.  Other columns are ignored, whatever their names.
     """
     spark = session_of(docs)
     work = Work(spark, "lm")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # every pass leaves its disk to the next
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(True)).alias("training"))
-    texts = rows.where("training").select("text")
-    counted = work.keep(map_arrow(texts, _count, "hash long, n long, slice int, counts binary"))
-    words = work.keep(counted.where("slice is null").groupBy("hash").agg(F.sum("n").alias("n")))
+    texts = rows.where("training").select("uid", "text")
+    words = work.keep(map_arrow(texts.select("text"), _count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
     total, distinct, ones, twos = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-    sketch = np.zeros((SLICES, SKETCH // SLICES), np.uint64)
-    for k, c in sum_counts(counted.where("slice is not null"), SLICES).items():
-        sketch[k] = c
-    least = max(2, total // NGRAMS)
-    sketch = spark.sparkContext.broadcast(np.minimum(sketch.reshape(-1), 0xFFFFFFFF).astype(np.uint32))
-    grams = map_arrow(texts, _frequent(sketch, least), "hash long, words array<long>, n long").groupBy("hash").agg(F.first("words").alias("words"), F.sum("n").alias("n")).where(F.col("n") >= least)
-    grams = [(r.words, r.n) for r in grams.collect()]  # at most 2 * NGRAMS
-    head = words.where(F.col("n") >= max(1, total // HEAD)).toArrow()  # at most HEAD
-    keys, counts = head.column("hash").to_numpy().view(np.uint64), head.column("n").to_numpy()
-    order = np.argsort(keys)
-    model = spark.sparkContext.broadcast(build(keys[order], counts[order], max(total, 1), discount, grams))
+    ranges = max(16, total // BUCKET)
+    grams = []
+    for part in range(PASSES[0]):
+        found = map_arrow(texts, _counts(ranges, part), "range long, size int, keys binary, ends binary, ns binary")
+        grams.append(work.keep(found.groupBy("range").applyInArrow(_merge, "size int, hash long, a long, b long, n long")))
+    words, weights = _weights(work, words, grams, total, discount)
+
+    head = words.where(F.col("n") >= max(1, total // HEAD)).toArrow().sort_by("hash")  # at most HEAD
+    often = weights.where(F.col("n") >= max(LEAST, total // NGRAMS)).toArrow()  # at most 2 * NGRAMS
+    first, second = (np.argsort(t.column("hash").to_numpy().view(np.uint64)) for t in (head, often))
+    column = lambda t, c, order: t.column(c).to_numpy()[order]
+    model = spark.sparkContext.broadcast((column(head, "hash", first).view(np.uint64), column(head, "n", first), column(head, "weight", first), column(often, "hash", second).view(np.uint64), column(often, "weight", second)))
 
     schema = f"uid long, id {rows.schema['id'].dataType.simpleString()}, n_tokens long, known long, base double, part double, rest array<long>, times array<long>"
     zero = -float(np.log10(total + distinct + 1))
@@ -248,9 +395,17 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     rest = parts.select("uid", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("uid", F.col("w.rest").alias("hash"), F.col("w.times").alias("times"))
     found = rest.join(words.where(F.col("n") < max(1, total // HEAD)), "hash", "left")
     unknown = float(np.log10(max(discount * distinct, 1e-300) / max(total, 1))) if distinct else 0.0
-    own = F.when(F.col("n").isNull(), F.lit(unknown)).otherwise(F.log10((F.col("n") - F.lit(discount)) / F.lit(max(total, 1))))
-    sums = found.groupBy("uid").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("gain"), F.sum(F.col("times") * own).alias("own"))
+    own = F.coalesce("weight", F.lit(unknown))
+    sums = work.keep(found.groupBy("uid").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("gain"), F.sum(F.col("times") * own).alias("own")))
+    at = F.shiftrightunsigned(F.shiftrightunsigned("hash", 32) * ranges, 32)
+    tail = weights.where(F.col("n") < max(LEAST, total // NGRAMS)).select(at.alias("range"), "hash", "weight")
+    joined = []
+    for part in range(PASSES[1]):
+        found = map_arrow(rows.select("uid", "text"), _occurrences(model, ranges, part), "range long, uids binary, keys binary, texts binary")
+        both = found.groupBy("range").cogroup(tail.where(F.col("range") % PASSES[1] == part).groupBy("range"))
+        joined.append(work.keep(both.applyInArrow(_weigh, "uid long, part double").groupBy("uid").agg(F.sum("part").alias("grams"))))
+    joined = reduce(DataFrame.union, joined).groupBy("uid").agg(F.sum("grams").alias("grams"))
     flags = rows.select("uid", "training")
-    out = parts.drop("rest", "times").join(sums, "uid", "left").join(flags, "uid")
+    out = parts.drop("rest", "times").join(sums, "uid", "left").join(joined, "uid", "left").join(flags, "uid")
     zero_of = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("id", "training", "n_tokens", (F.col("known") + zero_of("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + zero_of("gain")).alias("base_score"), (F.col("part") + zero_of("own")).alias("score"))
+    return out.select("id", "training", "n_tokens", (F.col("known") + zero_of("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + zero_of("gain")).alias("base_score"), (F.col("part") + zero_of("own") + zero_of("grams")).alias("score"))
