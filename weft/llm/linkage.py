@@ -136,8 +136,12 @@ def link_components(
         rest = _pairs(_between(work.keep(known.distinct()), "hub", sizes & places)).union(_within(work, members, threshold))
     else:
         rest = _pairs(_between(work.keep(known), "comp", sizes & places))
-    # In a family every item of a list has been compared, so all texts are there.
-    more, have = check(work, rest.distinct(), texts, verify, have if family else None)
+    rest = work.keep(rest.distinct())
+    if family:  # texts of round 1 are there, but not of hubs of all their lists that no item was compared with
+        ends = work.keep(rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().join(have.select("id"), "id", "left_anti"))
+        n = ends.count()
+        have = have.union(work.keep(texts(ends, n))) if n else have
+    more, have = check(work, rest, texts, verify, have if family else None)
     if more.isEmpty():
         return comps
     return components(work, links.union(more))
