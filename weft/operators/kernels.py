@@ -143,22 +143,99 @@ def search_scales(x: np.ndarray, tensor_scale: float, reach: int = 4) -> tuple[n
     return best, error
 
 
+ROUNDS, CLAMP = 3, 4.0
+_SCALES = np.nan_to_num(_E4M3).astype(_F)  # byte 127 stands for blocks of zeros
+
+
+def _encoded(enc: np.ndarray, raw: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """4-bit values of blocks at their whole scales, and squared errors against the values before rounding to bf16."""
+    with np.errstate(all="ignore"):
+        d = np.clip(enc / np.where(total == 0, _F(1), total)[:, None], _F(-6), _F(6))
+        q = np.where(total[:, None] == 0, 0, nearest(d)).astype(_F)
+        e = raw.astype(np.float64) - (q * total[:, None]).astype(np.float64)
+        return q, np.cumsum(e * e, axis=1)[:, -1]  # summed in order
+
+
+def search_states(x: np.ndarray, scales: list[float]) -> tuple[list[np.ndarray], list[np.ndarray], tuple[float, float]]:
+    """States of the blocks (n, 16) of a tensor whose scale took the values ``scales`` in turn, and the sums of the next refit.
+
+    Returns scale bytes and squared errors by block: of the usual bytes; then, for each scale, of the best bytes within 4 of
+    the usual one, and of these at the next scale.  A byte must lose strictly less than the one before to replace it.
+    """
+    raw = np.ascontiguousarray(x, _F)
+    enc, first = bf16_values(bf16_bits(raw)), _F(scales[0])
+    with np.errstate(all="ignore"):
+        usual = np.minimum(np.abs(enc).max(axis=1) / _F(6) / first, _F(448))
+    edges = (_E4M3[1:127] + _E4M3[:126]) / 2
+    k = np.searchsorted(edges, usual)
+    byte = np.where(np.isnan(usual), 127, k + ((k < 126) & (usual == edges[np.minimum(k, 125)]) & (k % 2 == 1)))
+    total = first * _SCALES[byte]
+    q, e = _encoded(enc, raw, total)
+    frozen = (total == 0) | ~np.isfinite(total)
+    low, high = np.maximum(byte - 4, 0), np.minimum(byte + 4, 126)
+    bytes_, errors, cross, norm = [byte], [e], 0.0, 0.0
+    for at, scale in enumerate(map(_F, scales)):
+        best = byte.copy()
+        q, e = _encoded(enc, raw, scale * _SCALES[best])
+        for step in range(9):
+            other = low + step
+            q2, e2 = _encoded(enc, raw, scale * _SCALES[np.minimum(other, 126)])
+            better = (e2 < e) & ~frozen & (other <= high)
+            best, e, q = np.where(better, other, best), np.where(better, e2, e), np.where(better[:, None], q2, q)
+        bytes_.append(best)
+        errors.append(e)
+        c = q.astype(np.float64) * np.where(frozen, 0, _SCALES[best]).astype(np.float64)[:, None]
+        cross, norm = float((c * raw).sum()), float((c * c).sum())
+        if at + 1 < len(scales):
+            bytes_.append(best)
+            errors.append(_encoded(enc, raw, _F(scales[at + 1]) * _SCALES[best])[1])
+        byte = best
+    return bytes_, errors, (cross, norm)
+
+
+def _blocks(row: np.ndarray) -> np.ndarray:
+    return np.pad(row, (0, -len(row) % 16)).reshape(-1, 16)
+
+
 def scale_search(rows: DataFrame, scales: DataFrame) -> DataFrame:
-    """(tensor, row_id, bytes, error): scale bytes of each row's blocks chosen by least squared error; ``scales`` has tensor_scale."""
-    ship_package(rows.sparkSession)
+    """(tensor, row_id, bytes, error, tensor_scale): scale bytes and the tensor's scale by least squared error.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, errors = [], []
-            if batch.num_rows:
-                for x, s in zip(_rows(batch).astype(np.float64), batch.column("tensor_scale").to_pylist(), strict=True):
-                    byte, e = search_scales(x.reshape(-1, 16), s)
-                    out.append(byte.tolist())
-                    errors.append(float(e.sum()))
-                yield pa.RecordBatch.from_arrays([batch.column("tensor"), batch.column("row_id"), pa.array(out, pa.list_(pa.int32())), pa.array(errors)], ["tensor", "row_id", "bytes", "error"])
-
-    both = rows.select("tensor", "row_id", "v").join(scales, "tensor")
-    return both.mapInArrow(run, f"tensor {rows.schema['tensor'].dataType.simpleString()}, row_id long, bytes array<int>, error double")
+    ``scales`` has the usual tensor_scale.  Three rounds choose the bytes within 4 of the usual ones, refit the tensor's scale
+    in closed form, within a quarter and four times the usual one, and encode again; the state of the whole tensor that loses
+    least is kept, the usual one included.  Every round is a pass over the rows that repeats the rounds before, so
+    only a tensor's few scales and sums travel.
+    """
+    from pyspark.sql import functions as F
+
+    ship_package(rows.sparkSession)
+    rows = rows.select("tensor", "row_id", "v")
+    name = f"tensor {rows.schema['tensor'].dataType.simpleString()}"
+
+    def each(row_of, schema: str, given: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = []
+                for v, s, best in zip(batch.column("v"), batch.column("scales").to_pylist(), batch.column("best").to_pylist(), strict=True):
+                    got.append(row_of(search_states(_blocks(np.array(v.values.to_numpy(zero_copy_only=False), _F)), s), best))
+                if got:
+                    columns = [pa.array(c, pa.list_(pa.int32())) if isinstance(c[0], list) else pa.array(c, pa.float64()) for c in zip(*got, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column("tensor"), batch.column("row_id"), *columns], ["tensor", "row_id", *[f.split()[0] for f in schema.split(", ")]])
+
+        return rows.join(given, "tensor").mapInArrow(run, f"{name}, row_id long, {schema}")
+
+    state = scales.select("tensor", F.array(F.col("tensor_scale").cast("float").cast("double")).alias("scales"), F.lit(0).alias("best"))
+    for _ in range(ROUNDS):
+        sums = each(lambda found, best: found[2], "cross double, norm double", state).groupBy("tensor").agg(F.sum("cross").alias("cross"), F.sum("norm").alias("norm"))
+        refit = F.expr("CASE WHEN norm > 0 AND cross > 0 AND norm < DOUBLE('Infinity') AND cross < DOUBLE('Infinity') THEN CAST(CAST(cross / norm AS FLOAT) AS DOUBLE) END")
+        refit = F.when(refit > 0, F.least(F.greatest(refit, F.col("scales")[0] / CLAMP), F.col("scales")[0] * CLAMP)).otherwise(F.element_at("scales", -1))
+        state = state.join(sums, "tensor").select("tensor", F.concat("scales", F.array(refit)).alias("scales"), "best")
+    n = 2 * ROUNDS + 1
+    losses = each(lambda found, best: tuple(float(e.sum()) for e in found[1][:n]), ", ".join(f"e{k} double" for k in range(n)), state)
+    losses = losses.groupBy("tensor").agg(F.array(*[F.sum(f"e{k}") for k in range(n)]).alias("e"))
+    best = "if(e[0] < DOUBLE('Infinity'), aggregate(sequence(1, size(e) - 1), 0, (b, k) -> if(e[k] < e[b], k, b)), 0)"  # not a number: greater
+    state = state.drop("best").join(losses.select("tensor", F.expr(best).alias("best")), "tensor")
+    out = each(lambda found, best: (found[0][best].tolist(), float(found[1][best].sum())), "bytes array<int>, error double", state.select("tensor", "scales", "best"))
+    return out.join(state.select("tensor", F.expr("scales[best div 2]").alias("tensor_scale")), "tensor")
 
 
 # The 16 levels of the non-linear 4-bit format.

@@ -43,10 +43,10 @@ def rotation_incoherence(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("nvfp4_scale_search")
 def nvfp4_scale_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Scale bytes by least squared error, with the error; never more than the usual scales lose."""
+    """Scale bytes and the tensor's scale by least squared error, in three rounds; never more than the usual scales lose."""
     rows = matrix(spark, folder)
     scales = Q.with_tensor_max(rows).groupBy("tensor").agg(F.expr("max(CAST(amax AS DOUBLE)) / 2688").alias("tensor_scale"))
-    return X.scale_search(rows, scales).select("tensor", "row_id", F.array_join(F.col("bytes").cast("array<string>"), ",").alias("bytes"), "error")
+    return X.scale_search(rows, scales).select("tensor", "row_id", F.array_join(F.col("bytes").cast("array<string>"), ",").alias("bytes"), "error", "tensor_scale")
 
 
 @query("bias_correction")
