@@ -75,6 +75,13 @@ def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "end", "n_units", "n_words", F.col("kept_id").alias("kept_doc_id"), "kept_start")
 
 
+@query
+def op5_repeated_units(spark: SparkSession, folder: str) -> DataFrame:
+    """All runs of sentences that stand in an earlier document, or earlier in the same one, however short."""
+    found = repeated_units(table(spark, folder, "documents"), min_words=1)
+    return found.select(F.col("id").alias("doc_id"), "start", "end", "n_units", "n_words", F.col("kept_id").alias("kept_doc_id"), "kept_start")
+
+
 @query
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents with 5-word-shingle Jaccard similarity of at least 0.8."""
