@@ -34,6 +34,9 @@ _RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"_+/-."]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _EDGE = b"+/-._"
+#: Values set after a key word; of VALUE characters or more, with or without digits, up to a blank or quote.
+VALUE = 8
+_VALUE = re.compile(rb"(?:token|secret|key|passw(?:or)?d|passwd|pwd|auth|credentials?|bearer)[\"']?[ \t]*[=:][ \t]*(?:\"([^\"\r\n]{%d,200})\"|'([^'\r\n]{%d,200})'|([^\s\"',;]{%d,200}))" % (VALUE, VALUE, VALUE), re.I)
 #: Words that speak for and against a secret nearby, and parts of paths of tests and documentation.
 _FOR = re.compile(r"token|secret|key|passw|pwd|auth|credential|bearer")
 _AGAINST = re.compile(r"commit|sha|md5|checksum|uuid|\bid\b|digest|hash|example|version|build|page|image|url")
@@ -108,7 +111,31 @@ class Corpus:
 
 
 def candidates(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(text, start, end), in bytes of ``data``: runs of key characters of enough length with a digit."""
+    """(text, start, end), in bytes of ``data``: runs of key characters of enough length with a digit, and values set after key words.
+
+    A value that holds a run and other marks is the candidate in its place.
+    """
+    values = []
+    for d in range(len(off) - 1):
+        for m in _VALUE.finditer(bytes(data[off[d] : off[d + 1]])):
+            a, b = m.span(m.lastindex)
+            values.append((d, int(off[d]) + a, int(off[d]) + b))
+    at = 0
+    for run in _runs(data, off):
+        while at < len(values) and values[at][1] < run[1] and values[at][2] <= run[1]:
+            yield values[at]
+            at += 1
+        if at < len(values) and values[at][1] <= run[1] and run[2] <= values[at][2]:  # within a value
+            if not bytes(data[values[at][1] : run[1]]).strip(_EDGE) and not bytes(data[run[2] : values[at][2]]).strip(_EDGE):
+                values[at] = run  # but for marks at its ends
+            continue
+        while at < len(values) and values[at][1] < run[2]:  # a run is whole
+            at += 1
+        yield run
+    yield from values[at:]
+
+
+def _runs(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int]]:
     starts, ends, _, first = K.words(data, off, _RUN, hashes=False)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     for k in np.flatnonzero((ends - starts >= LENGTH) & (digits[ends] > digits[starts])):
@@ -149,7 +176,8 @@ def _find(model) -> Callable:
 def find_secrets(docs: DataFrame, findings: list[tuple[str, str, str, str, int]], id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", least: float = LEAST) -> DataFrame:
     """(id, start, end, sha256, probability, kept): one row for each candidate in ``docs``.
 
-    Candidates are runs of 16 or more letters, digits and _ + / - . with a digit, without such marks at their ends.
+    Candidates are runs of 16 or more letters, digits and _ + / - . with a digit, without such marks at their ends, and values of
+    8 or more characters that are set (= or :) after a key word, whatever their characters.
     ``findings`` are labelled rows (token, before, after, path, 1 for a secret) that the forest is fitted on.  [start, end) are
     characters of the text; the secret itself is given as a digest only.  ``kept`` are findings with a probability of at
     least ``least``; the others are false positives.  Null and empty texts have no candidates, a null path speaks for
