@@ -262,48 +262,44 @@ def test_lm_base_and_sums(spark):
         r = next(r for r in got[i] if r.n_tokens == len(w))
         assert (not r.training, r.n_known, r.train_tokens) == (held[i], sum(count[x] > 0 for x in w), total)
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score <= 0
-    assert sum(r.score for rs in got.values() for r in rs) > sum(r.base_score for rs in got.values() for r in rs)
     assert lm_score.score_texts(cases.empty(spark), toxicity.remainder("doc_id", 7) != 2).count() == 0
 
 
+def ngram_counts(texts):
+    return Counter(tuple(w[i : i + k]) for w in texts for k in (1, 2, 3) for i in range(len(w) - k + 1))
+
+
 def test_automaton_probabilities_sum_to_one():
     r = random.Random(1)
-    text = [r.choice("abcab") for _ in range(400)]
-    words = sorted(set(text))
-    hashes = np.array([ord(w) for w in words], np.uint64)
-    one, two, three = Counter(text), Counter(zip(text, text[1:], strict=False)), Counter(zip(text, text[1:], text[2:], strict=False))
-    grams = [([ord(w) for w in g], n) for c in (two, three) for g, n in c.items() if n > 4]
-    for ws in list(two):  # a context's count must cover its continuations
-        one[ws[0]] = max(one[ws[0]], sum(n for g, n in two.items() if g[0] == ws[0]))
-    a = lm_score.build(hashes, np.array([one[w] for w in words]), sum(one.values()), 0.5, grams)
-    unknown = 0.5 * len(words) / sum(one.values())
-    for prefix in ([], [0], [1, 0], [0, 1], [2, 0, 1]):
+    texts = [[*(r.choice("abcde") for _ in range(r.randint(0, 40))), "\0end"] for _ in range(30)]
+    a = lm_score.build(ngram_counts(texts), "\0end")
+    for prefix in ([], ["a"], ["b", "a"], ["a", "b"], ["c", "a", "b"], ["?"], ["a", "?"], ["?", "a"]):
         before = lm_score.traverse(a, prefix)
-        known = sum(10 ** (lm_score.traverse(a, [*prefix, w]) - before) for w in range(len(words)))
-        other = 10 ** (lm_score.traverse(a, [*prefix, -1]) - before) * unknown
-        assert abs(known + other - 1) < 1e-9
+        assert abs(sum(10 ** (lm_score.traverse(a, [*prefix, w]) - before) for w in [*"abcde", "\0end", "?"]) - 1) < 1e-9
 
 
-@pytest.mark.parametrize("ngrams", [250_000, 40])
-def test_lm_holds_every_ngram_that_occurs_twice(spark, monkeypatch, ngrams):
+@pytest.mark.parametrize("chunk", [1_000_000, 40])
+def test_lm_is_the_automaton_of_all_ngrams(spark, monkeypatch, chunk):
     r = random.Random(6)
-    texts = [" ".join(r.choice("abcdefgh") + r.choice("xyz") for _ in range(r.randint(0, 60))) for _ in range(60)] + ["rare pair here", "a rare pair again", "rare pair"] + ["ax by cz"] * 30
-    monkeypatch.setattr(lm_score, "NGRAMS", ngrams)  # decides what is broadcast, not what the model holds
-    monkeypatch.setattr(lm_score, "CHUNK", 300)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.id: x.score for x in lm_score.score_texts(df, toxicity.remainder("doc_id", 7) != 2).collect()}
+    texts = [" ".join(r.choice("abcdefgh") + r.choice("xyz") for _ in range(r.randint(0, 60))) for _ in range(60)] + ["rare pair here", "A rare pair again", "rare pair", None, ""] + ["ax by cz"] * 30
+    monkeypatch.setattr(lm_score, "CHUNK", chunk)  # decides what travels together, not what the model holds
+    monkeypatch.setattr(lm_score, "BUCKET", chunk)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.id: x for x in lm_score.score_texts(df, toxicity.remainder("doc_id", 7) != 2).collect()}
     split = [[*cases.spaced(t), "\0end"] for t in texts]
-    learnt = [w for i, w in enumerate(split) if zlib.crc32(str(i).encode()) % 7 != 2]
-    counts = [Counter(tuple(w[i : i + k]) for w in learnt for i in range(len(w) - k + 1)) for k in (1, 2, 3)]
-    number = {w: i for i, (w,) in enumerate(sorted(counts[0]))}
-    one = np.array([counts[0][(w,)] for w in number])
-    total, discount = int(one.sum()), (lambda a, b: a / (a + 2 * b) if a and b else 0.5)(int((one == 1).sum()), int((one == 2).sum()))
-    grams = [([number[w] for w in g], n) for c in counts[1:] for g, n in c.items() if n >= 2]
-    a = lm_score.build(np.arange(len(number), dtype=np.uint64), one, total, discount, grams)
-    unknown = math.log10(discount * len(number) / total)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    counts = ngram_counts([w for w, h in zip(split, held, strict=True) if not h])
+    a = lm_score.build(counts, "\0end")
     for i, w in enumerate(split):
-        own = [number.get(x, -1) for x in w]
-        assert abs(got[i] - (lm_score.traverse(a, own) + unknown * own.count(-1))) < 1e-9 * max(1, abs(got[i]))
+        want = lm_score.traverse(a, w)
+        assert abs(got[i].score - want) < 1e-9 * max(1, abs(want)) and (got[i].n_tokens, got[i].training) == (len(w), not held[i])
+
+
+def test_lm_without_training_rows(spark):
+    from pyspark.sql import functions as F
+
+    got = lm_score.score_texts(cases.docs(spark), F.lit(False)).collect()
+    assert len(got) == len(cases.texts()) and {(r.n_known, r.train_tokens, r.base_score, r.score) for r in got} == {(0, 0, 0.0, 0.0)}
 
 
 def test_toxicity(spark):

@@ -1,18 +1,18 @@
-"""Language-model scoring with a backoff model of word pairs and triples.
-
-Words are counted exactly over all training texts, and so are word pairs and triples; those that occur at least LEAST
-times are in the model, at any size of corpus.  The model is a table: it is never gathered in one place.
-
-Probabilities are discounted absolutely: P(w | h) = (c(hw) - D) / c(h) for an n-gram of the model, else backoff(h) P(w | shorter h);
-at the root (c(w) - D) / N, and what the discounts leave, D V / N, is the one unknown word's.  ``build`` and ``traverse`` state
-this as an automaton with failure arcs.  As a pair of the model follows from its triples, a text's score is a plain
-sum: of log P(w) + log backoff(w) over its words, log P(w | v) - log P(w) - log backoff(v) + log backoff(vw) over its pairs vw
-and log P(w | uv) - log backoff(uv) - log P(w | v) over its triples uvw, those of the model.  So every
-n-gram has one weight, and scoring is a join of texts' n-grams with weights, summed by text.
-
-N-grams travel as arrays, one for each chunk of texts and range of hashes; ranges hold about BUCKET tokens' n-grams at any size.
-They are taken in a few passes over the texts, which bounds the disk.  Weights of frequent n-grams are broadcast, which
-saves their way and spreads them; the weights of all others are joined.
+"""Language-model scoring with a weighted backoff automaton of word pairs and triples.
+
+The states are the contexts, that is the root, the words and the word pairs of the training texts, all of them, however rare.
+With c the counts, the arc for word w from state h weighs log10 of P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), where h' is h
+without its first word; the failure arc from h to h' weighs log10(m / (c(h) + m)), which is what the arc's formula gives for
+c(hw) = 0.  At the root P(w) = (c(w) + 1) / (N + V + 1), with one class for all unknown words.  Every state's probabilities
+sum to one.  m (one number for words, one for pairs) is such that the failure arcs are as likely as they should be: with
+each token of a context that occurs again left out in turn, as many are expected to be new to their context as are so.
+:func:`build` and :func:`traverse` state this for an automaton that fits in one place.
+
+The automaton of a large corpus does not, so each chunk of texts gets the part of it that its texts walk through.  A
+chunk holds about CHUNK tokens.  It sends its distinct n-grams with their counts in training texts, dealt by ranges of
+hashes; a range adds up what all chunks sent and answers each with the sums; with them the chunk walks its texts once from
+left to right.  Nothing is broadcast or collected but how many n-grams have how many digits.  An n-gram that is everywhere is one number
+from each chunk, so no range is hot.  N-grams are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -30,18 +30,15 @@ from pyspark.sql import functions as F
 from weft.llm import kernel as K
 from weft.llm.work import Work, binary_column, map_arrow, session_of
 
-#: Pairs and triples that occur so often are in the model.
-LEAST = 2
-#: A word's weight is broadcast if it makes up one in HEAD of all tokens, a pair's or triple's if one in NGRAMS; others are joined.
-HEAD, NGRAMS = 1_000_000, 250_000
-#: Tokens whose n-grams travel together, tokens to a range of hashes, and passes over the texts for counts and for weights.
-CHUNK, BUCKET, PASSES = 1_000_000, 500_000, (3, 2)
-#: Discount of pairs and triples.
-DISCOUNT = 0.75
-#: Distinct words that a task gathers before it sends their counts on.
-GATHER = 1_000_000
+#: Tokens in a chunk, and tokens for a range of hashes.
+CHUNK, BUCKET = 1_000_000, 1_000_000
+#: Passes over the chunks, each with a part of the ranges; the disk for questions shrinks with them.
+PASSES = 3
+#: Words in an n-gram.
+SIZES = (1, 2, 3)
 #: The end of a text.
 END = 0x454E44
+_A, _B, _C, _D = (K.U(x) for x in K._weights(4))
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,90 +48,85 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, first[1:], K.U(END)), first + np.arange(len(first))
 
 
-_A, _B, _C, _D = (int(x) for x in K._weights(4))
-_UNDO = tuple(K.U(pow(x, -1, 1 << 64)) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, _A, _C))
-
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk: its number, tokens, texts' ids, flags and lengths, distinct words and the words' numbers in order."""
 
-def _unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of K.mix."""
-    x = (x ^ (x >> K.U(31)) ^ (x >> K.U(62))) * _UNDO[1]
-    x = (x ^ (x >> K.U(27)) ^ (x >> K.U(54))) * _UNDO[0]
-    return x ^ (x >> K.U(30)) ^ (x >> K.U(60))
+    from pyspark import TaskContext
 
+    number, hs, sizes, flags, ids = TaskContext.get().partitionId() << 33, [], [], [], []
 
-def ngrams(h: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(size, hashes, hashes of what they end in, texts) of the pairs and triples within texts; END is only ever the last word.
-
-    A pair ends in its second word, a triple in its last pair; with that, :func:`beginnings` gives the rest.
-    """
-    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    pair = K.mix(h[:-1] * K.U(_A) + h[1:] * K.U(_B) + K.U(2))
-    inside = text[:-1] == text[1:]
-    yield 2, pair[inside], h[1:][inside], text[:-1][inside]
-    inside = text[:-2] == text[2:]
-    triple = K.mix(pair[:-1] * K.U(_C) + pair[1:] * K.U(_D) + K.U(3))
-    yield 3, triple[inside], pair[1:][inside], text[:-2][inside]
-
-
-def beginnings(size: int, key: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the first words of pairs, and of the first pairs of triples."""
-    if size == 2:
-        return (_unmix(key) - K.U(2) - end * K.U(_B)) * _UNDO[2]
-    return (_unmix(key) - K.U(3) - end * K.U(_D)) * _UNDO[3]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, n) of words."""
-    have: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def flush() -> pa.RecordBatch:
-        key, n = _sum(have)
-        have.clear()
-        return pa.record_batch({"hash": pa.array(key.view(np.int64)), "n": pa.array(n, pa.int64())})
-
-    for batch in batches:
-        h, _ = tokens(batch.column("text"))
-        have.append(np.unique(h, return_counts=True))
-        if sum(len(k) for k, _ in have) > 2 * GATHER:
-            merged = _sum(have)
-            have[:] = [merged]
-            if len(merged[0]) > GATHER:
-                yield flush()
-    if have:
-        yield flush()
-
-
-def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return key, np.bincount(at, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Token hashes, where texts begin, and their uids, for about CHUNK tokens at a time."""
-    hs, begins, uids, n = [], [np.zeros(1, np.int64)], [], 0
-
-    def chunk() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = np.concatenate(hs), np.concatenate(begins), np.concatenate(uids)
-        hs.clear()
-        uids.clear()
-        begins[:] = [np.zeros(1, np.int64)]
-        return out
+    def chunk() -> pa.RecordBatch:
+        words, codes = np.unique(np.concatenate(hs), return_inverse=True)
+        of = pa.concat_arrays(ids)
+        row = {
+            "chunk": pa.array([number], pa.int64()),
+            "n": pa.array([len(codes)], pa.int64()),
+            "ids": pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of),
+            "training": pa.array([np.concatenate(flags).astype(np.uint8).tobytes()], pa.binary()),
+            "sizes": pa.array([np.concatenate(sizes).astype(np.uint32).tobytes()], pa.binary()),
+            "words": pa.array([words.tobytes()], pa.binary()),
+            "codes": pa.array([_packed(codes)], pa.binary()),
+        }
+        for x in (hs, sizes, flags, ids):
+            x.clear()
+        return pa.record_batch(row)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         h, begin = tokens(batch.column("text"))
         hs.append(h)
-        begins.append(begin[1:] + n)
-        uids.append(batch.column("uid").to_numpy())
-        n += len(h)
-        if n >= CHUNK:
+        sizes.append(np.diff(begin))
+        flags.append(batch.column("training").to_numpy(zero_copy_only=False))
+        ids.append(batch.column("id"))
+        if sum(map(len, hs)) >= CHUNK:
             yield chunk()
-            n = 0
+            number += 1
     if hs:
         yield chunk()
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs."""
+    most = int(x.max(initial=0))
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max)).tobytes()
+
+
+def _unpacked(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(b) // n] if n else np.uint8)
+
+
+@dataclass
+class Chunk:
+    """The n-grams of a chunk: ``keys[k]`` are the sorted distinct hashes of size k; token i ends the one numbered ``at[k][i]``, if ``there[k][i]``."""
+
+    sizes: np.ndarray
+    training: np.ndarray
+    keys: dict[int, np.ndarray]
+    at: dict[int, np.ndarray]
+    there: dict[int, np.ndarray]
+
+    @classmethod
+    def of(cls, row: dict, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Chunk:
+        """All n-grams, or the words and those pairs and triples whose hashes are ``wanted``."""
+        sizes, words = np.frombuffer(row["sizes"], np.uint32).astype(np.int64), np.frombuffer(row["words"], np.uint64)
+        codes = _unpacked(row["codes"], row["n"]).astype(np.int64)
+        h, place = words[codes], np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        pair, triple, last = np.zeros_like(h), np.zeros_like(h), (h == K.U(END)).astype(np.uint64)  # the last bit: ends in END
+        pair[1:] = K.mix(h[:-1] * _A + h[1:] * _B + K.U(2)) & ~K.U(1) | last[1:]
+        triple[2:] = K.mix(pair[1:-1] * _C + pair[2:] * _D + K.U(3)) & ~K.U(1) | last[2:]
+        out = cls(sizes, np.frombuffer(row["training"], np.uint8) > 0, {1: words}, {1: codes}, {1: np.ones(len(h), bool)})
+        for k, x in ((2, pair), (3, triple)):
+            out.there[k], out.at[k] = (place >= k - 1) & (wanted(x) if wanted else True), np.zeros(len(h), np.int64)
+            out.keys[k], out.at[k][out.there[k]] = np.unique(x[out.there[k]], return_inverse=True)
+        return out
+
+    def counts(self, k: int) -> np.ndarray:
+        """How often each n-gram of size k is in the chunk's training texts."""
+        own = self.there[k] & np.repeat(self.training, self.sizes)
+        return np.bincount(self.at[k][own], minlength=len(self.keys[k]))
+
+
 def _range(key: np.ndarray, ranges: int) -> np.ndarray:
     return (((key >> K.U(32)) * K.U(ranges)) >> K.U(32)).astype(np.int64)
 
@@ -147,265 +139,155 @@ def _pieces(key: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
         yield int(own[a]), slice(a, b)
 
 
-def _counts(ranges: int, part: int) -> Callable:
-    """Rows (range, size, keys, ends, ns) of the distinct pairs and triples of a chunk, in the ranges of one pass."""
+def _ask(ranges: int, part: int) -> Callable:
+    """Rows (range, size, chunk, keys, ns) of each chunk's distinct n-grams in the ranges of one pass."""
+    kinds = {"range": pa.int64(), "size": pa.int32(), "chunk": pa.int64(), "keys": pa.binary(), "ns": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, begin, _ in _chunks(batches):
-            for size, key, end, _ in ngrams(h, begin):
-                own = _range(key, ranges) % PASSES[0] == part
-                key, first, n = np.unique(key[own], return_index=True, return_counts=True)
-                end, n = end[own][first], n.astype(np.uint32)
-                got = [(r, size, key[at].tobytes(), end[at].tobytes(), n[at].tobytes()) for r, at in _pieces(key, ranges)]
-                if got:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "size", "keys", "ends", "ns"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                chunk = Chunk.of(row, lambda key: _range(key, ranges) % PASSES == part)
+                for k in SIZES:
+                    keys, n = chunk.keys[k], chunk.counts(k)
+                    got = [(r, k, row["chunk"], keys[at].tobytes(), _packed(n[at])) for r, at in _pieces(keys, ranges) if r % PASSES == part]
+                    if got:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds.values(), strict=True)], list(kinds))
 
     return run
 
 
-def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    """(size, hash, a, b, n) of the pairs and triples of one range that occur at least LEAST times."""
+def _answer(asked: pa.Table) -> pa.Table:
+    """For the questions of one range, rows (chunk, range, size, counts) in the order of their keys; (size, digits, distinct, total) of the range,
+    with chunk -1 for n-grams that end in END, which are no contexts, and -2 for the others."""
     out = []
-    for size in (2, 3):
-        own = table.filter(pc.equal(table.column("size"), size))
-        key, end, n = (_joined(own.column(c), t) for c, t in (("keys", np.uint64), ("ends", np.uint64), ("ns", np.uint32)))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
-        n = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        kept = n >= LEAST
-        key, end, n = key[first][kept], end[order[first]][kept], n[kept]
-        out.append(pa.table({"size": pa.array(np.full(len(key), size, np.int32)), "hash": key.view(np.int64), "a": beginnings(size, key, end).view(np.int64), "b": end.view(np.int64), "n": n}))
-    return pa.concat_tables(out)
-
-
-def _occurrences(model, ranges: int, part: int) -> Callable:
-    """Rows (range, uids, keys, texts) of the pairs and triples of a chunk but those whose weights are broadcast, in the ranges of one pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = model.value[3]
-        for h, begin, uid in _chunks(batches):
-            for _, key, _, text in ngrams(h, begin):
-                own = _range(key, ranges) % PASSES[1] == part
-                key, text = key[own], text[own]
-                order = np.argsort(key)
-                key, text = key[order], text[order]
-                rest = ~_find(head, key)[1]
-                key, text = key[rest], text[rest].astype(np.uint32)
-                got = []
-                for r, at in _pieces(key, ranges):
-                    docs, number = np.unique(text[at], return_inverse=True)
-                    small = np.uint16 if len(docs) <= 1 << 16 else np.uint32
-                    got.append((r, uid[docs].tobytes(), key[at].tobytes(), number.astype(small).tobytes()))
-                if got:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "uids", "keys", "texts"])
+    for k in SIZES:
+        rows = asked.filter(pc.equal(asked.column("size"), k)).to_pylist()
+        if not rows:
+            continue
+        n = [len(r["keys"]) // 8 for r in rows]
+        key = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+        own = np.concatenate([_unpacked(r["ns"], m).astype(np.int64) for r, m in zip(rows, n, strict=True)])
+        order = np.argsort(key, kind="stable")  # the pieces are sorted
+        first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]) != 0)
+        total = np.add.reduceat(own[order], first)
+        answer = np.empty(len(key), np.int64)
+        answer[order] = np.repeat(total, np.diff(first, append=len(key)))
+        for r, part in zip(rows, np.split(answer, np.cumsum(n)[:-1]), strict=True):
+            out.append((r["chunk"], r["range"], k, _packed(part), None, None, None))
+        last = key[order[first]] == K.U(END) if k == 1 else key[order[first]] & K.U(1) > 0
+        out += [(c, None, k, None, *d) for c, own in ((-1, total[last]), (-2, total[~last])) for d in digits(own)]
+    kinds = {"chunk": pa.int64(), "range": pa.int64(), "size": pa.int32(), "counts": pa.binary(), "digits": pa.int32(), "distinct": pa.int64(), "total": pa.int64()}
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
+def digits(counts: np.ndarray) -> list[tuple[int, int, int]]:
+    """For each number of binary digits, how many counts (other than 0) have so many, and their sum."""
+    size = np.frexp(counts[counts > 0].astype(np.float64))[1]
+    n, c = np.bincount(size), np.bincount(size, counts[counts > 0])
+    return [(d, int(n[d]), int(c[d])) for d in np.flatnonzero(n).tolist()]
+
+
+def spread(contexts: list[tuple[int, int, int]], once: int) -> float:
+    """m, from the :func:`digits` of contexts and the n-grams that occur once.
+
+    The sum of c(h) m / (c(h) - 1 + m) over contexts that occur again is the number of n-grams that occur once in them.
+    """
+    new = 1 + once - sum(n for d, n, _ in contexts if d == 1)
+    number, total = np.array([[n, c] for d, n, c in contexts if d > 1] or [[1, 2]], float).T
+    low, high = 1e-2, 1e9
+    for _ in range(100):
+        m = (low * high) ** 0.5
+        low, high = (m, high) if (total * m / (total / number - 1 + m)).sum() < new else (low, m)
+    return low
+
+
+def _walk(total: int, distinct: int, m: dict[int, float], ranges: int) -> Callable:
+    """Walks the texts of a chunk through its part of the automaton: (id, training, n_tokens, n_known, base_score, score)."""
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row = chunk.drop_columns(["ids"]).to_pylist()[0]
+        own, seen = Chunk.of(row), {}
+        for k in SIZES:
+            rows = answers.filter(pc.equal(answers.column("size"), k)).sort_by("range").to_pylist()
+            pieces = dict(_pieces(own.keys[k], ranges))
+            parts = [_unpacked(r["counts"], pieces[r["range"]].stop - pieces[r["range"]].start).astype(np.int64) for r in rows]
+            count = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            seen[k] = np.where(own.there[k], count[own.at[k]], 0) if len(count) else np.zeros(row["n"], np.int64)
+        arc = (seen[1] + 1.0) / (total + distinct + 1.0)  # the root's arc to each token
+        base = np.log10(arc)
+        for k in (2, 3):  # the state is the word before, then the pair before; where it lacks the arc, this is its failure arc's way
+            state = np.concatenate([[0], seen[k - 1][:-1]])
+            arc = np.where(own.there[k], (seen[k] + m[k] * arc) / (state + m[k]), arc)
+        begin = np.cumsum(own.sizes) - own.sizes
+        add = lambda x: np.add.reduceat(x, begin)
+        columns = [own.training, own.sizes, add((seen[1] > 0).astype(np.int64)), add(base), add(np.log10(arc))]
+        return pa.table([chunk.column("ids").combine_chunks().flatten(), *map(pa.array, columns)], ["id", "training", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where ``h`` are in sorted ``keys``, and whether they are."""
-    if not len(keys):
-        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.searchsorted(keys, h)
-    at[at == len(keys)] = 0
-    return at, keys[at] == h
-
-
-def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(at, values, n).astype(np.float64)  # of no values, they would be whole numbers
-
-
-def _weigh(rows: pa.Table, weights: pa.Table) -> pa.Table:
-    """(uid, part): sums of the weights of texts' pairs and triples of one range."""
-    keys, w = weights.column("hash").to_numpy().view(np.uint64), weights.column("weight").to_numpy()
-    order = np.argsort(keys)
-    keys, w = keys[order], w[order]
-    uids, parts = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for u, k, t in zip(*(rows.column(c).to_pylist() for c in ("uids", "keys", "texts")), strict=True):
-        u, k = np.frombuffer(u, np.int64), np.frombuffer(k, np.uint64)
-        t = np.frombuffer(t, np.uint16 if len(t) == 2 * len(k) else np.uint32)
-        at, there = _find(keys, k)
-        hits = np.bincount(t[there], minlength=len(u)) > 0
-        uids.append(u[hits])
-        parts.append(_sums(t[there], w[at[there]], len(u))[hits])
-    uid, at = np.unique(np.concatenate(uids), return_inverse=True)
-    return pa.table({"uid": uid, "part": _sums(at, np.concatenate(parts), len(uid))})
-
-
 @dataclass
 class Automaton:
-    """Words are numbers in ``hashes``; state 0 is the root.  Arcs other than the root's are in ``arcs`` by state * words + word."""
-
-    hashes: np.ndarray  # sorted
-    counts: np.ndarray
-    root: list[float]  # log10 P of each word
-    enter: list[int]  # state after each word at the root
-    arcs: dict[int, tuple[float, int]]
-    back: list[float]  # log10 backoff weight of each state
+    """State 0 is the root.  ``arcs[s][w]`` and ``root[w]`` are (log10 weight, next state), ``back[s]`` the failure arc's weight and ``fail[s]`` its end."""
+
+    root: dict[str, tuple[float, int]]
+    unknown: float
+    arcs: list[dict[str, tuple[float, int]]]
+    back: list[float]
     fail: list[int]
 
 
-def build(hashes: np.ndarray, counts: np.ndarray, total: int, discount: float, grams: list[tuple[list[int], int]]) -> Automaton:
-    """From the frequent words (sorted hashes, counts), all tokens, the root's discount, and (hashes, count) of n-grams."""
-    number = {int(h): i for i, h in enumerate(hashes.view(np.int64).tolist())}
-    size = len(hashes)
-    count: dict[tuple[int, ...], int] = {(i,): int(c) for i, c in enumerate(counts)}
-    more = {tuple(number[w] for w in ws): n for ws, n in grams if all(w in number for w in ws)}
-    kept = {g: n for g, n in more.items() if len(g) == 2 or (g[:2] in more and g[1:] in more)}
-    count |= kept
-    contexts = sorted({g[:-1] for g in kept}, key=lambda g: (len(g), g))
-    state = {(): 0} | {c: i + 1 for i, c in enumerate(contexts)}
-
-    def longest(g: tuple[int, ...]) -> int:
-        g = g[-2:]
-        while g not in state:
-            g = g[1:]
-        return state[g]
-
-    p: dict[tuple[int, ...], float] = {(i,): max((c - discount) / total, 1e-300) for i, c in enumerate(counts.tolist())}
-    p |= {g: (n - DISCOUNT) / count[g[:-1]] for g, n in kept.items()}
-    mass, lower = [0.0] * len(state), [0.0] * len(state)
-    for g in kept:
-        s = state[g[:-1]]
-        mass[s] += p[g]
-        lower[s] += p[g[1:]]
-    back = [float(np.log10(max(1 - m, 1e-12) / max(1 - low, 1e-12))) for m, low in zip(mass, lower, strict=True)]
-    back[0] = 0.0
-    fail = [0] * len(state)
-    for c, s in state.items():
-        fail[s] = longest(c[1:]) if c else 0
-    arcs = {state[g[:-1]] * size + g[-1]: (float(np.log10(p[g])), longest(g)) for g in kept}
-    return Automaton(hashes, counts, [float(np.log10(p[(i,)])) for i in range(size)], [longest((i,)) for i in range(size)], arcs, back, fail)
-
-
-def traverse(a: Automaton, words: list[int]) -> float:
-    """log10 probability of words by number (-1: not a frequent word, whose own probability is left out)."""
-    total, s, size = 0.0, 0, len(a.root)
-    root, enter, arcs, back, fail = a.root, a.enter, a.arcs, a.back, a.fail
+def build(counts: dict[tuple[str, ...], int], end: str) -> Automaton:
+    """The automaton of all n-grams of up to three words with their counts; ``end`` is the last word of all texts."""
+    m = {k: spread(digits(np.array([c for g, c in counts.items() if len(g) == k - 1 and g[-1] != end], np.int64)), sum(c == 1 for g, c in counts.items() if len(g) == k)) for k in (2, 3)}
+    n = sum(c + 1 for g, c in counts.items() if len(g) == 1) + 1.0
+    number = {(): 0} | {g: i + 1 for i, g in enumerate(sorted((g for g in counts if len(g) < 3), key=lambda g: (len(g), g)))}
+    p = {g: (c + 1) / n for g, c in counts.items() if len(g) == 1}
+    for k in (2, 3):
+        p |= {g: (c + m[k] * p[g[1:]]) / (counts[g[:-1]] + m[k]) for g, c in counts.items() if len(g) == k}
+    arcs: list[dict[str, tuple[float, int]]] = [{} for _ in number]
+    for g, x in p.items():
+        arcs[number[g[:-1]]][g[-1]] = float(np.log10(x)), number[g[-2:]]
+    back = [0.0] + [float(np.log10(m[len(g) + 1] / (counts[g] + m[len(g) + 1]))) for g in number if g]
+    return Automaton(arcs[0], -float(np.log10(n)), arcs, back, [number[g[1:]] for g in number])
+
+
+def traverse(a: Automaton, words: list[str]) -> float:
+    """log10 probability of words, from left to right."""
+    total, state = 0.0, 0
     for w in words:
-        if w < 0:
-            while s:
-                total += back[s]
-                s = fail[s]
-            continue
-        while s:
-            arc = arcs.get(s * size + w)
-            if arc is not None:
-                total += arc[0]
-                s = arc[1]
-                break
-            total += back[s]
-            s = fail[s]
-        else:
-            total += root[w]
-            s = enter[w]
+        while w not in a.arcs[state] and state:
+            total += a.back[state]
+            state = a.fail[state]
+        step, state = a.arcs[state].get(w, (a.unknown, 0))
+        total += step
     return total
 
 
-def _score(model, base_of_zero: float) -> Callable:
-    """A row for each text: what its frequent words and n-grams say, and its other words with their numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, weights, grams, gram_weights = model.value
-        gain = np.log10(counts + 1.0)
-        for batch in batches:
-            h, begin = tokens(batch.column("text"))
-            size = batch.num_rows
-            text = np.repeat(np.arange(size), np.diff(begin))
-            number, there = _find(hashes, h)
-            part = _sums(text[there], weights[number[there]], size)
-            for _, key, _, of in ngrams(h, begin):
-                at, known = _find(grams, key)
-                part += _sums(of[known], gram_weights[at[known]], size)
-            n = np.diff(begin)
-            out = {"n_tokens": n, "known": np.bincount(text[there], minlength=size), "base": _sums(text[there], gain[number[there]], size) + base_of_zero * n, "part": part, "rest": [], "times": []}
-            for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                rest, times = np.unique(h[x:y][~there[x:y]], return_counts=True)
-                out["rest"].append(rest.view(np.int64).tolist())
-                out["times"].append(times.tolist())
-            kinds = {"n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "part": pa.float64(), "rest": pa.list_(pa.int64()), "times": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("id"), *(pa.array(out[k], t) for k, t in kinds.items())], ["uid", "id", *kinds])
-
-    return run
-
-
-def _weights(work: Work, words: DataFrame, grams: list[DataFrame], total: int, discount: float) -> tuple[DataFrame, DataFrame]:
-    """Words as (hash, n, weight), and pairs and triples as (hash, n, weight); drops what it needs no more, ``grams`` too."""
-    back = F.log10(F.greatest(1 - F.sum("p"), F.lit(1e-12)) / F.greatest(1 - F.sum("lower"), F.lit(1e-12)))
-    root = F.greatest((F.col("n") - discount) / max(total, 1), F.lit(1e-300))
-    of = words.select("hash", F.col("n").cast("double").alias("c"), root.alias("root"))
-    pairs = reduce(DataFrame.union, grams).where("size = 2").join(of.select(F.col("hash").alias("a"), "c"), "a").join(of.select(F.col("hash").alias("b"), F.col("root").alias("lower")), "b")
-    pairs = work.keep(pairs.select("hash", "a", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"), "lower"))
-    singles = work.keep(pairs.groupBy("a").agg(back.alias("back")))
-    several = []
-    for some in grams:
-        threes = some.where("size = 3").join(pairs.select(F.col("hash").alias("a"), F.col("n").alias("c")), "a").join(pairs.select(F.col("hash").alias("b"), F.col("p").alias("lower")), "b")
-        several.append(work.keep(threes.select("hash", "a", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"), "lower")))
-        work.drop(some)
-    triples = reduce(DataFrame.union, several)
-    doubles = work.keep(triples.groupBy("a").agg(back.alias("back")))
-    own = words.join(singles.withColumnRenamed("a", "hash"), "hash", "left").select("hash", "n", (F.log10(root) + F.coalesce("back", F.lit(0.0))).alias("weight"))
-    step = (F.log10("p") - F.log10("lower") - F.col("back")).alias("weight")
-    two = pairs.join(singles, "a").select("hash", "n", step).join(doubles.select(F.col("a").alias("hash"), "back"), "hash", "left")
-    own, two = work.keep(own), work.keep(two.select("hash", "n", (F.col("weight") + F.coalesce("back", F.lit(0.0))).alias("weight")))
-    work.drop(pairs)
-    three = work.keep(triples.join(doubles, "a").select("hash", "n", step))
-    for some in (*several, singles, doubles):
-        work.drop(some)
-    return own, two.union(three)
-
-
 def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, training, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``; scores are log10.
 
     The model learns from the rows for which ``training`` holds (null: it does).  Tokens are runs of bytes other than ASCII
     white space, A-Z as a-z, then one end; null and empty texts have only the end.  base_score adds
     log10((c + 1) / (N + V + 1)) over tokens, score is the model's.  An empty training set leaves c = N = V = 0 and
-    a score of 0.  Repeated rows are scored, and learnt from, each.  Other columns are ignored, whatever their names.
+    scores of 0.  Repeated rows are scored, and learnt from, each.  Other columns are ignored, whatever their names.
     """
     spark = session_of(docs)
     work = Work(spark, "lm")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # every pass leaves its disk to the next
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(True)).alias("training"))
-    texts = rows.where("training").select("uid", "text")
-    words = work.keep(map_arrow(texts.select("text"), _count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
-    total, distinct, ones, twos = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-    ranges = max(16, total // BUCKET)
-    grams = []
-    for part in range(PASSES[0]):
-        found = map_arrow(texts, _counts(ranges, part), "range long, size int, keys binary, ends binary, ns binary")
-        grams.append(work.keep(found.groupBy("range").applyInArrow(_merge, "size int, hash long, a long, b long, n long")))
-    words, weights = _weights(work, words, grams, total, discount)
-
-    head = words.where(F.col("n") >= max(1, total // HEAD)).toArrow().sort_by("hash")  # at most HEAD
-    often = weights.where(F.col("n") >= max(LEAST, total // NGRAMS)).toArrow()  # at most 2 * NGRAMS
-    first, second = (np.argsort(t.column("hash").to_numpy().view(np.uint64)) for t in (head, often))
-    column = lambda t, c, order: t.column(c).to_numpy()[order]
-    model = spark.sparkContext.broadcast((column(head, "hash", first).view(np.uint64), column(head, "n", first), column(head, "weight", first), column(often, "hash", second).view(np.uint64), column(often, "weight", second)))
-
-    schema = f"uid long, id {rows.schema['id'].dataType.simpleString()}, n_tokens long, known long, base double, part double, rest array<long>, times array<long>"
-    zero = -float(np.log10(total + distinct + 1))
-    parts = work.keep(map_arrow(rows.select("uid", "id", "text"), _score(model, zero), schema))
-    rest = parts.select("uid", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("uid", F.col("w.rest").alias("hash"), F.col("w.times").alias("times"))
-    found = rest.join(words.where(F.col("n") < max(1, total // HEAD)), "hash", "left")
-    unknown = float(np.log10(max(discount * distinct, 1e-300) / max(total, 1))) if distinct else 0.0
-    own = F.coalesce("weight", F.lit(unknown))
-    sums = work.keep(found.groupBy("uid").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("gain"), F.sum(F.col("times") * own).alias("own")))
-    at = F.shiftrightunsigned(F.shiftrightunsigned("hash", 32) * ranges, 32)
-    tail = weights.where(F.col("n") < max(LEAST, total // NGRAMS)).select(at.alias("range"), "hash", "weight")
-    joined = []
-    for part in range(PASSES[1]):
-        found = map_arrow(rows.select("uid", "text"), _occurrences(model, ranges, part), "range long, uids binary, keys binary, texts binary")
-        both = found.groupBy("range").cogroup(tail.where(F.col("range") % PASSES[1] == part).groupBy("range"))
-        joined.append(work.keep(both.applyInArrow(_weigh, "uid long, part double").groupBy("uid").agg(F.sum("part").alias("grams"))))
-    joined = reduce(DataFrame.union, joined).groupBy("uid").agg(F.sum("grams").alias("grams"))
-    flags = rows.select("uid", "training")
-    out = parts.drop("rest", "times").join(sums, "uid", "left").join(joined, "uid", "left").join(flags, "uid")
-    zero_of = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("id", "training", "n_tokens", (F.col("known") + zero_of("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + zero_of("gain")).alias("base_score"), (F.col("part") + zero_of("own") + zero_of("grams")).alias("score"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(True)).alias("training"))
+    kind = rows.schema["id"].dataType.simpleString()
+    chunks = work.keep(map_arrow(rows, _chunks, f"chunk long, n long, ids array<{kind}>, training binary, sizes binary, words binary, codes binary"))
+    ranges = max(16, (chunks.agg(F.sum("n")).first()[0] or 0) // BUCKET)
+    several = []
+    for part in range(PASSES):
+        asked = map_arrow(chunks.drop("ids"), _ask(ranges, part), "range long, size int, chunk long, keys binary, ns binary")
+        several.append(work.keep(asked.groupBy("range").applyInArrow(_answer, "chunk long, range long, size int, counts binary, digits int, distinct long, total long")))
+    answers = reduce(DataFrame.union, several)
+    sums = answers.where("chunk < 0").groupBy("size", "chunk", "digits").agg(F.sum("distinct").alias("n"), F.sum("total").alias("c")).orderBy("size", "chunk", "digits").collect()
+    total, distinct = (sum(r[x] for r in sums if r["size"] == 1) for x in ("c", "n"))
+    m = {k: spread([(r["digits"], r["n"], r["c"]) for r in sums if (r["size"], r["chunk"]) == (k - 1, -2)], sum(r["n"] for r in sums if (r["size"], r["digits"]) == (k, 1))) for k in (2, 3)}
+    walked = chunks.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk"))
+    out = walked.applyInArrow(_walk(total, distinct, m, ranges), f"id {kind}, training boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("id", "training", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
