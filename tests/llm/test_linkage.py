@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weft.llm.linkage import link_components
+from weft.llm.linkage import link_components, shared_postings
 from weft.llm.work import Work
 
 
@@ -12,6 +12,7 @@ def test_hub_that_no_item_chose_keeps_its_links(spark):
         lists += [(hub, 10 + i)] * 3 + [(10 + i, 20 + i)] * 4 + [(20 + i, 30 + i)] * 6
     postings = [(key, -1, x, key) for key, pair in enumerate(lists) for x in pair]
     postings = spark.createDataFrame(postings, "key long, salt int, id long, pos int")
+    shared = shared_postings(postings).withColumns({"n": F.lit(1).cast("long"), "last": F.lit(0).cast("long")})
     true = F.col("a") == hub
 
     def texts(ids, n):
@@ -24,5 +25,5 @@ def test_hub_that_no_item_chose_keeps_its_links(spark):
         return pairs.select("a", "b", true.alias("linked"), F.lit(10).cast("long").alias("n"), F.lit(1).cast("long").alias("c"), F.array().cast("array<long>").alias("extras"))
 
     every = F.lit(True)
-    got = link_components(Work(spark, "test"), postings, texts, verify, F.lit(10), every, every, family)
+    got = link_components(Work(spark, "test"), shared, texts, verify, F.lit(10), every, every, family)
     assert {(r.id, r.component) for r in got.collect()} == {(hub, hub), (10, hub), (11, hub), (12, hub)}

@@ -47,4 +47,6 @@ def components(work: Work, links: DataFrame) -> DataFrame:
         nxt = work.keep(_small(_large(e).distinct()))
         work.drop(e)
         e = nxt
+    else:
+        raise RuntimeError(f"components aren't complete after {MAX_ROUNDS} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernel as K
-from weft.llm.linkage import link_components
+from weft.llm.linkage import link_components, shared_postings
 from weft.llm.work import BROADCAST_ROWS, Work, binary_column, map_arrow, session_of, sum_counts
 
 #: Counters of the sketch; each task sends this many 32-bit numbers in SLICES pieces.
@@ -168,7 +168,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def verify(pairs: DataFrame) -> DataFrame:
         return map_arrow(pairs, _verify(k, threshold), "a long, b long")
 
-    comps = link_components(work, postings, texts, verify, prefix_length(threshold), sizes_match(threshold), places_match(threshold), threshold=threshold)
+    comps = link_components(work, shared_postings(postings), texts, verify, prefix_length(threshold), sizes_match(threshold), places_match(threshold), threshold=threshold)
     comps = work.keep(comps.join(classes, comps["id"] == classes["sid"]).select("sid", "component", F.col("rep.id").alias("rep")))
     least = comps.groupBy("component").agg(F.min("rep").alias("least"))
     linked = comps.join(least, "component").select("sid", "least")

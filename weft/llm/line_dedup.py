@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import kernel as K
 from weft.llm.linkage import link_components
-from weft.llm.work import BROADCAST_ROWS, Work, binary_column, map_arrow, session_of
+from weft.llm.work import BROADCAST_ROWS, Work, binary_column, map_arrow, session_of, steady
 
 #: Characters in a shingle.
 SHINGLE = 8
@@ -30,8 +30,10 @@ PLACES = BANDS * ROWS
 FEW, MANY = 160, 102
 #: One line in so many tells which bands are frequent; it decides how postings are dealt, not what is found.
 ONE_IN = 64
-#: Posting lists are split in blocks of about so many lines, or a thousandth of all, if that is more.
+#: Posting lists are split in blocks of about so many lines.
 LIST = 20_000
+#: Distinct lines whose bands travel together, and lines to a range of bands.
+SENT, BUCKET = 40_000, 100_000
 _LOWER = bytes(K.LOWER.tolist())
 _MULTIPLIERS = K.mix(np.arange(1, PLACES + 1, dtype=np.uint64) * K.U(0xC2B2AE3D27D4EB4F)) | K.U(1)
 with np.errstate(over="ignore"):
@@ -55,8 +57,9 @@ def lines_of(text: bytes) -> list[str]:
     return [x.strip(" ") for x in low.split("\n")]
 
 
-def line_hash(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
+def digests(lines: list[str]) -> np.ndarray:
+    """128-bit digests of lines as two longs each; the first is the line's id."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode()) for x in lines]), np.int64).reshape(-1, 2)
 
 
 #: Characters whose signatures are taken at once.
@@ -129,7 +132,8 @@ def bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for signature, which in ((_few, count <= FEW), (_many, count >= MANY)):
         for part in _chunks(lines, np.flatnonzero(which)):
             sig = signature([lines[i] for i in part])
-            keys.append(K.mix((K.mix(sig.reshape(-1, BANDS, ROWS)) * w).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).reshape(-1))
+            band = np.arange(BANDS, dtype=np.uint64)
+            keys.append((K.mix((K.mix(sig.reshape(-1, BANDS, ROWS)) * w).sum(axis=2) + band) & ~K.U(15) | band).reshape(-1))  # the band is in the last four bits
             owner.append(np.repeat(part, BANDS))
     return np.concatenate(owner), np.concatenate(keys).view(np.int64)
 
@@ -140,51 +144,80 @@ def _texts(batch: pa.RecordBatch) -> Iterator[list[str]]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, id, line, lid) of all lines that aren't blank; for one hash in ONE_IN, (lid, key) of its bands."""
+    """(uid, id, line, lid, more) of all lines that aren't blank, ``more`` being the digest's rest; for one id in ONE_IN, (lid, key) of its bands."""
     for batch in batches:
-        rows, lines, lids, sample = [], [], [], {}
+        rows, lines, texts = [], [], []
         for i, doc in enumerate(_texts(batch)):
-            for k, x in enumerate(doc):
-                if x:
-                    lid = line_hash(x)
-                    rows.append(i)
-                    lines.append(k)
-                    lids.append(lid)
-                    if lid % ONE_IN == 0:
-                        sample[lid] = x
-        n = len(rows)
-        at = pa.array(rows, pa.int64())
-        yield pa.record_batch({"uid": batch.column("uid").take(at), "id": batch.column("id").take(at), "line": pa.array(lines, pa.int64()), "lid": pa.array(lids, pa.int64()), "key": pa.nulls(n, pa.int64())})
-        owner, key = bands(list(sample.values()))
+            own = [k for k, x in enumerate(doc) if x]
+            rows.append(np.full(len(own), i))
+            lines += own
+            texts += [x for x in doc if x]
+        if not texts:
+            continue
+        lid, more = digests(texts).T
+        at = pa.array(np.concatenate(rows), pa.int64())
+        yield pa.record_batch({"uid": batch.column("uid").take(at), "id": batch.column("id").take(at), "line": pa.array(lines, pa.int64()), "lid": pa.array(lid), "more": pa.array(more), "key": pa.nulls(len(at), pa.int64())})
+        some, first = np.unique(lid[lid % ONE_IN == 0], return_index=True)
+        owner, key = bands([texts[i] for i in np.flatnonzero(lid % ONE_IN == 0)[first]])
         null = pa.nulls(len(key), pa.int64())
-        yield pa.record_batch({"uid": null, "id": null, "line": null, "lid": pa.array(np.array(list(sample), np.int64)[owner] if len(key) else [], pa.int64()), "key": pa.array(key)})
+        yield pa.record_batch({"uid": null, "id": null, "line": null, "lid": pa.array(some[owner] if len(key) else [], pa.int64()), "more": null, "key": pa.array(key)})
 
 
-def _postings(hot) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _postings(hot, ranges: int) -> Callable:
+    """Rows (range, keys, salts, ids) of the bands of about SENT lines, each line once, dealt by ranges of hashes of key and salt."""
+
+    def rows(lines: dict[int, str]) -> pa.RecordBatch:
         keys, blocks = hot.value
-        sent: set[int] = set()
+        owner, key = bands(list(lines.values()))
+        lid = np.array(list(lines), np.int64)[owner]
+        salt = np.full(len(key), -1, np.int32)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            is_hot = keys[at] == key
+            salt[is_hot] = (lid[is_hot] >> 7) % blocks[at[is_hot]]
+        own = (((K.mix(key.view(np.uint64) + salt.astype(np.uint64)) >> K.U(32)) * K.U(ranges)) >> K.U(32)).astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.diff(own[order], prepend=-1, append=ranges))
+        parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        columns = {c: pa.array([x[p].tobytes() for p in parts], pa.binary()) for c, x in (("keys", key), ("salts", salt), ("ids", lid))}
+        return pa.record_batch({"range": pa.array([own[p[0]] for p in parts], pa.int64()), **columns})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines: dict[int, str] = {}
         for batch in batches:
-            new: dict[int, str] = {}
-            for doc in _texts(batch):
-                for x in doc:
-                    if x and (lid := line_hash(x)) not in sent:
-                        sent.add(lid)
-                        new[lid] = x
-            owner, key = bands(list(new.values()))
-            if not len(key):
-                continue
-            lid = np.array(list(new), np.int64)[owner]
-            salt = np.full(len(key), -1, np.int32)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                is_hot = keys[at] == key
-                salt[is_hot] = (lid[is_hot] >> 7) % blocks[at[is_hot]]
-            yield pa.record_batch({"key": key, "salt": salt, "id": lid, "pos": np.tile(np.arange(BANDS, dtype=np.int8), len(key) // BANDS)})
+            texts = [x for doc in _texts(batch) for x in doc if x]
+            if texts:
+                lines.update(zip(digests(texts)[:, 0].tolist(), texts, strict=True))
+            if len(lines) >= SENT:
+                yield rows(lines)
+                lines.clear()
+        if lines:
+            yield rows(lines)
 
     return run
 
 
+def _lists(asked: pa.Table) -> pa.Table:
+    """The postings (key, salt, id, pos, size) of one range whose list holds another line, or is a block of a frequent key's; ``size`` is the list's."""
+    key, salt, lid = (np.frombuffer(b"".join(asked.column(c).to_pylist()), t) for c, t in (("keys", np.int64), ("salts", np.int32), ("ids", np.int64)))
+
+    def runs(*columns: np.ndarray) -> np.ndarray:
+        """Number of the run of equal rows for each row."""
+        return np.cumsum(np.concatenate([[False], np.any([c[1:] != c[:-1] for c in columns], axis=0)])) if len(columns[0]) else np.zeros(0, np.int64)
+
+    order = np.argsort(key, kind="stable")
+    of = runs(key[order])
+    some = order[(np.bincount(of)[of] > 1) | (salt[order] >= 0)]  # most keys are one line's own
+    some = some[np.lexsort((lid[some], salt[some], key[some]))]
+    each = runs(key[some], salt[some], lid[some])
+    some = some[np.flatnonzero(np.diff(each, prepend=-1))]  # tasks may have sent copies
+    of = runs(key[some], salt[some])
+    size = np.bincount(of)[of] if len(of) else of
+    kept = (size > 1) | (salt[some] >= 0)
+    some, size = some[kept], size[kept]
+    return pa.table({"key": key[some], "salt": salt[some], "id": lid[some], "pos": (key[some] & 15).astype(np.int8), "size": size.astype(np.int32)})
+
+
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) of the lines of each text that ``at`` names as (line, id)."""
     for batch in batches:
@@ -233,20 +266,22 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Lines are parts between line feeds, compared without regard to A-Z or a-z and runs of white space; blank lines are never
     removed.  Two lines are linked when 100 * |intersection| >= threshold * |union| of their sets of 8-character
-    shingles (the whole line if shorter).  Earliest is by id (null last), then ``uid``, the row's number in the
+    shingles (the whole line if shorter).  Lines are told apart by 128 bits and linked by 64 of them; different lines that agree in these
+    64 bits are left alone.  Earliest is by id (null last), then ``uid``, the row's number in the
     input, then line number (from 0).  Null and empty texts have no lines.
     """
     spark = session_of(docs)
     work = Work(spark, "lines")
+    docs = steady(work, docs)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scan = work.keep(map_arrow(rows, _scan, "uid long, id long, line long, lid long, key long"))
+    scan = work.keep(map_arrow(rows, _scan, "uid long, id long, line long, lid long, more long, key long"))
     lines = scan.where("key is null").drop("key")
     first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "uid", "line"))
-    classes = work.keep(lines.groupBy("lid").agg(first.alias("first"), F.count("*").alias("n")))
-    list_ = max(LIST, classes.count() // 1000)
-    hot = scan.where("key is not null").groupBy("key").agg((F.countDistinct("lid") * ONE_IN).alias("n")).where(F.col("n") > list_).orderBy("key").collect()
-    hot = spark.sparkContext.broadcast((np.array([r.key for r in hot], np.int64), np.array([r.n // list_ + 1 for r in hot], np.int64)))
-    postings = map_arrow(rows.select("text"), _postings(hot), "key long, salt int, id long, pos tinyint")
+    classes = work.keep(lines.groupBy("lid").agg(first.alias("first"), F.count("*").alias("n"), F.min("more").alias("low"), F.max("more").alias("top")).where("low = top").drop("low", "top"))
+    hot = scan.where("key is not null").groupBy("key").agg((F.countDistinct("lid") * ONE_IN).alias("n")).where(F.col("n") > LIST).orderBy("key").collect()
+    hot = spark.sparkContext.broadcast((np.array([r.key for r in hot], np.int64), np.array([r.n // LIST + 1 for r in hot], np.int64)))
+    postings = map_arrow(rows.select("text"), _postings(hot, max(16, classes.count() // BUCKET)), "range long, keys binary, salts binary, ids binary")
+    shared = postings.groupBy("range").applyInArrow(_lists, "key long, salt int, id long, pos tinyint, size int").withColumns({"n": F.lit(1).cast("long"), "last": F.lit(0).cast("long")})
 
     def texts(ids: DataFrame, n: int) -> DataFrame:
         at = classes.join(ids, F.col("lid") == F.col("id"), "left_semi")
@@ -260,7 +295,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return map_arrow(pairs, _verify(threshold, True), "a long, b long, linked boolean, n long, c long, extras array<long>")
 
     every = F.lit(True)
-    comps = link_components(work, postings, texts, verify, F.lit(BANDS), every, every, family, threshold)
+    comps = link_components(work, shared, texts, verify, F.lit(BANDS), every, every, family, threshold)
     several = classes.join(comps, F.col("lid") == F.col("id"), "left").where("n > 1 or component is not null")
     grouped = work.keep(several.select("lid", "first", "n", F.coalesce("component", "lid").alias("group")))
     heads = grouped.groupBy("group").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where("all > 1")
@@ -288,6 +323,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All rows and columns stay; a text that lost every line is empty, one that lost none is as it was.
     """
+    docs = steady(Work(session_of(docs), "rows"), docs)
     cut = repeated_lines(docs, id_col, text_col, threshold).groupBy("uid").agg(F.collect_list("line").alias("__cut"))
     rows = docs.select("*", F.monotonically_increasing_id().alias("__uid"))
     both = rows.join(cut.withColumnRenamed("uid", "__uid"), "__uid", "left").drop("__uid").withColumn(text_col, F.col(text_col).cast("string"))

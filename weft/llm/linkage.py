@@ -36,8 +36,7 @@ def shared_postings(postings: DataFrame) -> DataFrame:
     """Postings whose list holds another item (those of frequent keys, which stand in several blocks, all), with the list's size."""
     w = Window.partitionBy("key", "salt")
     lists = postings.select("*", F.min("id").over(w).alias("low"), F.max("id").over(w).alias("top"), F.count("*").over(w).cast("int").alias("size"))
-    out = lists.where("low != top or salt >= 0").drop("low", "top")
-    return out if "n" in out.columns else out.withColumn("n", F.lit(1).cast("long")).withColumn("last", F.lit(0).cast("long"))
+    return lists.where("low != top or salt >= 0").drop("low", "top")
 
 
 def with_hubs(shared: DataFrame, sent: Column, by_size: bool) -> DataFrame:
@@ -99,17 +98,18 @@ def _within(work: Work, family: DataFrame, t: int) -> DataFrame:
 
 
 def link_components(
-    work: Work, postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], sent: Column, sizes: Column, places: Column, family: Callable[[DataFrame], DataFrame] | None = None, threshold: int = 80
+    work: Work, shared: DataFrame, texts: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], sent: Column, sizes: Column, places: Column, family: Callable[[DataFrame], DataFrame] | None = None, threshold: int = 80
 ) -> DataFrame:
     """(id, component) of items that have at least one verified link; component is the smallest id.
 
+    ``shared`` are the postings (key, salt, id, n, last, pos, size) whose list holds another item, as of :func:`shared_postings`.
     ``texts(ids, n)`` returns (id, text) of the n ids; ``verify`` filters (a, text_a, b, text_b) to the linked pairs
     (a, b); ``sent`` counts an item's postings; ``sizes`` is a necessary condition on n, cap and last of a pair and
     ``places`` one on pos and rank too.  ``family`` maps the pairs of round 1 to (a, b, linked, n, c, extras): a's
     size, what it shares with b, and its other elements; the links are of Jaccard similarity threshold / 100.
     """
     by_size = family is not None
-    hubs = work.keep(with_hubs(work.keep(shared_postings(postings)), sent, by_size))
+    hubs = work.keep(with_hubs(work.keep(shared), sent, by_size))
     # Hubs of the blocks of a frequent key are tied to the best of them in the same way.
     tops = hubs.where("salt >= 0").select("key", F.col("hub.share").alias("share"), (-F.col("hub.neg")).alias("id"), F.col("hub.n").alias("n"), F.col("hub.cap").alias("cap"), F.col("hub.last").alias("last")).distinct()
     best = F.max(F.struct("share", (-F.col("id")).alias("neg"), "n", "cap", "last")).over(Window.partitionBy("key"))

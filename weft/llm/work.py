@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,8 +31,10 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset and all is on one machine (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or "file://" + os.path.join(tempfile.gettempdir(), "weft-work")
 
 
@@ -58,8 +61,19 @@ class Work:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def steady(work: Work, df: DataFrame) -> DataFrame:
+    """``df`` itself if it does nothing but read files, so that every scan numbers its rows alike; else a kept copy of it."""
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName().split(" ")[0] not in ("LogicalRelation", "Project", "Filter"):
+            return work.keep(df)
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return df
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with ``__uid``, the row's number, as the operators give it."""
+    """``df``, which must be :func:`steady`, with ``__uid``, the row's number, as the operators give it."""
     return df.select("*", F.monotonically_increasing_id().alias("__uid"))
 
 
