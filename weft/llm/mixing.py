@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.work import Work, running_total, session_of
+from weft.llm.work import Work, running_total, session_of, steady
 
 #: Weights of the sources by rank, repeating.
 WEIGHTS = (5, 2, 1)
 #: A document is taken at most so often, and a source's target is at most so many times its size.
 REPEATS = 3
+#: Of products of two of these, all digits fit in a decimal.
+_WHOLE = "decimal(19,0)"
 
 
 def size_of(text_col: str):
@@ -39,7 +41,7 @@ def targets(work: Work, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, re
     total, left_w = total or 0, left_w or 0
     left, above = total, F.lit(False)
     while left_w:
-        now = F.col("w") * F.lit(left) > F.col("source_size") * F.lit(repeats) * F.lit(left_w)
+        now = F.col("w").cast(_WHOLE) * F.lit(left).cast(_WHOLE) > F.col("source_size").cast(_WHOLE) * F.lit(repeats * left_w).cast(_WHOLE)
         size, w = ranked.agg(F.sum(F.when(now, F.col("source_size"))), F.sum(F.when(~now, F.col("w")))).first()
         above, rest = now, (total - repeats * (size or 0), w or 0)
         if rest == (left, left_w):
@@ -59,7 +61,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken; an empty table gives no rows.  Other columns are ignored, whatever their names.
     """
     work = Work(session_of(docs), "mix")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"))
+    rows = steady(work, docs).select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"))
     rows = work.keep(rows.withColumn("uid", F.monotonically_increasing_id()))
     sources = work.keep(targets(work, rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats))
     sources = sources.withColumnRenamed("source", "name")

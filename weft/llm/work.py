@@ -83,6 +83,14 @@ def without_rows(df: DataFrame, gone: DataFrame, rows: int) -> DataFrame:
     return numbered(df).join(F.broadcast(gone) if rows <= BROADCAST_ROWS else gone, "__uid", "left_anti").drop("__uid")
 
 
+def spread_join(df: DataFrame, keyed: DataFrame, key: str, bound: int = BROADCAST_ROWS // 10, ways: int = 16) -> DataFrame:
+    """``df`` left-joined with ``keyed`` (kept, one row for each key): broadcast within ``bound`` rows, else each key's rows go several ways."""
+    if keyed.count() <= bound:
+        return df.join(F.broadcast(keyed), key, "left")
+    several = keyed.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return df.withColumn("_way", F.pmod(F.xxhash64("uid"), F.lit(ways)).cast("int")).join(several, [key, "_way"], "left").drop("_way")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
