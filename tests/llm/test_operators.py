@@ -204,7 +204,7 @@ def test_repeats_are_cut(spark, unit):
         first = cases.spaced(texts[r.id][r.start : r.end])[:5]
         assert cases.spaced(texts[r.kept_id][r.kept_start :])[:5] == first
     cut = without_repeats(df, unit=unit)
-    assert cut.count() == df.count() and repeated_units(cut, unit=unit).count() == 0 and cut.where("size(removed) > 0").count() > 0
+    assert cut.count() == df.count() and repeated_units(cut, unit=unit).count() == 0 and cut.where("size(__removed) > 0").count() > 0
 
 
 def test_passages_within_lines(spark):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernel as K
-from weft.llm.work import Work, binary_column, map_arrow, session_of
+from weft.llm.work import Work, binary_column, map_arrow, numbered, session_of, steady
 
 _LOWER = bytes(K.LOWER.tolist())
 #: A unit with what separates it from the next one; matches follow each other without gaps.
@@ -28,6 +28,8 @@ _UNIT = {
 }
 #: Runs of fewer words are left alone: short sentences recur by chance.
 MIN_WORDS = 25
+#: A unit that makes up one in so many is frequent.
+OFTEN = 100_000
 _BLANK = b" \t\n\r\f\v"
 
 
@@ -74,22 +76,24 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     within one document count.  Other columns are ignored, whatever their names.
     """
     work = Work(session_of(docs), "units")
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = map_arrow(rows, _digests(unit), "uid long, id long, unit long, start long, end long, n_words long, h1 long, h2 long")
+    rows = steady(work, docs).select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = work.keep(map_arrow(rows, _digests(unit), "uid long, id long, unit long, start long, end long, n_words long, h1 long, h2 long"))
     rank = F.struct(F.col("id").isNull().alias("null"), "id", "start", "uid")
-    firsts = found.groupBy("h1", "h2").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = work.keep(found.join(firsts, ["h1", "h2"]).where((F.col("start") != F.col("kept.start")) | (F.col("uid") != F.col("kept.uid"))).drop("h1", "h2"))
+    firsts = work.keep(found.groupBy("h1", "h2").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1"))
+    # Units that make up one in OFTEN of all or more, so at most OFTEN, are broadcast: none of them is gathered in one task.
+    often = F.col("n") >= max(1000, found.count() // OFTEN)
+    heavy = F.broadcast(firsts.where(often).drop("n"))
+    again = found.join(heavy, ["h1", "h2"]).union(found.join(heavy, ["h1", "h2"], "left_anti").join(firsts.where(~often).drop("n"), ["h1", "h2"]))
+    again = work.keep(again.where((F.col("start") != F.col("kept.start")) | (F.col("uid") != F.col("kept.uid"))).drop("h1", "h2"))
     runs = again.withColumn("run", F.expr("unit - row_number() over (partition by uid order by unit)"))
     out = runs.groupBy("uid", "run").agg(F.first("id").alias("id"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("n_words").alias("n_words"), F.min_by("kept", "unit").alias("kept"))
     out = out.where(F.col("n_words") >= min_words)
     return out.select("uid", "id", "start", "end", "n_units", "n_words", F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start"))
 
 
-def _cut(text: str | None, spans: list[dict] | None) -> str | None:
-    if not text or not spans:
-        return text
+def _cut(text: str, spans: list[dict]) -> str:
     out, at = [], 0
-    for s in sorted(spans, key=lambda s: s["start"]):
+    for s in spans:
         out.append(text[at : s["start"]])
         at = s["end"]
         while at < len(text) and text[at] in " \t\r\n":  # what separated it from the next unit
@@ -98,15 +102,22 @@ def _cut(text: str | None, spans: list[dict] | None) -> str | None:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with every repeated run cut out of its text; ``removed`` lists their original places.
+    """``docs`` with every repeated run cut out of its text; ``__removed`` lists their original places.
 
-    Rows, their order aside, and all other columns stay; ``removed`` is empty where nothing was cut.
+    Rows, their order aside, and all other columns stay; ``__removed`` is empty where nothing was cut.
     """
-    session_of(docs)
-    cut = F.udf(_cut, "string")
-    spans = repeated_units(docs, id_col, text_col, unit, min_words).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    out = docs.select("*", F.monotonically_increasing_id().alias("__uid")).join(spans.withColumnRenamed("uid", "__uid"), "__uid", "left").drop("__uid")
-    return out.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("removed")))).withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    docs = steady(Work(session_of(docs), "rows"), docs)
+    spans = repeated_units(docs, id_col, text_col, unit, min_words).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__removed"))
+    both = numbered(docs).join(spans.withColumnRenamed("uid", "__uid"), "__uid", "left").drop("__uid")
+    both = both.withColumn(text_col, F.col(text_col).cast("string")).withColumn("__removed", F.coalesce("__removed", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = [_cut(t, s) if t and s else t for t, s in zip(batch.column(at).to_pylist(), batch.column("__removed").to_pylist(), strict=True)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return map_arrow(both, run, both.schema)
 
 
 REPEATS_SQL = r"""
