@@ -3,8 +3,9 @@
 Pivots partition the unit vectors; a vector's home is the cell of its nearest pivot.  Angles obey the triangle
 inequality, so a vector meets linked vectors of another cell only if it is near the border of that cell: within the
 range of the half space between the two pivots, and no further from that pivot than from its own plus twice the
-range.  It is replicated to those cells, of two cells to the first, and cells join independently.  A cell's rows
-are dealt into blocks of bounded size and each pair of blocks is a task of its own, so hot cells are no larger tasks.
+range.  It is replicated to those cells, of two cells to the first, and cells join independently.  A cell's vectors
+are packed into blocks of bounded size, replicas by the block they come from; what travels is a row for each block, and each
+pair of blocks is compared by itself, so hot cells are no larger tasks.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from weft.llm.components import components
 from weft.llm.work import Work, map_arrow, session_of
 
-#: Vectors in a cell on average, the largest number of pivots, and rows in a block.
-CELL, MAX_PIVOTS, BLOCK = 2048, 1024, 1024
+#: Vectors in a cell at least, on average, and in a block.  Of n vectors up to sqrt(n) are pivots.
+CELL, BLOCK = 2048, 1024
+#: Numbers in a matrix of vectors by pivots.
+MATRIX = 1 << 22
 
 
 def unit_rows(col: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -50,37 +53,50 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(np.sort(np.concatenate(rows)) if rows else np.zeros(0, np.int64)))
 
 
-def _assign(pivots: list[list[float]], least: float) -> Callable:
+def _assign(pivots, least: float) -> Callable:
     """Rows (rep, mult, v, dim, home, cells): the home cell, and lower cells that the vector is replicated to."""
-    by_dim: dict[int, np.ndarray] = {}
-    for d in {len(p) for p in pivots}:
-        _, mats = unit_rows(pa.array([p for p in pivots if len(p) == d], pa.list_(pa.float64())))
-        by_dim[d] = mats[0]
     reach, sine = math.acos(least), math.sin(math.acos(least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, x in zip(*unit_rows(batch.column("v")), strict=True):
-                p = by_dim.get(x.shape[1])
-                if p is None:
-                    p = np.eye(1, x.shape[1])
-                dots = x @ p.T
-                home = dots.argmax(axis=1)
-                best = dots[np.arange(len(x)), home]
-                apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))[home]
-                near = best[:, None] - dots <= sine * apart + 1e-9
-                angle = np.arccos(np.clip(dots, -1, 1))
-                near &= angle <= np.arccos(np.clip(best, -1, 1))[:, None] + 2 * reach + 1e-9
-                near &= np.arange(len(p)) < home[:, None]
-                part = batch.take(pa.array(at))
-                count, cells = near.sum(axis=1), np.nonzero(near)[1]
-                cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(cells, pa.int32()))
-                dim = pa.array(np.full(len(x), x.shape[1]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("mult"), part.column("v"), dim, pa.array(home, pa.int32()), cells], ["rep", "mult", "v", "dim", "home", "cells"])
+                p = pivots.value.get(x.shape[1], np.eye(1, x.shape[1]))
+                step = max(1, MATRIX // len(p))
+                for i in range(0, len(x), step):
+                    yield part(batch, at[i : i + step], x[i : i + step], p)
+
+    def part(batch: pa.RecordBatch, at: np.ndarray, x: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+        dots = x @ p.T
+        home = dots.argmax(axis=1)
+        best = dots[np.arange(len(x)), home]
+        apart = np.sqrt(np.maximum(2 - 2 * p[home] @ p.T, 0))
+        near = best[:, None] - dots <= sine * apart + 1e-9
+        angle = np.arccos(np.clip(dots, -1, 1))
+        near &= angle <= np.arccos(np.clip(best, -1, 1))[:, None] + 2 * reach + 1e-9
+        near &= np.arange(len(p)) < home[:, None]
+        rows = batch.take(pa.array(at))
+        count, cells = near.sum(axis=1), np.nonzero(near)[1]
+        cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(cells, pa.int32()))
+        dim = pa.array(np.full(len(x), x.shape[1]), pa.int32())
+        return pa.RecordBatch.from_arrays([rows.column("rep"), rows.column("mult"), rows.column("v"), dim, pa.array(home, pa.int32()), cells], ["rep", "mult", "v", "dim", "home", "cells"])
 
     return run
 
 
+def _pack(group: pa.Table) -> pa.Table:
+    """The block of one group (dim, home, k): a row for its home cell, and one with its replicas for each cell that has any."""
+    home, k, dim = (group.column(c)[0].as_py() for c in ("home", "k", "dim"))
+    group = group.combine_chunks()
+    (at,), (x,) = unit_rows(group.column("v").combine_chunks())
+    reps, mult = group.column("rep").to_numpy()[at], group.column("mult").to_numpy()[at]
+    cells = group.column("cells").combine_chunks().take(pa.array(at))
+    of, cell = np.repeat(np.arange(len(at)), np.diff(cells.offsets.to_numpy())), cells.flatten().to_numpy()
+    parts = [(home, np.arange(len(at))), *((int(c), of[cell == c]) for c in np.unique(cell))]
+    columns = {"dim": [dim] * len(parts), "cell": [c for c, _ in parts], "home": [home] * len(parts), "k": [k] * len(parts)}
+    columns = {c: pa.array(v, pa.int32()) for c, v in columns.items()}
+    return pa.table(columns | {c: pa.array([v[own].tobytes() for _, own in parts], pa.binary()) for c, v in (("reps", reps), ("mults", mult), ("x", x))})
+
+
 def _exact(x: np.ndarray, y: np.ndarray) -> float:
     dot = math.fsum((x * y).tolist())
     return dot / (math.sqrt(math.fsum((x * x).tolist())) * math.sqrt(math.fsum((y * y).tolist())))
@@ -98,21 +114,19 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.nd
             return label
 
 
-def _join(least: float) -> Callable:
-    """Compares the two blocks of a group (side 1 empty: the block with itself): (rep, links, root) of linked vectors."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        v = group.column("v").combine_chunks()
-        (at,), (x,) = unit_rows(v)
-        side = group.column("side").to_numpy()[at]
-        reps, mult = group.column("rep").to_numpy()[at], group.column("mult").to_numpy()[at]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = group.column("own")[0].as_py()
-        other = left if alone else right
-        found_a, found_b = [], []
-        for i in range(0, len(left), 512):
-            rows = left[i : i + 512]
+def _compare(least: float) -> Callable:
+    """Compares two blocks, or a block with itself (then the second is null): (rep, links, root) of linked vectors."""
+
+    def pair(row: dict) -> pa.RecordBatch:
+        sides = [(row[f"reps{i}"], row[f"mults{i}"], row[f"x{i}"]) for i in (1, 2) if row[f"reps{i}"] is not None]
+        reps, mult = (np.frombuffer(b"".join(s[j] for s in sides), np.int64) for j in (0, 1))
+        x = np.frombuffer(b"".join(s[2] for s in sides), np.float64).reshape(len(reps), -1)
+        split = len(sides[0][0]) // 8
+        alone = len(sides) == 1
+        other = np.arange(0 if alone else split, len(reps))
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, split, 512):
+            rows = np.arange(i, min(i + 512, split))
             s = x[rows] @ x[other].T
             a, b = np.nonzero(s >= least - 1e-9)
             if alone:
@@ -125,11 +139,15 @@ def _join(least: float) -> Callable:
                 a, b = a[ok], b[ok]
             found_a.append(a)
             found_b.append(b)
-        a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
-        links = np.bincount(a, mult[b], len(x)) + np.bincount(b, mult[a], len(x)) if len(a) else np.zeros(len(x))
-        root = _local_roots(len(x), a, b, reps) if len(a) else reps
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        links = np.bincount(a, mult[b], len(x)) + np.bincount(b, mult[a], len(x))
         some = links > 0
-        return pa.table({"rep": pa.array(reps[some], pa.int64()), "links": pa.array(links[some].astype(np.int64)), "root": pa.array(root[some], pa.int64())})
+        return pa.record_batch({"rep": pa.array(reps[some], pa.int64()), "links": pa.array(links[some].astype(np.int64)), "root": pa.array(_local_roots(len(x), a, b, reps)[some], pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pair(batch.slice(i, 1).to_pylist()[0])
 
     return run
 
@@ -149,31 +167,26 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     usable = map_arrow(rows.where("id is not null and v is not null"), _usable, f"id long, v {rows.schema['v'].dataType.simpleString()}, h1 long, h2 long")
     classes = work.keep(usable.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.any_value("v").alias("v")))
     n = classes.count()
-    pivots = [r.v for r in classes.orderBy(F.xxhash64("rep")).limit(min(MAX_PIVOTS, max(1, n // CELL))).collect()]
+    by_dim: dict[int, list[list[float]]] = {}
+    for r in classes.orderBy(F.xxhash64("rep")).limit(max(1, min(n // CELL, math.isqrt(n)))).collect():
+        by_dim.setdefault(len(r.v), []).append(r.v)
+    pivots = spark.sparkContext.broadcast({d: unit_rows(pa.array(p, pa.list_(pa.float64())))[1][0] for d, p in by_dim.items()})
     schema = f"rep long, mult long, v {rows.schema['v'].dataType.simpleString()}, dim int, home int, cells array<int>"
     dealt = work.keep(map_arrow(classes.select("rep", "mult", "v"), _assign(pivots, least), schema))
 
-    # How many blocks the home rows (h) and the replicas (f) of each cell are dealt into: a row for each pivot.
-    blocks = dealt.select("dim", F.explode(F.concat(F.array(F.struct(F.col("home").alias("cell"), F.lit(1).alias("own"))), F.transform("cells", lambda c: F.struct(c.alias("cell"), F.lit(0).alias("own"))))).alias("c"))
-    blocks = blocks.groupBy("dim", "c.cell").agg(F.sum("c.own").alias("h"), F.count("*").alias("all"))
-    blocks = blocks.select("dim", "cell", F.ceil(F.col("h") / BLOCK).cast("int").alias("h"), F.ceil((F.col("all") - F.col("h")) / BLOCK).cast("int").alias("f"))
-    blocks = F.broadcast(work.keep(blocks))
-    mine = dealt.withColumn("cell", F.col("home")).join(blocks, ["dim", "cell"]).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("h")).cast("int"))
-    mine = mine.select(
-        "rep", "mult", "v", "dim", "cell",
-        F.explode(
-            F.expr(
-                """concat(
-                  transform(sequence(k, h - 1), b -> struct(k as a, b as b, 0 as f, 0 as side, b = k as own)),
-                  transform(filter(sequence(0, h - 1), a -> a < k), a -> struct(a as a, k as b, 0 as f, 1 as side, false as own)),
-                  transform(filter(sequence(0, f), b -> b < f), b -> struct(k as a, b as b, 1 as f, 0 as side, false as own)))"""
-            )
-        ).alias("g"),
-    )
-    guests = dealt.withColumn("cell", F.explode("cells")).join(blocks, ["dim", "cell"]).withColumn("k", F.pmod(F.xxhash64("rep"), F.greatest("f", F.lit(1))).cast("int"))
-    guests = guests.select("rep", "mult", "v", "dim", "cell", F.explode(F.expr("transform(sequence(0, h - 1), a -> struct(a as a, k as b, 1 as f, 1 as side, false as own))")).alias("g"))
-    pairs = mine.union(guests).select("rep", "mult", "v", "dim", "cell", "g.*")
-    found = work.keep(pairs.groupBy("dim", "cell", "a", "b", "f").applyInArrow(_join(least), "rep long, links long, root long"))
+    homes = F.broadcast(work.keep(dealt.groupBy("dim", "home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("h"))))  # a row for each pivot
+    blocks = dealt.join(homes, ["dim", "home"]).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("h")).cast("int")).drop("h")
+    blocks = work.keep(blocks.groupBy("dim", "home", "k").applyInArrow(_pack, "dim int, cell int, home int, k int, reps binary, mults binary, x binary"))
+    # A block meets the blocks of its own cell from its own on, and its replicas all blocks of the cell that they are in.
+    met = blocks.select("dim", "cell", "home", "k").join(homes.withColumnsRenamed({"home": "cell"}), ["dim", "cell"])
+    met = met.withColumn("a", F.explode(F.when(F.col("home") == F.col("cell"), F.sequence(F.lit(0), F.col("k"))).otherwise(F.sequence(F.lit(0), F.col("h") - 1))))
+    payload = ["reps", "mults", "x"]
+    first = blocks.where("home = cell").select("dim", "cell", F.col("k").alias("a"), *[F.col(c).alias(f"{c}1") for c in payload])
+    second = blocks.select("dim", "cell", "home", "k", *[F.col(c).alias(f"{c}2") for c in payload])
+    itself = (F.col("home") == F.col("cell")) & (F.col("k") == F.col("a"))
+    pairs = met.join(second, ["dim", "cell", "home", "k"]).join(first, ["dim", "cell", "a"])
+    pairs = pairs.select(*[f"{c}1" for c in payload], *[F.when(~itself, F.col(f"{c}2")).alias(f"{c}2") for c in payload])
+    found = work.keep(map_arrow(pairs, _compare(least), "rep long, links long, root long"))
 
     comps = components(work, found.select("rep", "root"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
