@@ -39,14 +39,17 @@ def unit_rows(col: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
             continue
         at = np.flatnonzero(there & (size == d))
         x = flat[off[at][:, None] + np.arange(d)]
-        most = np.abs(x).max(axis=1)
-        good = np.isfinite(x).all(axis=1) & (most > 0)
-        x = x[good] / most[good][:, None]
+        good = np.isfinite(x).all(axis=1) & (np.abs(x).max(axis=1) > 0)
         rows.append(at[good])
-        mats.append(x / np.sqrt((x * x).sum(axis=1))[:, None])
+        mats.append(units(x[good]))
     return rows, mats
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, _ = unit_rows(batch.column("v"))
@@ -87,7 +90,10 @@ def _pack(group: pa.Table) -> pa.Table:
     """The block of one group (dim, home, k): a row for its home cell, and one with its replicas for each cell that has any."""
     home, k, dim = (group.column(c)[0].as_py() for c in ("home", "k", "dim"))
     group = group.combine_chunks()
-    (at,), (x,) = unit_rows(group.column("v").combine_chunks())
+    v = group.column("v").combine_chunks()
+    (at,), _ = unit_rows(v)
+    x = v.take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)
+    x = x if x.dtype == np.float32 else x.astype(np.float64)
     reps, mult = group.column("rep").to_numpy()[at], group.column("mult").to_numpy()[at]
     cells = group.column("cells").combine_chunks().take(pa.array(at))
     of, cell = np.repeat(np.arange(len(at)), np.diff(cells.offsets.to_numpy())), cells.flatten().to_numpy()
@@ -120,7 +126,8 @@ def _compare(least: float) -> Callable:
     def pair(row: dict) -> pa.RecordBatch:
         sides = [(row[f"reps{i}"], row[f"mults{i}"], row[f"x{i}"]) for i in (1, 2) if row[f"reps{i}"] is not None]
         reps, mult = (np.frombuffer(b"".join(s[j] for s in sides), np.int64) for j in (0, 1))
-        x = np.frombuffer(b"".join(s[2] for s in sides), np.float64).reshape(len(reps), -1)
+        x = b"".join(s[2] for s in sides)
+        x = units(np.frombuffer(x, np.float32 if len(x) == 4 * len(reps) * row["dim"] else np.float64).reshape(len(reps), -1).astype(np.float64))
         split = len(sides[0][0]) // 8
         alone = len(sides) == 1
         other = np.arange(0 if alone else split, len(reps))
@@ -185,7 +192,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     second = blocks.select("dim", "cell", "home", "k", *[F.col(c).alias(f"{c}2") for c in payload])
     itself = (F.col("home") == F.col("cell")) & (F.col("k") == F.col("a"))
     pairs = met.join(second, ["dim", "cell", "home", "k"]).join(first, ["dim", "cell", "a"])
-    pairs = pairs.select(*[f"{c}1" for c in payload], *[F.when(~itself, F.col(f"{c}2")).alias(f"{c}2") for c in payload])
+    pairs = pairs.select("dim", *[f"{c}1" for c in payload], *[F.when(~itself, F.col(f"{c}2")).alias(f"{c}2") for c in payload])
     found = work.keep(map_arrow(pairs, _compare(least), "rep long, links long, root long"))
 
     comps = components(work, found.select("rep", "root"))
