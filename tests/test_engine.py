@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from weft.functions import names
 from weft.functions import numeric as N
 from weft.functions.numeric import SPARK
-from weft.operators import kernels, quantize
+from weft.functions.names import canonical
+from weft.operators import kernels, quantize, superblocks
 from weft.plans import catalog, policy, validate, verify
 from weft.plans.descriptors import hash_payload
 from weft.plans.methods import BLOCKS, METHODS, scheme_id
@@ -56,13 +57,60 @@ def test_zero_and_nan(spark):
     for made in (quantize.int8_row(zero), quantize.int8_tensor(zero), quantize.int8_block(zero, 2), quantize.fp8_row(zero), quantize.fp8_tensor(zero)):
         assert {(tuple(set(r.codes)), tuple(set(r.scales))) for r in made.collect()} == {((0,), (1.0,))}
     assert {tuple(set(r.codes)) for r in quantize.mxfp8(zero).collect()} == {(0,)}
-    assert {(tuple(set(r.codes)), tuple(set(r.scales))) for r in quantize.nvfp4(zero).collect()} == {((0,), (127.0,))}
+    assert {(tuple(set(r.codes)), tuple(set(r.scales))) for r in quantize.nvfp4(zero).collect()} == {((4,), (127.0,))}
     odd = matrix(spark, [[math.nan, 1.0, -2.0, 0.5] * 8])
     assert quantize.int8_row(odd).first().codes[:4] == [0, 64, -127, 32]
     assert quantize.incoherence(zero).first().gamma is None
     assert matrix(spark, []).count() == quantize.int8_row(matrix(spark, [])).count() == 0
 
 
+def test_odd_numbers(spark):
+    """NaN, infinities, subnormal numbers and -0 in every scheme."""
+    inf = math.inf
+    rows = matrix(spark, [[1.0, math.nan, -2.0, -0.0, 1e-42, 3.0, -1e-42, 0.5] * 4, [1.0, inf, -2.0, -inf, 1e-42, 3.0, 0.25, 0.5] * 4])
+    nan, endless = (rows.where(f"row_id = {k}") for k in (0, 1))
+    for made in (quantize.int8_row(nan), quantize.int8_tensor(nan)):
+        assert made.first().codes[:8] == [42, 0, -85, 0, 0, 127, 0, 21]
+    assert quantize.int8_row(endless).first().codes[:8] == [0] * 8 and quantize.int8_row(endless).first().scales == [inf]
+    assert quantize.fp8_row(nan).first().codes[:4] == [113, 127, 249, 0] and quantize.fp8_tensor(nan).first().codes[1] == 127
+    assert quantize.fp8_row(endless).first().codes[:4] == [0, 127, 0, 127]
+    assert quantize.mxfp8(nan).first().codes[1] == 127 and quantize.mxfp8(nan).first().scales == [120.0]
+    assert quantize.mxfp8(endless).first().scales == [254.0]
+    made = quantize.nvfp4(nan).first()
+    assert set(made.codes) == {4} and set(made.scales) == {127.0} and math.isnan(made.tensor_scale)
+    assert set(quantize.nvfp4(endless).first().codes) == {4}
+    assert quantize.q8_0(nan).first().codes[:4] == [42, 0, -85, 0] and set(quantize.q8_0(endless).first().codes) == {0}
+    assert quantize.q4_0(endless).first().scale == -inf or quantize.q4_0(endless).first().scale == inf
+    for made in (quantize.int8_dequantize(quantize.int8_row(rows)), quantize.fp8_dequantize(quantize.fp8_row(rows)), quantize.mxfp8_dequantize(quantize.mxfp8(rows)), quantize.nvfp4_dequantize(quantize.nvfp4(rows))):
+        assert made.count() == 2
+
+
+def test_e4m3_by_byte(spark):
+    """Every byte's value is its own nearest; ties go to the even one; what is beyond 448 stays there."""
+    def value(b):
+        return (b % 8) * 2.0**-9 if b < 8 else (1 + b % 8 / 8) * 2.0 ** (b // 8 - 7)
+
+    sent = [(b, value(b)) for b in range(127)] + [(128 + b, -value(b)) for b in range(1, 127)]
+    sent += [(b + b % 2, (value(b) + value(b + 1)) / 2) for b in range(126)] + [(126, 464.0), (126, 1e30), (254, -1e30), (126, math.inf), (127, math.nan)]
+    df = spark.createDataFrame(sent, "b int, x double").selectExpr("b", f"{N.e4m3(N.SPARK, 'x')} AS y").selectExpr("b", f"{N.e4m3_code('y')} AS c")
+    assert [r for r in df.collect() if r.b != r.c] == []
+
+
+def test_tiles_that_do_not_divide(spark):
+    rows = matrix(spark, [[1.0, -2.0, 3.0], [0.5, 0.25, -8.0], [0.0, 0.0, 0.0]])
+    with pytest.raises(Exception, match="multiples of 2"):
+        quantize.int8_block(rows, 2).collect()
+    by_row = {r.row_id: (r.scales, r.codes) for r in quantize.fp8_row(rows).collect()}
+    assert {r.row_id: (r.scales, r.codes) for r in quantize.fp8_block(rows, 2).collect()} == by_row
+    assert quantize.fp8_dequantize(quantize.fp8_block(rows, 2), 2).count() == 3
+
+
+def test_wrapped_names(spark):
+    names = {"model.language_model.lm_head.weight": "output.weight", "model.model.lm_head.weight": "output.weight", "lm_head.weight": "output.weight", "model.language_model.model.layers.0.self_attn.q_proj.weight": "blk.0.attn_q.weight", "model.model.model.embed_tokens.weight": "token_embd.weight", "model.language_model.layers.12.mlp.down_proj.weight": "blk.12.ffn_down.weight", "model.model.model.model.embed_tokens.weight": None, "model.lm_head.weight": None}
+    got = {r.name: r.canonical for r in canonical(spark.createDataFrame([(n, "llama") for n in names], "name string, arch string")).collect()}
+    assert got == names
+
+
 def test_formats_decode_close(spark):
     r = np.random.default_rng(3)
     rows = matrix(spark, r.normal(size=(20, 40)).astype(np.float32))
@@ -265,3 +313,70 @@ def test_stream_quantizes_each_file_once(spark, tmp_path):
         quantize_stream(spark, f"{tmp_path}/in", rows.schema, lambda b: b, lambda b: quantize.mxfp8(b), f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").select("row_id", "codes").orderBy("row_id").collect()
     assert [tuple(r.codes) for r in got] == [tuple(r.codes) for r in quantize.mxfp8(rows).orderBy("row_id").collect()]
+
+
+@pytest.mark.parametrize(("kind", "size", "loss"), [("q2_k", 84, 0.12), ("q3_k", 110, 0.04), ("q4_k", 144, 0.01), ("q5_k", 176, 0.003), ("q6_k", 210, 0.001)])
+def test_superblocks(spark, kind, size, loss):
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(20, 512)), 10 * r.uniform(-1, 1, size=(5, 512)), np.zeros((1, 512)), np.full((1, 512), 2.0)]).astype(np.float32)
+    w = r.uniform(0.1, 3, size=512).astype(np.float32)
+    rows = matrix(spark, x.tolist())
+    got = superblocks.superblocks(rows, kind).orderBy("row_id").collect()
+    data = np.stack([np.frombuffer(g.data, np.uint8) for g in got])
+    assert data.shape == (27, 2 * size)
+    back = superblocks.decode(kind, data.reshape(-1, size)).reshape(x.shape)
+    assert (((back - x) ** 2).sum(axis=1) <= loss * (x**2).sum(axis=1) + 1e-12).all()
+    weighted = superblocks.superblocks(rows, kind, spark.createDataFrame([("t", w.tolist())], "tensor string, w array<float>")).orderBy("row_id").collect()
+    better = superblocks.decode(kind, np.concatenate([np.frombuffer(g.data, np.uint8) for g in weighted]).reshape(-1, size)).reshape(x.shape)
+    assert (w * (better - x) ** 2)[:20].sum() <= (w * (back - x) ** 2)[:20].sum()
+    with pytest.raises(Exception, match="whole super-blocks"):
+        superblocks.superblocks(matrix(spark, [[1.0] * 100]), kind).collect()
+
+
+def test_searches_against_loops():
+    """The group searches, element by element in 32-bit steps."""
+    f = np.float32
+    r = np.random.default_rng(8)
+    x, w = r.normal(size=(30, 16)).astype(f), r.uniform(0.1, 2, size=(30, 16)).astype(f)
+    scales, lows, codes = superblocks.search_affine(x, w, 3)
+    signed, levels = superblocks.search_symmetric(x, w, 4)
+
+    def total(values):
+        out = f(0)
+        for v in values:
+            out = f(out + v)
+        return out
+
+    for n in range(30):
+        low, high = min(f(0), x[n].min()), x[n].max()
+        sw, sx = total(w[n]), total([f(a * b) for a, b in zip(w[n], x[n], strict=True)])
+        best, kept = None, None
+        for t in [None, *range(37)]:
+            stretch = f(3) if t is None else f(f(f(-0.9) + f(f(0.05) * f(t))) + f(3))
+            inverse = f(stretch / f(high - low))
+            q = [min(max(int(np.rint(f(inverse * f(v - low)))), 0), 3) for v in x[n]]
+            if t is None:
+                s, m = f(1) / inverse, low
+            else:
+                wq = [f(a * f(c)) for a, c in zip(w[n], q, strict=True)]
+                sq, sqq, sxq = total(wq), total([f(a * f(c)) for a, c in zip(wq, q, strict=True)]), total([f(a * v) for a, v in zip(wq, x[n], strict=True)])
+                det = f(f(sw * sqq) - f(sq * sq))
+                if det <= 0:
+                    continue
+                s, m = f(f(f(sw * sxq) - f(sx * sq)) / det), f(f(f(sqq * sx) - f(sq * sxq)) / det)
+                if m > 0:
+                    s, m = f(sxq / sqq), f(0)
+            loss = total([f(a * f(f(f(f(s * f(c)) + m) - v) ** 2)) for a, c, v in zip(w[n], q, x[n], strict=True)])
+            if best is None or loss < best:
+                best, kept, low = loss, (s, q), m if t is not None else low
+        assert (kept[0], -low, kept[1]) == (scales[n], lows[n], codes[n].tolist())
+        top = x[n][np.abs(x[n]).argmax()]
+        best = None
+        for t in [0, *range(-9, 0), *range(1, 10)]:
+            inverse = f(-f(f(4) + f(f(0.1) * f(t))) / top)
+            q = [min(max(int(np.rint(f(inverse * v))), -4), 3) for v in x[n]]
+            cross, norm = total([f(f(a * v) * f(c)) for a, v, c in zip(w[n], x[n], q, strict=True)]), total([f(f(a * f(c)) * f(c)) for a, c in zip(w[n], q, strict=True)])
+            if best is None or f(cross * cross) > f(best * norm):
+                s = f(cross / norm)
+                best, kept = f(s * cross), (s, [c + 4 for c in q])
+        assert kept == (signed[n], levels[n].tolist())

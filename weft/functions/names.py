@@ -78,13 +78,14 @@ ARCHS = {
 
 #: Steps to the canonical name, columns over (name, arch); each step refers to the one before.
 CANONICAL = [
-    {"bare": "regexp_replace(name, '^(model[.]language_model[.]|model[.]model[.]|model[.])', '')"},
+    {"unwrapped": "regexp_replace(name, '^(model[.]language_model[.]|model[.]model[.])', '')"},
+    {"bare": "regexp_replace(unwrapped, '^model[.]', '')"},
     {"tail": "regexp_extract(bare, '^layers[.][0-9]+[.](.*)$', 1)", "layer": "regexp_extract(bare, '^layers[.]([0-9]+)[.]', 1)"},
     {"core": "regexp_replace(tail, '[.](weight|bias)$', '')", "suffix": "regexp_extract(tail, '([.](weight|bias))$', 1)"},
     {"part": f"CASE WHEN core = 'post_attention_layernorm' THEN CASE WHEN {one_of('arch', POST_ATTENTION_ARCHS)} THEN 'post_attention_norm' ELSE 'ffn_norm' END ELSE {case('core', PARTS)} END"},
-    {"canonical": f"CASE WHEN name = 'lm_head.weight' THEN 'output.weight' WHEN {one_of('bare', TOP)} THEN {case('bare', TOP)} WHEN part IS NOT NULL THEN concat('blk.', CAST(CAST(layer AS BIGINT) AS VARCHAR(20)), '.', part, suffix) END"},
+    {"canonical": f"CASE WHEN unwrapped = 'lm_head.weight' THEN 'output.weight' WHEN {one_of('bare', TOP)} THEN {case('bare', TOP)} WHEN part IS NOT NULL THEN concat('blk.', CAST(CAST(layer AS BIGINT) AS VARCHAR(20)), '.', part, suffix) END"},
 ]
-HELPERS = ("bare", "tail", "layer", "core", "suffix", "part")
+HELPERS = ("unwrapped", "bare", "tail", "layer", "core", "suffix", "part")
 
 
 def canonical(tensors: DataFrame) -> DataFrame:

@@ -37,6 +37,15 @@ def div(a: str, b: str) -> str:
     return f32(f"{f64(a)} / {f64(b)}")
 
 
+INFINITE = "CAST('Infinity' AS DOUBLE)"
+NAN = "CAST('NaN' AS DOUBLE)"
+
+
+def inverse(x: str) -> str:
+    """1 / x of a float from 0 up; infinite for 0, which division refuses."""
+    return f"CASE WHEN {x} = 0 THEN {f32(INFINITE)} ELSE {div('1', x)} END"
+
+
 def clamp(x: str, most: str) -> str:
     return f"greatest(least({x}, {most}), -({most}))"
 
@@ -56,24 +65,24 @@ def _on_grid(d: Dialect, x: str, q: str) -> str:
 
 
 def bf16(d: Dialect, x: str) -> str:
-    """Value of a finite normal float rounded to 8 significant bits, ties to even."""
+    """Value of a normal float rounded to 8 significant bits, ties to even; zeros, infinities and NaN are as they are."""
     ax = f"abs({f64(x)})"
-    return f32(f"CASE WHEN {x} = 0 THEN {f64('0')} ELSE {_on_grid(d, f64(x), two_to(exponent(ax) + ' - 7'))} END")
+    return f32(f"CASE WHEN {x} = 0 OR isnan({x}) OR {ax} = {INFINITE} THEN {f64(x)} ELSE {_on_grid(d, f64(x), two_to(exponent(ax) + ' - 7'))} END")
 
 
 def e4m3(d: Dialect, x: str) -> str:
-    """Value nearest to x with 4 exponent and 3 mantissa bits, ties to even, at most 448 in size."""
+    """Value nearest to x with 4 exponent and 3 mantissa bits, ties to even, at most 448 in size; NaN stays NaN."""
     ax = f"abs({f64(x)})"
-    q = two_to(f"greatest({exponent(f'greatest({ax}, {two_to("-60")})')} - 3, -9)")
-    return f"(CASE WHEN {ax} >= 464 THEN sign({f64(x)}) * 448 ELSE {_on_grid(d, f64(x), q)} END)"
+    steps = " ".join(f"WHEN {ax} < {f64(repr(2.0 ** (e + 1)))} THEN {_on_grid(d, f64(x), f64(repr(2.0 ** (e - 3))))}" for e in range(-6, 8))
+    return f"(CASE WHEN isnan({f64(x)}) THEN {NAN} WHEN {ax} >= 464 THEN sign({f64(x)}) * 448 {steps} ELSE {_on_grid(d, f64(x), f64('32'))} END)"
 
 
 def e4m3_code(v: str) -> str:
-    """Byte of a value on the E4M3 grid (plus zero for zero)."""
+    """Byte of a value on the E4M3 grid (plus zero for zero, 127 for NaN)."""
     av = f"abs({v})"
-    e = exponent(f"greatest({av}, {two_to('-6')})")
-    body = f"CASE WHEN {av} < {two_to('-6')} THEN {av} * 512 ELSE ({e} + 7) * 8 + ({av} / {two_to(e)} - 1) * 8 END"
-    return f"CAST(CASE WHEN {v} < 0 THEN 128 ELSE 0 END + {body} AS INT)"
+    steps = " ".join(f"WHEN {av} < {f64(repr(2.0 ** (e + 1)))} THEN {(e + 6) * 8} + {av} * {f64(repr(8 * 2.0**-e))}" for e in range(-6, 8))
+    body = f"CASE WHEN {av} < {f64(repr(2.0**-6))} THEN {av} * 512 {steps} ELSE 112 + {av} * {f64(repr(8 * 2.0**-8))} END"
+    return f"CAST(CASE WHEN isnan({v}) THEN 127 ELSE CASE WHEN {v} < 0 THEN 128 ELSE 0 END + {body} END AS INT)"
 
 
 def e2m1_code(x: str) -> str:
@@ -90,9 +99,9 @@ def e2m1_value(code: str) -> str:
 
 
 def e8m0(block_max: str, compensate: str = "1") -> str:
-    """Exponent byte of the power of two at or above block_max / 448 (times ``compensate``), as 32-bit logarithms give it."""
+    """Exponent byte of the power of two at or above block_max / 448 (times ``compensate``), as 32-bit logarithms give it; 254 for infinity."""
     need = f"greatest({f32(f'{f64(div(block_max, "448"))} * ({compensate})')}, {f32(two_to('-127'))})"
-    return f"CAST(greatest(least(ceil({f32(f'log2({f64(need)})')}) + 127, 254), 0) AS INT)"
+    return f"CASE WHEN {f64(need)} = {INFINITE} THEN 254 ELSE CAST(greatest(least(ceil({f32(f'log2({f64(need)})')}) + 127, 254), 0) AS INT) END"
 
 
 def e8m0_value(e: str) -> str:

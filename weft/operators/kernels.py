@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,8 +90,9 @@ def rotated(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+@lru_cache(maxsize=16)
 def calibration_mean(width: int, seed: int, samples: int = 3072) -> np.ndarray:
-    """Mean input of the calibration draw.  The draw is numpy's normal one, so corrections agree in distribution only."""
+    """Mean input of the calibration draw, drawn once by a worker.  The draw is numpy's normal one, so corrections agree in distribution only."""
     return np.random.default_rng([seed, width]).standard_normal((samples, width)).mean(axis=0)
 
 

@@ -3,7 +3,9 @@
 A scheme aggregates the largest magnitude of a tensor, row, tile or slice into a scale, then encodes.  Row and slice schemes
 are array expressions without a shuffle; tile schemes aggregate once by (tensor, tile row); tensor schemes once by tensor.
 Results have ``scales`` (one for each slice, or one) as doubles and ``codes`` as integers, one for each element.
-Magnitudes leave NaN out, as the maxima of these formats do.  A tensor of zeros has code 0 and scale 1.
+The maxima of the 8-bit formats and of block formats leave NaN out, those of the 4-bit float format don't.  Elements that
+aren't a number after scaling have integer code 0, E4M3 code 127 and E2M1 code 4.  A tensor of zeros has scale 1 in 8-bit formats.
+Tensor-wide facts (largest magnitude, all zeros, shape) are one row for each tensor, joined back; Spark broadcasts it if it is small.
 """
 
 from __future__ import annotations
@@ -26,10 +28,17 @@ def slices(v: str, size: int) -> str:
     return f"transform(sequence(0, CAST((size({v}) - 1) div {size} AS INT)), b -> slice({v}, CAST(b * {size} + 1 AS INT), {size}))"
 
 
-def with_tensor_max(rows: DataFrame, out: str = "amax") -> DataFrame:
-    """Adds the tensor's largest magnitude: one number for each tensor, joined back."""
-    top = rows.groupBy("tensor").agg(F.max(F.expr(amax())).alias(out))
-    return rows.join(top, "tensor")
+def with_tensor_max(rows: DataFrame, out: str = "amax", nan: bool = False) -> DataFrame:
+    """Adds the tensor's largest magnitude (with ``nan``, NaN if it holds any), and whether it is all zeros."""
+    top = "coalesce(array_max(transform(v, x -> abs(x))), CAST(0 AS FLOAT))" if nan else amax()  # NaN is the largest number
+    facts = rows.groupBy("tensor").agg(F.max(F.expr(top)).alias(out), F.bool_and(F.expr("forall(v, x -> x = 0)")).alias("zeros"))
+    return rows.join(facts, "tensor")
+
+
+def with_shape(rows: DataFrame, size: int) -> DataFrame:
+    """Adds ``whole``: the tensor's rows and columns divide into tiles of ``size``; row_id counts its rows from 0."""
+    shape = rows.groupBy("tensor").agg((F.expr(f"count(*) % {size} = 0 AND max(row_id) = count(*) - 1") & F.bool_and(F.size("v") % size == 0)).alias("whole"))
+    return rows.join(shape, "tensor")
 
 
 def with_tile_max(rows: DataFrame, size: int) -> DataFrame:
@@ -41,10 +50,12 @@ def with_tile_max(rows: DataFrame, size: int) -> DataFrame:
     return tiled.join(arrays, ["tensor", "tile_row"]).drop("tile_row")
 
 
+INT8 = f"if(isnan(y), 0, {N.int8_code(SPARK, 'y')})"
+
+
 def _int8_result(rows: DataFrame, factor: str, scale: str, divide: bool = False) -> DataFrame:
     x = N.div("x", factor) if divide else N.mul("x", factor)
-    code = f"if(isnan(x), 0, {N.int8_code(SPARK, x)})"
-    return rows.select("tensor", "row_id", F.expr(f"array({N.f64(scale)})").alias("scales"), F.expr(f"transform(v, x -> {code})").alias("codes"))
+    return rows.select("tensor", "row_id", F.expr(f"array({N.f64(scale)})").alias("scales"), F.expr(f"transform(transform(v, x -> {x}), y -> {INT8})").alias("codes"))
 
 
 def clipped(x: str, clip: float | None) -> str:
@@ -53,7 +64,7 @@ def clipped(x: str, clip: float | None) -> str:
 
 def int8_tensor(rows: DataFrame, clip: float | None = None) -> DataFrame:
     """One scale for a tensor: largest magnitude / 127."""
-    top = with_tensor_max(rows).withColumn("s", F.expr(f"if(amax = 0, CAST(1 AS FLOAT), {N.div(f'greatest({clipped("amax", clip)}, {TINY})', '127')})"))
+    top = with_tensor_max(rows).withColumn("s", F.expr(f"if(zeros, CAST(1 AS FLOAT), {N.div(f'greatest({clipped("amax", clip)}, {TINY})', '127')})"))
     return _int8_result(top.withColumn("r", F.expr(N.div("1", "s"))), "r", "s")
 
 
@@ -62,16 +73,18 @@ def int8_row(rows: DataFrame, clip: float | None = None) -> DataFrame:
     some = with_tensor_max(rows)
     q = N.mul("127", N.div("1", f"greatest({clipped(amax(), clip)}, {TINY})"))
     some = some.withColumn("q", F.expr(q))
-    return _int8_result(some, "q", f"if(amax = 0, CAST(1 AS FLOAT), {N.div('1', 'q')})")
+    return _int8_result(some, "q", f"if(zeros, CAST(1 AS FLOAT), {N.inverse('q')})")
 
 
 def int8_block(rows: DataFrame, size: int = 128, clip: float | None = None) -> DataFrame:
-    """One scale for a size x size tile: largest magnitude / 127, at least 1e-8; rows and columns must divide."""
-    tiled = with_tile_max(with_tensor_max(rows), size)
-    scale = f"transform(tile_max, m -> if(amax = 0, CAST(1 AS FLOAT), greatest({N.div(clipped('m', clip), '127')}, CAST(1e-8 AS FLOAT))))"
+    """One scale for a size x size tile: largest magnitude / 127, at least 1e-8; a tensor whose rows or columns don't divide is an error."""
+    refused = F.raise_error(F.concat(F.lit("rows and columns must be multiples of "), F.lit(str(size)), F.lit(": tensor "), F.col("tensor").cast("string")))
+    shaped = with_shape(rows, size).withColumn("v", F.when(F.col("whole"), F.col("v")).otherwise(refused.cast(rows.schema["v"].dataType))).drop("whole")
+    tiled = with_tile_max(with_tensor_max(shaped), size)
+    scale = f"transform(tile_max, m -> if(zeros, CAST(1 AS FLOAT), greatest({N.div(clipped('m', clip), '127')}, CAST(1e-8 AS FLOAT))))"
     coded = tiled.withColumn("s", F.expr(scale))
-    code = f"if(isnan(x), 0, {N.int8_code(SPARK, N.div('x', f's[CAST(i div {size} AS INT)]'))})"
-    return coded.select("tensor", "row_id", F.expr("transform(s, x -> CAST(x AS DOUBLE))").alias("scales"), F.expr(f"transform(v, (x, i) -> {code})").alias("codes"))
+    scaled = f"transform(v, (x, i) -> {N.div('x', f's[CAST(i div {size} AS INT)]')})"
+    return coded.select("tensor", "row_id", F.expr("transform(s, x -> CAST(x AS DOUBLE))").alias("scales"), F.expr(f"transform({scaled}, y -> {INT8})").alias("codes"))
 
 
 def int8_dequantize(quantized: DataFrame, size: int | None = None) -> DataFrame:
@@ -84,29 +97,34 @@ def _fp8_scale(top: str) -> str:
     return N.mul("448", N.div("1", f"greatest({top}, {TINY})"))
 
 
+#: The E4M3 value of a scaled element y.
+FP8 = f"if(isnan(y), {N.NAN}, {N.e4m3(SPARK, 'y')})"
+
+
 def _fp8_result(rows: DataFrame, q: str, scales: str) -> DataFrame:
-    value = N.e4m3(SPARK, N.clamp(N.mul("x", q), N.f32("448")))
-    coded = rows.withColumn("values", F.expr(f"transform(v, (x, i) -> {value})"))
+    coded = rows.withColumn("values", F.expr(f"transform(transform(v, (x, i) -> {N.mul('x', q)}), y -> {FP8})"))
     return coded.select("tensor", "row_id", F.expr(scales).alias("scales"), F.expr(f"transform(values, x -> {N.e4m3_code('x')})").alias("codes"), "values")
 
 
 def fp8_tensor(rows: DataFrame) -> DataFrame:
-    return _fp8_result(with_tensor_max(rows).withColumn("q", F.expr(_fp8_scale("amax"))), "q", f"array(if(amax = 0, 1D, {N.f64(N.div('1', 'q'))}))")
+    return _fp8_result(with_tensor_max(rows).withColumn("q", F.expr(_fp8_scale("amax"))), "q", f"array(if(zeros, 1D, {N.f64(N.inverse('q'))}))")
 
 
 def fp8_row(rows: DataFrame) -> DataFrame:
     some = with_tensor_max(rows).withColumn("q", F.expr(_fp8_scale(amax())))
-    return _fp8_result(some, "q", f"array(if(amax = 0, 1D, {N.f64(N.div('1', 'q'))}))")
+    return _fp8_result(some, "q", f"array(if(zeros, 1D, {N.f64(N.inverse('q'))}))")
 
 
 def fp8_block(rows: DataFrame, size: int = 128) -> DataFrame:
-    tiled = with_tile_max(with_tensor_max(rows), size).withColumn("q", F.expr(f"transform(tile_max, m -> {_fp8_scale('m')})"))
-    return _fp8_result(tiled, f"q[CAST(i div {size} AS INT)]", f"transform(q, x -> if(amax = 0, 1D, {N.f64(N.div('1', 'x'))}))")
+    """One scale for a size x size tile; a tensor whose rows or columns don't divide gets one for each row (one, if it is all zeros)."""
+    tiled = with_tile_max(with_tensor_max(with_shape(rows, size)), size)
+    tiled = tiled.withColumn("q", F.expr(f"if(whole, transform(tile_max, m -> {_fp8_scale('m')}), array({_fp8_scale(amax())}))"))
+    return _fp8_result(tiled, f"q[if(whole, CAST(i div {size} AS INT), 0)]", f"transform(q, x -> if(zeros, 1D, {N.f64(N.inverse('x'))}))")
 
 
 def fp8_dequantize(quantized: DataFrame, size: int | None = None) -> DataFrame:
     """Tile schemes multiply by the stored scale; tensor and row schemes divide by its reciprocal, taken again in 32 bits."""
-    x = N.mul("x", f"scales[CAST(i div {size} AS INT)]") if size else N.div("x", N.div("1", "scales[0]"))
+    x = N.mul("x", f"scales[if(size(scales) = 1, 0, CAST(i div {size} AS INT))]") if size else N.div("x", N.inverse("scales[0]"))
     return quantized.select("tensor", "row_id", F.expr(f"transform(values, (x, i) -> {x})").alias("v"))
 
 
@@ -123,8 +141,9 @@ def mxfp8(rows: DataFrame, compensate: str = "1") -> DataFrame:
     """A power-of-two scale (its exponent byte) for 32 elements, which are E4M3; the input is rounded to bf16 first."""
     blocks = _rounded(rows, 32).withColumn("tops", F.expr(f"transform(blocks, b -> {amax('b')})"))
     blocks = blocks.withColumn("exps", F.expr(f"transform(tops, t -> {N.e8m0('t', compensate)})"))
-    value = f"if(tops[i] = 0, 0D, {N.e4m3(SPARK, N.clamp(N.div('x', f'greatest({N.e8m0_value("exps[i]")}, {N.two_to("-127")})'), N.f32('448')))})"
-    coded = blocks.withColumn("values", F.expr(f"flatten(transform(blocks, (b, i) -> transform(b, x -> {value})))"))
+    blocks = blocks.withColumn("powers", F.expr(f"transform(exps, e -> greatest({N.e8m0_value('e')}, {N.two_to('-127')}))"))
+    scaled = f"transform(b, x -> {N.div('x', 'powers[i]')})"
+    coded = blocks.withColumn("values", F.expr(f"flatten(transform(blocks, (b, i) -> if(tops[i] = 0, transform(b, x -> if(isnan(x), {N.NAN}, 0D)), transform({scaled}, y -> {FP8}))))"))
     return coded.select("tensor", "row_id", F.expr("transform(exps, e -> CAST(e AS DOUBLE))").alias("scales"), F.expr(f"transform(values, x -> {N.e4m3_code('x')})").alias("codes"), "values", F.size("v").alias("n"))
 
 
@@ -136,15 +155,18 @@ def mxfp8_dequantize(quantized: DataFrame) -> DataFrame:
 def nvfp4(rows: DataFrame) -> DataFrame:
     """A scale for the tensor, an E4M3 scale for 16 elements, which are E2M1 nibbles; the input is rounded to bf16 first.
 
-    ``scales`` are the slices' scale bytes, ``tensor_scale`` the tensor's.  Where a tensor is all zeros its scale is
-    0 and the slices' 0 / 0 is NaN, byte 127, as the format has it.
+    ``scales`` are the slices' scale bytes, ``tensor_scale`` the tensor's.  Where a tensor is all zeros its scale is 0 and
+    the slices' 0 / 0 is NaN, byte 127; a NaN makes the tensor's scale NaN.  Elements over a scale that is NaN have code 4, as
+    the format has it for what isn't a number.
     """
-    blocks = _rounded(with_tensor_max(rows).withColumn("pts", F.expr(N.div("amax", "2688"))), 16)
-    block = f"transform(blocks, b -> if(pts = 0, CAST('NaN' AS DOUBLE), {N.e4m3(SPARK, f'least({N.div(N.div(amax("b"), "6"), "nullif(pts, 0)")}, CAST(448 AS FLOAT))')}))"
-    blocks = blocks.withColumn("tops", F.expr(block)).withColumn("totals", F.expr(f"transform(tops, t -> if(isnan(t), CAST(0 AS FLOAT), {N.mul('pts', 't')}))"))
-    code = f"if(totals[i] = 0, 0, {N.e2m1_code(N.clamp(N.div('x', 'if(totals[i] = 0, CAST(1 AS FLOAT), totals[i])'), N.f32('6')))})"
-    coded = blocks.withColumn("codes", F.expr(f"flatten(transform(blocks, (b, i) -> transform(b, x -> {code})))"))
-    byte = f"transform(tops, t -> CAST(if(isnan(t), 127, {N.e4m3_code('if(isnan(t), 0D, t)')}) AS DOUBLE))"
+    blocks = _rounded(with_tensor_max(rows, nan=True).withColumn("pts", F.expr(N.div("amax", "2688"))), 16)
+    top = "coalesce(array_max(transform(b, x -> abs(x))), CAST(0 AS FLOAT))"
+    ratio = f"if(pts = 0, CAST('NaN' AS FLOAT), {N.div(N.div(top, '6'), 'pts')})"
+    blocks = blocks.withColumn("tops", F.expr(f"transform(transform(blocks, b -> {ratio}), y -> {FP8})")).withColumn("totals", F.expr(f"transform(tops, t -> {N.mul('pts', 't')})"))
+    scaled = f"transform(b, x -> {N.div('x', 'totals[i]')})"
+    code = f"if(isnan(y), 4, {N.e2m1_code('y')})"
+    coded = blocks.withColumn("codes", F.expr(f"flatten(transform(blocks, (b, i) -> if(totals[i] = 0, transform(b, x -> 0), transform({scaled}, y -> {code}))))"))
+    byte = f"transform(tops, t -> CAST({N.e4m3_code('t')} AS DOUBLE))"
     return coded.select("tensor", "row_id", F.expr(byte).alias("scales"), "codes", F.expr(N.f64("pts")).alias("tensor_scale"), "totals", F.size("v").alias("n"))
 
 
@@ -178,16 +200,16 @@ def incoherence(rows: DataFrame) -> DataFrame:
 
 
 def f16(x: str) -> str:
-    """Value of a finite double rounded to 11 significant bits, ties to even, down to steps of 2**-24."""
+    """Value of a double rounded to 11 significant bits, ties to even, down to steps of 2**-24; infinite from 65520 on, NaN stays NaN."""
     q = N.two_to(f"greatest({N.exponent(f'greatest(abs({x}), {N.two_to("-40")})')}, -14) - 10")
-    return f"(rint(({x}) / ({q})) * ({q}))"
+    return f"(CASE WHEN isnan({x}) THEN {N.NAN} WHEN abs({x}) >= 65520 THEN sign({x}) * {N.INFINITE} ELSE rint(({x}) / ({q})) * ({q}) END)"
 
 
 def q8_0(rows: DataFrame) -> DataFrame:
     """(tensor, row_id, slice, scale, codes): 32 elements with a half-precision scale; halves round away from zero."""
     blocks = rows.select("tensor", "row_id", F.posexplode(F.expr(slices("v", 32))).alias("slice", "b")).withColumn("d", F.expr(N.div(amax("b"), "127")))
-    y = N.mul("x", f"if(d = 0, CAST(0 AS FLOAT), {N.div('1', 'nullif(d, 0)')})")
-    return blocks.select("tensor", "row_id", "slice", F.expr(f16(N.f64("d"))).alias("scale"), F.expr(f"transform(b, x -> CAST(sign({y}) * floor(abs({N.f64(y)}) + 0.5) AS INT))").alias("codes"))
+    y = f"transform(b, x -> {N.f64(N.mul('x', f'if(d = 0, CAST(0 AS FLOAT), {N.div("1", "nullif(d, 0)")})'))})"
+    return blocks.select("tensor", "row_id", "slice", F.expr(f16(N.f64("d"))).alias("scale"), F.expr(f"transform({y}, y -> if(isnan(y), 0, CAST(sign(y) * least(floor(abs(y) + 0.5D), 127D) AS INT)))").alias("codes"))
 
 
 def q4_0(rows: DataFrame) -> DataFrame:
@@ -195,11 +217,42 @@ def q4_0(rows: DataFrame) -> DataFrame:
     top = "aggregate(b, CAST(0 AS FLOAT), (m, x) -> if(abs(x) > abs(m), x, m))"
     blocks = rows.select("tensor", "row_id", F.posexplode(F.expr(slices("v", 32))).alias("slice", "b")).withColumn("d", F.expr(N.div(top, "-8")))
     y = N.f32(f"{N.mul('x', f'if(d = 0, CAST(0 AS FLOAT), {N.div("1", "nullif(d, 0)")})')} + CAST(8.5 AS FLOAT)")
-    return blocks.select("tensor", "row_id", "slice", F.expr(f16(N.f64("d"))).alias("scale"), F.expr(f"transform(b, x -> least(15, CAST({y} AS INT)))").alias("codes"))
-
+    return blocks.select("tensor", "row_id", "slice", F.expr(f16(N.f64("d"))).alias("scale"), F.expr(f"transform(transform(b, x -> {y}), y -> if(isnan(y), 0, CAST(least(15, floor(greatest(y, 0))) AS INT)))").alias("codes"))
 
 def importance(entries: DataFrame) -> DataFrame:
     """(name, w) from (name, sums, counts): each count's block of sums is divided by it; a count of 0 or less makes it 1."""
     width = "CAST(size(sums) div size(counts) AS INT)"
     value = N.div("s", "nullif(counts[CAST(i div k AS INT)], 0)")
     return entries.withColumn("k", F.expr(width)).select("name", F.expr(f"transform(sums, (s, i) -> if(counts[CAST(i div k AS INT)] > 0, {value}, CAST(1 AS FLOAT)))").alias("w"))
+
+
+def _offset_blocks(rows: DataFrame, levels: int) -> DataFrame:
+    """(tensor, row_id, slice, scale, low, codes): 32 elements from their minimum up in ``levels`` steps."""
+    blocks = rows.select("tensor", "row_id", F.posexplode(F.expr(slices("v", 32))).alias("slice", "b")).withColumn("low", F.expr("array_min(b)"))
+    blocks = blocks.withColumn("d", F.expr(N.div(N.f32(f"{N.f64('array_max(b)')} - {N.f64('low')}"), str(levels))))
+    up = N.mul(N.f32(f"{N.f64('x')} - {N.f64('low')}"), f"if(d = 0, CAST(0 AS FLOAT), {N.div('1', 'nullif(d, 0)')})")
+    code = f"transform(transform(b, x -> {N.f32(f'{up} + CAST(0.5 AS FLOAT)')}), y -> if(isnan(y), 0, CAST(least({levels}, floor(y)) AS INT)))"
+    return blocks.select("tensor", "row_id", "slice", F.expr(f16(N.f64("d"))).alias("scale"), F.expr(f16(N.f64("low"))).alias("low"), F.expr(code).alias("codes"))
+
+
+def q4_1(rows: DataFrame) -> DataFrame:
+    return _offset_blocks(rows, 15)
+
+
+def q5_1(rows: DataFrame) -> DataFrame:
+    return _offset_blocks(rows, 31)
+
+
+def q5_0(rows: DataFrame) -> DataFrame:
+    """(tensor, row_id, slice, scale, codes): 32 elements of 5 bits; the first element of largest magnitude becomes code 0."""
+    top = "aggregate(b, CAST(0 AS FLOAT), (m, x) -> if(abs(x) > abs(m), x, m))"
+    blocks = rows.select("tensor", "row_id", F.posexplode(F.expr(slices("v", 32))).alias("slice", "b")).withColumn("d", F.expr(N.div(top, "-16")))
+    y = N.f32(f"{N.mul('x', f'if(d = 0, CAST(0 AS FLOAT), {N.div("1", "nullif(d, 0)")})')} + CAST(16.5 AS FLOAT)")
+    return blocks.select("tensor", "row_id", "slice", F.expr(f16(N.f64("d"))).alias("scale"), F.expr(f"transform(transform(b, x -> {y}), y -> if(isnan(y), 0, CAST(least(31, floor(greatest(y, 0))) AS INT)))").alias("codes"))
+
+
+def tq2_0(rows: DataFrame) -> DataFrame:
+    """(tensor, row_id, slice, scale, codes): 256 elements as 0, 1 or 2 for -1, 0 or 1 times the largest magnitude; halves round away from zero."""
+    blocks = rows.select("tensor", "row_id", F.posexplode(F.expr(slices("v", 256))).alias("slice", "b")).withColumn("d", F.expr(amax("b")))
+    y = f"transform(b, x -> {N.f64(N.mul('x', f'if(d = 0, CAST(0 AS FLOAT), {N.div("1", "nullif(d, 0)")})'))})"
+    return blocks.select("tensor", "row_id", "slice", F.expr(f16(N.f64("d"))).alias("scale"), F.expr(f"transform({y}, y -> if(isnan(y), 1, CAST(sign(y) * floor(abs(y) + 0.5D) AS INT) + 1))").alias("codes"))

@@ -13,7 +13,7 @@ from weft.plans import catalog, policy, validate, verify
 from weft.plans import descriptors as D
 from weft.plans.catalog import TENSORS_SQL
 from weft.queries_catalog import tensors
-from weft.queries_quantize import LONG, matrix
+from weft.queries_quantize import LONG, matrix, wide
 from weft.registry import query, table
 
 # Outputs of the made-up models: one format for each model, one fault for some of the layers.
@@ -194,6 +194,44 @@ def q4_0_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return _codes(Q.q4_0(matrix(spark, folder)))
 
 
+_HALF = "CASE WHEN abs({0}) < pow(2.0::DOUBLE, -14) THEN round_even({0} * pow(2.0::DOUBLE, 24), 0) / pow(2.0::DOUBLE, 24) ELSE round_even({0} / pow(2.0::DOUBLE, floor(log2(abs({0}))) - 10), 0) * pow(2.0::DOUBLE, floor(log2(abs({0}))) - 10) END"
+
+
+def _offset_sql(levels: int) -> str:
+    """Written out by hand: 32 elements from their minimum up in equal steps."""
+    return f"""WITH e AS (SELECT label AS tensor, vec_id AS row_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+s AS (SELECT *, i // 32 AS slice, min(x) OVER w AS low, max(x) OVER w AS high FROM e WINDOW w AS (PARTITION BY row_id, i // 32)),
+d AS (SELECT *, CAST(CAST(CAST(CAST(high AS DOUBLE) - low AS FLOAT) AS DOUBLE) / {levels} AS FLOAT) AS d FROM s),
+y AS (SELECT *, CAST(CAST(CAST(x AS DOUBLE) - low AS FLOAT)::DOUBLE * CAST(1 / d::DOUBLE AS FLOAT) AS FLOAT) AS y FROM d),
+c AS (SELECT *, least({levels}, floor(CAST(y::DOUBLE + 0.5 AS FLOAT)))::INT AS code FROM y)
+SELECT tensor, row_id, slice::INT AS slice, max({_HALF.format('d::DOUBLE')}) AS scale, max({_HALF.format('low::DOUBLE')}) AS low, string_agg(code::VARCHAR, ',' ORDER BY i) AS codes FROM c GROUP BY ALL"""
+
+
+@query("q4_1_blocks", _offset_sql(15))
+def q4_1_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return _codes(Q.q4_1(matrix(spark, folder)))
+
+
+@query("q5_1_blocks", _offset_sql(31))
+def q5_1_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return _codes(Q.q5_1(matrix(spark, folder)))
+
+
+@query("q5_0_blocks", _block_oracle(N.div("m.lead", "-16"), f"least(31, CAST(trunc({N.f32('y + CAST(16.5 AS FLOAT)')}) AS INT))"))
+def q5_0_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return _codes(Q.q5_0(matrix(spark, folder)))
+
+
+_TERNARY = f"""WITH e AS (SELECT vec_id // 4 AS row_id, unnest(embedding) AS x, vec_id % 4 * 64 + unnest(range(len(embedding))) AS i FROM embeddings),
+t AS (SELECT *, max(abs(x)) OVER (PARTITION BY row_id) AS d FROM e), y AS (SELECT *, CAST(x::DOUBLE * CAST(1 / d::DOUBLE AS FLOAT) AS FLOAT)::DOUBLE AS y FROM t)
+SELECT 0 AS tensor, row_id, 0 AS slice, max({_HALF.format('d::DOUBLE')}) AS scale, string_agg((sign(y) * floor(abs(y) + 0.5) + 1)::INT::VARCHAR, ',' ORDER BY i) AS codes FROM y GROUP BY row_id"""
+
+
+@query("tq2_0_blocks", _TERNARY)
+def tq2_0_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return _codes(Q.tq2_0(wide(spark, folder)))
+
+
 @query("importance_weights", f"WITH e AS (SELECT vec_id AS name, unnest(embedding) AS x, unnest(range(len(embedding))) AS i, label FROM embeddings) SELECT name, i, CASE WHEN (label + i // 16) % 4 > 0 THEN {N.f64(N.div(N.mul('x', 'x'), '(label + i // 16) % 4'))} ELSE 1 END AS w FROM e")
 def importance_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Sums of squares over counts, a count for each 16 columns."""

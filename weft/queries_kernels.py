@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from weft.operators import kernels as X
 from weft.operators import quantize as Q
-from weft.queries_quantize import _NV_ORACLE, LONG, int8_oracle, matrix, shown, shown_slices
+from weft.operators.superblocks import KINDS, superblocks
+from weft.queries_quantize import _NV_ORACLE, LONG, int8_oracle, matrix, shown, shown_slices, wide
 from weft.registry import query
 
 # The matrix rotated in groups of 16 columns: signs are products of those of the 4 x 4 matrix, sums of 16 floats are exact in doubles.
@@ -79,3 +80,20 @@ def iq4_nl_blocks(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("tensor").take(at), batch.column("row_id").take(at), slices, pa.array(scale), text], ["tensor", "row_id", "slice", "scale", "codes"])
 
     return matrix(spark, folder).mapInArrow(run, "tensor int, row_id long, slice int, scale double, codes string")
+
+
+def _superblocks(kind: str, weighted: bool):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        rows = wide(spark, folder)
+        weights = rows.groupBy("tensor").agg(F.expr("transform(max_by(v, -row_id), x -> CAST(0.1 AS FLOAT) + abs(x))").alias("w")) if weighted else None
+        return superblocks(rows, kind, weights).select("tensor", "row_id", F.hex("data").alias("data"))
+
+    run.__name__ = f"{kind}_{'weighted' if weighted else 'blocks'}"
+    run.__doc__ = f"Super-blocks of the layout {kind}" + (", errors weighted by column." if weighted else ".")
+    return run
+
+
+for _kind in KINDS:
+    for _weighted in (False, True):
+        _run = _superblocks(_kind, _weighted)
+        query(_run.__name__)(_run)

@@ -58,25 +58,34 @@ def int8_oracle(mode: str, clip: str | None = None) -> str:
     return _int8_oracle("s", N.mul("x", N.div("1", "s"))).format(inner)
 
 
+#: The matrix as one tensor of 32 columns, two rows for a vector, so that tiles divide it at every size of the tables.
+NARROW = LONG.replace("SELECT label AS tensor, vec_id AS row_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r\n  FROM embeddings",
+    "SELECT 0 AS tensor, 2 * r + k // 32 AS row_id, x, k % 32 AS i FROM (SELECT unnest(embedding) AS x, unnest(range(len(embedding))) AS k, vec_id AS r FROM embeddings)")
+
+
 def tile_oracle(size: int, scale: str, code: str) -> str:
-    """Full tiles only: tensors are cut to a multiple of ``size`` rows."""
-    return f"""{LONG}, n AS (SELECT tensor, count(*) // {size} * {size} AS rows FROM rw GROUP BY tensor),
-f AS (SELECT a.* FROM a JOIN n USING (tensor) WHERE r < rows),
-m AS (SELECT tensor, r // {size} AS tr, i // {size} AS tc, max(abs(x)) AS top FROM f GROUP BY ALL),
-c AS (SELECT f.tensor, f.row_id, f.i, {N.f64(scale)} AS scale, {code} AS code FROM (SELECT f.*, m.top FROM f JOIN m ON f.tensor = m.tensor AND f.r // {size} = m.tr AND f.i // {size} = m.tc) f)
+    return f"""{NARROW}, m AS (SELECT tensor, row_id // {size} AS tr, i // {size} AS tc, max(abs(x)) AS top FROM a GROUP BY ALL),
+c AS (SELECT f.tensor, f.row_id, f.i, {N.f64(scale)} AS scale, {code} AS code FROM (SELECT a.*, m.top FROM a JOIN m ON a.tensor = m.tensor AND a.row_id // {size} = m.tr AND a.i // {size} = m.tc) f)
 SELECT tensor, row_id, CAST(i // {size} AS INT) AS slice, max(scale) AS scale, {CODES} FROM c GROUP BY tensor, row_id, i // {size}"""
 
 
-def tiled(spark: SparkSession, folder: str, size: int) -> DataFrame:
-    rows = matrix(spark, folder, place=True)
-    full = rows.groupBy("tensor").agg(F.expr(f"count(*) div {size} * {size}").alias("n"))
-    return rows.join(full, "tensor").where("row_id < n")
+def narrow(spark: SparkSession, folder: str) -> DataFrame:
+    """(tensor, row_id, v): the matrix as one tensor of 32 columns."""
+    rows = table(spark, folder, "embeddings").selectExpr("embedding", "vec_id as r")  # which counts from 0
+    return rows.select(F.lit(0).alias("tensor"), F.posexplode(F.expr("array(slice(embedding, 1, 32), slice(embedding, 33, 32))")).alias("k", "v"), "r").selectExpr("tensor", "2 * r + k as row_id", "v")
+
 
+def wide(spark: SparkSession, folder: str) -> DataFrame:
+    """(tensor, row_id, v): the matrix as one tensor of 256 columns, a row for four vectors."""
+    rows = table(spark, folder, "embeddings").selectExpr("vec_id div 4 as row_id", "struct(vec_id, embedding) as part")
+    rows = rows.groupBy("row_id").agg(F.expr("flatten(transform(array_sort(collect_list(part)), p -> p.embedding))").alias("v"))
+    return rows.select(F.lit(0).alias("tensor"), "row_id", "v")
 
-def shown_tiles(quantized: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """A row for each slice with its own codes, under the row's vec_id."""
+
+def shown_tiles(quantized: DataFrame, size: int) -> DataFrame:
+    """A row for each slice with its own codes."""
     cut = quantized.select("tensor", "row_id", F.posexplode(F.expr(f"zip_with(scales, {Q.slices('codes', size)}, (s, c) -> struct(s as scale, c as codes))")).alias("slice", "z"))
-    return cut.join(rows.select("tensor", "row_id", "id"), ["tensor", "row_id"]).select("tensor", F.col("id").alias("row_id"), "slice", F.col("z.scale").alias("scale"), F.expr("array_join(transform(z.codes, c -> cast(c as string)), ',')").alias("codes"))
+    return cut.select("tensor", "row_id", "slice", F.col("z.scale").alias("scale"), F.expr("array_join(transform(z.codes, c -> cast(c as string)), ',')").alias("codes"))
 
 
 @query("int8_row_quantize", int8_oracle("row"))
@@ -102,10 +111,9 @@ def _int8_tile_oracle(size: int, clip: str | None = None) -> str:
     return tile_oracle(size, s, N.int8_code(DUCK, N.div("f.x", s)))
 
 
-@query("int8_block_quantize", _int8_tile_oracle(16))
+@query("int8_block_quantize", _int8_tile_oracle(8))
 def int8_block_quantize(spark: SparkSession, folder: str) -> DataFrame:
-    rows = tiled(spark, folder, 16)
-    return shown_tiles(Q.int8_block(rows, 16), rows, 16)
+    return shown_tiles(Q.int8_block(narrow(spark, folder), 8), 8)
 
 
 @query("int8_clip_row", int8_oracle("row", "0.9"))
@@ -118,10 +126,9 @@ def int8_clip_tensor(spark: SparkSession, folder: str) -> DataFrame:
     return shown(Q.int8_tensor(matrix(spark, folder), 0.9))
 
 
-@query("int8_clip_block", _int8_tile_oracle(32, "0.9"))
+@query("int8_clip_block", _int8_tile_oracle(4, "0.9"))
 def int8_clip_block(spark: SparkSession, folder: str) -> DataFrame:
-    rows = tiled(spark, folder, 32)
-    return shown_tiles(Q.int8_block(rows, 32, 0.9), rows, 32)
+    return shown_tiles(Q.int8_block(narrow(spark, folder), 4, 0.9), 4)
 
 
 def fp8_oracle(top: str) -> str:
@@ -143,10 +150,15 @@ def fp8_tensor_quantize(spark: SparkSession, folder: str) -> DataFrame:
 _FP8_TILE = N.mul("448", N.div("1", f"greatest(f.top, {TINY})"))
 
 
-@query("fp8_block_quantize", tile_oracle(16, N.div("1", _FP8_TILE), N.e4m3_code(N.e4m3(DUCK, N.clamp(N.mul("f.x", _FP8_TILE), N.f32("448"))))))
+@query("fp8_block_quantize", tile_oracle(8, N.div("1", _FP8_TILE), N.e4m3_code(N.e4m3(DUCK, N.clamp(N.mul("f.x", _FP8_TILE), N.f32("448"))))))
 def fp8_block_quantize(spark: SparkSession, folder: str) -> DataFrame:
-    rows = tiled(spark, folder, 16)
-    return shown_tiles(Q.fp8_block(rows, 16), rows, 16)
+    return shown_tiles(Q.fp8_block(narrow(spark, folder), 8), 8)
+
+
+@query("fp8_block_indivisible", fp8_oracle("rmax"))
+def fp8_block_indivisible(spark: SparkSession, folder: str) -> DataFrame:
+    """Tensors of which no tile of 128 divides the columns fall back to a scale for each row."""
+    return shown(Q.fp8_block(matrix(spark, folder, place=True), 128).select("tensor", "row_id", "scales", "codes").join(matrix(spark, folder, place=True).select("tensor", "row_id", "id"), ["tensor", "row_id"]).select("tensor", F.col("id").alias("row_id"), "scales", "codes"))
 
 
 def blocks_oracle(size: int, block: str, scale: str, code: str, more: str = "") -> str:
