@@ -34,7 +34,7 @@ def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
 
 
 def _scan(k: int):
-    """Rows (id, n, sid) of documents, then the counters of the task's shingles in pieces (slice, counts)."""
+    """Rows (id, n, sid, more) of documents, two hashes of their sets, then the counters of the task's shingles in pieces (slice, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint32)
@@ -49,13 +49,14 @@ def _scan(k: int):
                     "th": batch.column("th"),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "sid": pa.array([K.set_hash(s) for s in sets], pa.int64()),
+                    "more": pa.array([K.set_hash(s, 0x5A5A5A5A5A) for s in sets], pa.int64()),
                     "slice": pa.nulls(rows, pa.int32()),
                     "counts": pa.nulls(rows, pa.binary()),
                 }
             )
         if counts.any():
             null = pa.nulls(SLICES, pa.int64())
-            yield pa.record_batch({"id": null, "th": null, "n": null, "sid": null, "slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([c.tobytes() for c in np.split(counts, SLICES)], pa.binary())})
+            yield pa.record_batch({"id": null, "th": null, "n": null, "sid": null, "more": null, "slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([c.tobytes() for c in np.split(counts, SLICES)], pa.binary())})
 
     return run
 
@@ -148,16 +149,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs of bytes other than ASCII white space, A-Z taken as a-z.  Two documents are linked when
     100 * |intersection| >= threshold * |union| of their distinct k-word shingles (whole sequence if shorter).
     component_id is the smallest id reachable by links, the row's own id if there are none.  Null or wordless
-    texts have an empty set and no links; a row with null id has a null component and links nothing.  Rows that repeat
+    texts have an empty set and no links.  Sets are told apart by 128 bits and linked by 64; different ones that agree in these
+    64 bits link nothing.  A row with null id has a null component and links nothing.  Rows that repeat
     an id are each returned and link as that id.  Other columns are ignored, whatever their names.
     """
     spark = session_of(docs)
     work = Work(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    scan = work.keep(map_arrow(docs, _scan(k), "id long, th long, n long, sid long, slice int, counts binary"))
-    rows = scan.where("slice is null").select("id", "th", "n", F.expr("if(n > 0, sid, null)").alias("sid"))
+    scan = work.keep(map_arrow(docs, _scan(k), "id long, th long, n long, sid long, more long, slice int, counts binary"))
+    rows = scan.where("slice is null").select("id", "th", "n", "more", F.expr("if(n > 0, sid, null)").alias("sid"))
     sketch = spark.sparkContext.broadcast(_sketch(scan.where("slice is not null")))
-    classes = work.keep(rows.where("n > 0 and id is not null").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("rep")))
+    classes = work.keep(rows.where("n > 0 and id is not null").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("rep"), F.min("more").alias("low"), F.max("more").alias("top")).where("low = top").drop("low", "top"))
     postings = map_arrow(docs.where("id is not null"), _prefixes(k, threshold, sketch), "key long, salt long, id long, n long, last long, pos long")
 
     def texts(ids: DataFrame, n: int) -> DataFrame:

@@ -131,9 +131,9 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def set_hash(s: np.ndarray) -> int:
+def set_hash(s: np.ndarray, salt: int = 0xA5A5A5A5) -> int:
     """A hash of a sorted set, as a signed long; 0 for the empty set only."""
     if not len(s):
         return 0
-    x = mix((mix(s + U(0xA5A5A5A5)) * (_power(len(s), _P) | U(1))).sum(keepdims=True) + U(len(s)))
+    x = mix((mix(s + U(salt)) * (_power(len(s), _P) | U(1))).sum(keepdims=True) + U(len(s)))
     return int(x.view(np.int64)[0]) or 1

@@ -51,7 +51,7 @@ _UNEVEN = re.compile(r"[^\S \n]|  ")
 
 def lines_of(text: bytes) -> list[str]:
     """Lines, A-Z as a-z, white space collapsed; blank ones are empty."""
-    low = text.translate(_LOWER).decode()
+    low = text.translate(_LOWER).decode("utf-8", "replace")
     if _UNEVEN.search(low):
         return [normal(x) for x in low.split("\n")]
     return [x.strip(" ") for x in low.split("\n")]
@@ -307,14 +307,13 @@ def _without(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.Re
     """Cuts the lines; adds n_lines, those that aren't blank, and n_removed."""
     for batch in batches:
         texts, all_, gone = [], [], []
-        for text, cut in zip(batch.column(text_col).to_pylist(), batch.column("__cut").to_pylist(), strict=True):
-            parts = (text or "").split("\n")
-            cut = set(cut or ())
-            texts.append("\n".join(x for i, x in enumerate(parts) if i not in cut) if cut else text)
-            all_.append(sum(1 for x in parts if x and not x.isspace()))
+        for text, cut in zip(binary_column(batch.column(text_col)), batch.column("__cut").to_pylist(), strict=True):
+            text, cut = text.as_py(), set(cut or ())
+            texts.append(b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in cut) if cut else text)
+            all_.append(sum(1 for x in text.decode("utf-8", "replace").split("\n") if x and not x.isspace()))
             gone.append(len(cut))
         out = {n: batch.column(n) for n in batch.schema.names if n != "__cut"}
-        out[text_col] = pa.array(texts, pa.string())
+        out[text_col] = pa.array(texts, pa.binary(), mask=np.asarray(batch.column(text_col).is_null())).view(pa.string())
         yield pa.record_batch({**out, "__lines": pa.array(all_, pa.int64()), "__gone": pa.array(gone, pa.int64())})
 
 

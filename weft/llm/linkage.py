@@ -120,6 +120,7 @@ def link_components(
         for _ in range(2):
             first = work.keep(first)
             first = first.join(first.select(F.col("a").alias("b"), F.col("b").alias("up")), "b", "left").select("a", F.coalesce("up", "b").alias("b"))
+    first = work.keep(first)
     compared, have = check(work, first, texts, family or verify)
     links = compared.where("linked").select("a", "b") if family else compared
     if family:  # those that missed the hub are compared with the copy that has the least besides the hub's elements
@@ -135,7 +136,8 @@ def link_components(
         known = known.join(members.select("id", "hub"), "id", "left").withColumn("hub", F.coalesce("hub", "id"))
         rest = _pairs(_between(work.keep(known.distinct()), "hub", sizes & places)).union(_within(work, members, threshold))
     else:
-        rest = _pairs(_between(work.keep(known), "comp", sizes & places))
+        done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))  # in round 1: every pair is verified once
+        rest = _pairs(_between(work.keep(known), "comp", sizes & places)).join(done, ["a", "b"], "left_anti")
     rest = work.keep(rest.distinct())
     if family:  # texts of round 1 are there, but not of hubs of all their lists that no item was compared with
         ends = work.keep(rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().join(have.select("id"), "id", "left_anti"))

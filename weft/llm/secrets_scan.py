@@ -41,7 +41,7 @@ _VALUE = re.compile(rb"(?:token|secret|key|passw(?:or)?d|passwd|pwd|auth|credent
 _FOR = re.compile(r"token|secret|key|passw|pwd|auth|credential|bearer")
 _AGAINST = re.compile(r"commit|sha|md5|checksum|uuid|\bid\b|digest|hash|example|version|build|page|image|url")
 _TESTS = re.compile(r"test|example|sample|fixture|doc|readme|lock")
-NAMES = ("length", "transitions", "classes", "entropy", "digits", "upper", "symbols", "hex", "covered", "distinct", "test_path", "path_depth", "for", "against", "assigned", "quoted")
+NAMES = ("length", "transitions", "classes", "entropy", "digits", "upper", "symbols", "hex", "covered", "distinct", "test_path", "path_depth", "for", "against", "for_after", "against_after", "assigned", "quoted")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,7 @@ class Corpus:
         low = K.LOWER[np.frombuffer(token, np.uint8)].astype(np.int64)
         kind = [0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 for c in token]
         n, count = len(token), Counter(token)
-        path, near = (path or "").lower(), " ".join(before.lower().split()[-3:])
+        path, near, next_ = (path or "").lower(), " ".join(before.lower().split()[-3:]), " ".join(after.lower().split()[:3])
         return [
             n,
             float(self.transitions[low[:-1], low[1:]].mean()),
@@ -105,6 +105,8 @@ class Corpus:
             path.count("/"),
             float(bool(_FOR.search(near))),
             float(bool(_AGAINST.search(near))),
+            float(bool(_FOR.search(next_))),
+            float(bool(_AGAINST.search(next_))),
             float(bool(re.search(r"[=:]\s*[\"']?$", before))),
             float(bool(re.search(r"[\"']$", before)) and after[:1] in ("'", '"')),
         ]
