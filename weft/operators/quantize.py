@@ -1,11 +1,12 @@
 """Block-wise quantization of matrix rows (tensor, row_id, v ARRAY<FLOAT>).
 
-A scheme aggregates the largest magnitude of a tensor, row, tile or slice into a scale, then encodes.  Row and slice schemes
-are array expressions without a shuffle; tile schemes aggregate once by (tensor, tile row); tensor schemes once by tensor.
+A scheme aggregates the largest magnitude of a tensor, row, tile or slice into a scale, then encodes in Arrow batches (dense.py):
+Spark puts an array expression's inputs into its lambdas, so that a row's maximum would be taken again for each element.
+Slice schemes are one pass without a shuffle; tile schemes shuffle the rows once by (tensor, tile row); the others don't.
 Results have ``scales`` (one for each slice, or one) as doubles and ``codes`` as integers, one for each element.
 The maxima of the 8-bit formats and of block formats leave NaN out, those of the 4-bit float format don't.  Elements that
 aren't a number after scaling have integer code 0, E4M3 code 127 and E2M1 code 4.  A tensor of zeros has scale 1 in 8-bit formats.
-Tensor-wide facts (largest magnitude, all zeros, shape) are one row for each tensor, joined back; Spark broadcasts it if it is small.
+Tensor-wide facts (largest magnitude, all zeros, shape) are one row for each tensor, joined back; broadcast if the tensors are few.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import numeric as N
-from weft.functions.numeric import SPARK
+from weft.operators import dense
 
 TINY = "CAST(1e-12 AS FLOAT)"
 
@@ -28,63 +29,32 @@ def slices(v: str, size: int) -> str:
     return f"transform(sequence(0, CAST((size({v}) - 1) div {size} AS INT)), b -> slice({v}, CAST(b * {size} + 1 AS INT), {size}))"
 
 
-def with_tensor_max(rows: DataFrame, out: str = "amax", nan: bool = False) -> DataFrame:
-    """Adds the tensor's largest magnitude (with ``nan``, NaN if it holds any), and whether it is all zeros."""
-    top = "coalesce(array_max(transform(v, x -> abs(x))), CAST(0 AS FLOAT))" if nan else amax()  # NaN is the largest number
-    facts = rows.groupBy("tensor").agg(F.max(F.expr(top)).alias(out), F.bool_and(F.expr("forall(v, x -> x = 0)")).alias("zeros"))
-    return rows.join(facts, "tensor")
+#: Result columns of the kernels.
+CODED = {"scales": "array<double>", "codes": "array<int>"}
+VALUED = CODED | {"values": "array<double>"}
 
 
-def with_shape(rows: DataFrame, size: int) -> DataFrame:
-    """Adds ``whole``: the tensor's rows and columns divide into tiles of ``size``; row_id counts its rows from 0."""
-    shape = rows.groupBy("tensor").agg((F.expr(f"count(*) % {size} = 0 AND max(row_id) = count(*) - 1") & F.bool_and(F.size("v") % size == 0)).alias("whole"))
-    return rows.join(shape, "tensor")
-
-
-def with_tile_max(rows: DataFrame, size: int) -> DataFrame:
-    """Adds ``tile_max``: the largest magnitudes of the size x size tiles that a row goes through, by tile column."""
-    tiled = rows.withColumn("tile_row", F.expr(f"row_id div {size}"))
-    own = tiled.select("tensor", "tile_row", F.posexplode(F.expr(f"transform({slices('v', size)}, s -> {amax('s')})")).alias("tile_col", "m"))
-    top = own.groupBy("tensor", "tile_row", "tile_col").agg(F.max("m").alias("m"))
-    arrays = top.groupBy("tensor", "tile_row").agg(F.expr("transform(array_sort(collect_list(struct(tile_col, m))), t -> t.m)").alias("tile_max"))
-    return tiled.join(arrays, ["tensor", "tile_row"]).drop("tile_row")
-
-
-INT8 = f"if(isnan(y), 0, {N.int8_code(SPARK, 'y')})"
-
-
-def _int8_result(rows: DataFrame, factor: str, scale: str, divide: bool = False) -> DataFrame:
-    x = N.div("x", factor) if divide else N.mul("x", factor)
-    return rows.select("tensor", "row_id", F.expr(f"array({N.f64(scale)})").alias("scales"), F.expr(f"transform(transform(v, x -> {x}), y -> {INT8})").alias("codes"))
-
-
-def clipped(x: str, clip: float | None) -> str:
-    return N.mul(x, f"CAST({clip} AS FLOAT)") if clip else x
+def with_tensor_max(rows: DataFrame) -> DataFrame:
+    """(tensor, row_id, v) with the tensor's largest magnitude ``amax``, whether it holds a NaN (``nan``) and whether it is all zeros (``zeros``)."""
+    return dense.with_facts(rows)
 
 
 def int8_tensor(rows: DataFrame, clip: float | None = None) -> DataFrame:
     """One scale for a tensor: largest magnitude / 127."""
-    top = with_tensor_max(rows).withColumn("s", F.expr(f"if(zeros, CAST(1 AS FLOAT), {N.div(f'greatest({clipped("amax", clip)}, {TINY})', '127')})"))
-    return _int8_result(top.withColumn("r", F.expr(N.div("1", "s"))), "r", "s")
+    return dense.encode(with_tensor_max(rows), dense.int8_tensor(clip), CODED)
 
 
 def int8_row(rows: DataFrame, clip: float | None = None) -> DataFrame:
     """One scale for a row: the reciprocal of 127 * (1 / largest magnitude), in 32-bit steps; 1 in a tensor of zeros."""
-    some = with_tensor_max(rows)
-    q = N.mul("127", N.div("1", f"greatest({clipped(amax(), clip)}, {TINY})"))
-    some = some.withColumn("q", F.expr(q))
-    return _int8_result(some, "q", f"if(zeros, CAST(1 AS FLOAT), {N.inverse('q')})")
+    return dense.encode(with_tensor_max(rows), dense.int8_row(clip), CODED)
 
 
 def int8_block(rows: DataFrame, size: int = 128, clip: float | None = None) -> DataFrame:
     """One scale for a size x size tile: largest magnitude / 127, at least 1e-8; a tensor whose rows or columns don't divide is an error."""
     refused = F.raise_error(F.concat(F.lit("rows and columns must be multiples of "), F.lit(str(size)), F.lit(": tensor "), F.col("tensor").cast("string")))
-    shaped = with_shape(rows, size).withColumn("v", F.when(F.col("whole"), F.col("v")).otherwise(refused.cast(rows.schema["v"].dataType))).drop("whole")
-    tiled = with_tile_max(with_tensor_max(shaped), size)
-    scale = f"transform(tile_max, m -> if(zeros, CAST(1 AS FLOAT), greatest({N.div(clipped('m', clip), '127')}, CAST(1e-8 AS FLOAT))))"
-    coded = tiled.withColumn("s", F.expr(scale))
-    scaled = f"transform(v, (x, i) -> {N.div('x', f's[CAST(i div {size} AS INT)]')})"
-    return coded.select("tensor", "row_id", F.expr("transform(s, x -> CAST(x AS DOUBLE))").alias("scales"), F.expr(f"transform({scaled}, y -> {INT8})").alias("codes"))
+    shaped = dense.with_facts(rows, size)
+    shaped = shaped.withColumn("v", F.when(F.col("whole"), F.col("v")).otherwise(refused.cast(shaped.schema["v"].dataType)))
+    return dense.encode_tiles(shaped, size, dense.int8_block(size, clip), CODED)
 
 
 def int8_dequantize(quantized: DataFrame, size: int | None = None) -> DataFrame:
@@ -93,33 +63,17 @@ def int8_dequantize(quantized: DataFrame, size: int | None = None) -> DataFrame:
     return quantized.select("tensor", "row_id", F.expr(f"transform(codes, (c, i) -> {N.f32(f'c * {at}')})").alias("v"))
 
 
-def _fp8_scale(top: str) -> str:
-    return N.mul("448", N.div("1", f"greatest({top}, {TINY})"))
-
-
-#: The E4M3 value of a scaled element y.
-FP8 = f"if(isnan(y), {N.NAN}, {N.e4m3(SPARK, 'y')})"
-
-
-def _fp8_result(rows: DataFrame, q: str, scales: str) -> DataFrame:
-    coded = rows.withColumn("values", F.expr(f"transform(transform(v, (x, i) -> {N.mul('x', q)}), y -> {FP8})"))
-    return coded.select("tensor", "row_id", F.expr(scales).alias("scales"), F.expr(f"transform(values, x -> {N.e4m3_code('x')})").alias("codes"), "values")
-
-
 def fp8_tensor(rows: DataFrame) -> DataFrame:
-    return _fp8_result(with_tensor_max(rows).withColumn("q", F.expr(_fp8_scale("amax"))), "q", f"array(if(zeros, 1D, {N.f64(N.inverse('q'))}))")
+    return dense.encode(with_tensor_max(rows), dense.fp8_tensor, VALUED)
 
 
 def fp8_row(rows: DataFrame) -> DataFrame:
-    some = with_tensor_max(rows).withColumn("q", F.expr(_fp8_scale(amax())))
-    return _fp8_result(some, "q", f"array(if(zeros, 1D, {N.f64(N.inverse('q'))}))")
+    return dense.encode(with_tensor_max(rows), dense.fp8_row, VALUED)
 
 
 def fp8_block(rows: DataFrame, size: int = 128) -> DataFrame:
     """One scale for a size x size tile; a tensor whose rows or columns don't divide gets one for each row (one, if it is all zeros)."""
-    tiled = with_tile_max(with_tensor_max(with_shape(rows, size)), size)
-    tiled = tiled.withColumn("q", F.expr(f"if(whole, transform(tile_max, m -> {_fp8_scale('m')}), array({_fp8_scale(amax())}))"))
-    return _fp8_result(tiled, f"q[if(whole, CAST(i div {size} AS INT), 0)]", f"transform(q, x -> if(zeros, 1D, {N.f64(N.inverse('x'))}))")
+    return dense.encode_tiles(dense.with_facts(rows, size), size, dense.fp8_block(size), VALUED)
 
 
 def fp8_dequantize(quantized: DataFrame, size: int | None = None) -> DataFrame:
@@ -128,23 +82,9 @@ def fp8_dequantize(quantized: DataFrame, size: int | None = None) -> DataFrame:
     return quantized.select("tensor", "row_id", F.expr(f"transform(values, (x, i) -> {x})").alias("v"))
 
 
-def padded(v: str, size: int) -> str:
-    """The array with zeros up to a multiple of ``size``."""
-    return f"concat({v}, transform(filter(sequence(1, {size}), k -> k <= ({size} - size({v}) % {size}) % {size}), k -> CAST(0 AS FLOAT)))"
-
-
-def _rounded(rows: DataFrame, size: int) -> DataFrame:
-    return rows.withColumn("blocks", F.expr(slices(f"transform({padded('v', size)}, x -> {N.bf16(SPARK, 'x')})", size)))
-
-
-def mxfp8(rows: DataFrame, compensate: str = "1") -> DataFrame:
+def mxfp8(rows: DataFrame, compensate: float = 1.0) -> DataFrame:
     """A power-of-two scale (its exponent byte) for 32 elements, which are E4M3; the input is rounded to bf16 first."""
-    blocks = _rounded(rows, 32).withColumn("tops", F.expr(f"transform(blocks, b -> {amax('b')})"))
-    blocks = blocks.withColumn("exps", F.expr(f"transform(tops, t -> {N.e8m0('t', compensate)})"))
-    blocks = blocks.withColumn("powers", F.expr(f"transform(exps, e -> greatest({N.e8m0_value('e')}, {N.two_to('-127')}))"))
-    scaled = f"transform(b, x -> {N.div('x', 'powers[i]')})"
-    coded = blocks.withColumn("values", F.expr(f"flatten(transform(blocks, (b, i) -> if(tops[i] = 0, transform(b, x -> if(isnan(x), {N.NAN}, 0D)), transform({scaled}, y -> {FP8}))))"))
-    return coded.select("tensor", "row_id", F.expr("transform(exps, e -> CAST(e AS DOUBLE))").alias("scales"), F.expr(f"transform(values, x -> {N.e4m3_code('x')})").alias("codes"), "values", F.size("v").alias("n"))
+    return dense.encode(rows.select("tensor", "row_id", "v"), dense.mxfp8(compensate), VALUED | {"n": "int"})
 
 
 def mxfp8_dequantize(quantized: DataFrame) -> DataFrame:
@@ -159,15 +99,8 @@ def nvfp4(rows: DataFrame) -> DataFrame:
     the slices' 0 / 0 is NaN, byte 127; a NaN makes the tensor's scale NaN.  Elements over a scale that is NaN have code 4, as
     the format has it for what isn't a number.
     """
-    blocks = _rounded(with_tensor_max(rows, nan=True).withColumn("pts", F.expr(N.div("amax", "2688"))), 16)
-    top = "coalesce(array_max(transform(b, x -> abs(x))), CAST(0 AS FLOAT))"
-    ratio = f"if(pts = 0, CAST('NaN' AS FLOAT), {N.div(N.div(top, '6'), 'pts')})"
-    blocks = blocks.withColumn("tops", F.expr(f"transform(transform(blocks, b -> {ratio}), y -> {FP8})")).withColumn("totals", F.expr(f"transform(tops, t -> {N.mul('pts', 't')})"))
-    scaled = f"transform(b, x -> {N.div('x', 'totals[i]')})"
-    code = f"if(isnan(y), 4, {N.e2m1_code('y')})"
-    coded = blocks.withColumn("codes", F.expr(f"flatten(transform(blocks, (b, i) -> if(totals[i] = 0, transform(b, x -> 0), transform({scaled}, y -> {code}))))"))
-    byte = f"transform(tops, t -> CAST({N.e4m3_code('t')} AS DOUBLE))"
-    return coded.select("tensor", "row_id", F.expr(byte).alias("scales"), "codes", F.expr(N.f64("pts")).alias("tensor_scale"), "totals", F.size("v").alias("n"))
+    columns = CODED | {"tensor_scale": "double", "totals": "array<float>", "n": "int"}
+    return dense.encode(with_tensor_max(rows), dense.nvfp4, columns)
 
 
 def nvfp4_dequantize(quantized: DataFrame) -> DataFrame:

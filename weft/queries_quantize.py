@@ -188,7 +188,7 @@ FOUR_THIRDS = "CAST(4 AS DOUBLE) / 3"
 
 @query("mxfp8_compensated", _mx_oracle(FOUR_THIRDS))
 def mxfp8_compensated(spark: SparkSession, folder: str) -> DataFrame:
-    return shown_slices(Q.mxfp8(matrix(spark, folder), FOUR_THIRDS), 32)
+    return shown_slices(Q.mxfp8(matrix(spark, folder), 4 / 3), 32)
 
 
 _PTS = N.div("b.amax", "2688")
