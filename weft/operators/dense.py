@@ -21,6 +21,8 @@ from weft.session import ship_package
 _F = np.float32
 TINY = _F(1e-12)
 ELEMENTS = 1 << 20
+#: Rows of a group of whole tile rows, unless one tile row has more.
+ROWS = 512
 #: Tensors whose facts are broadcast; a longer list is joined as Spark sees fit.
 TENSORS = 200_000
 
@@ -80,26 +82,27 @@ def encode(rows: DataFrame, kernel: Kernel, columns: dict[str, str]) -> DataFram
 
 
 def encode_tiles(rows: DataFrame, size: int, kernel: Kernel, columns: dict[str, str]) -> DataFrame:
-    """The same with a fact more: ``tile_max``, the largest magnitudes of the size x size tiles that a row goes through.
+    """The same with a fact more: ``tile_max``, by row the largest magnitudes of the size x size tiles that it goes through.
 
-    One shuffle brings the ``size`` rows of a tile row together; it needs no other.
+    One shuffle brings tile rows together, whole and at most ``ROWS`` rows (or one tile row) in a group; it needs no other.
     """
     ship_package(rows.sparkSession)
 
     def run(group: pa.Table) -> pa.Table:
-        batch = group.drop_columns(["tile_row"]).combine_chunks().to_batches()[0]
-        width = max((w for _, w in _pieces(batch)), default=0)
-        top = np.zeros(-(-max(width, 0) // size), _F)
-        for part, w in _pieces(batch):
-            if w > 0:
-                x = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(_F, copy=False).reshape(part.num_rows, w)
-                own = slice_max(np.nan_to_num(np.abs(x), nan=0, posinf=np.inf), size).max(axis=0)
-                top[: len(own)] = np.maximum(top[: len(own)], own)
-        done = list(_encoded(batch, lambda x, facts: kernel(x, facts | {"tile_max": top[: -(-x.shape[1] // size)]}), columns))
-        return pa.Table.from_batches(done)
-
-    placed = rows.withColumn("tile_row", F.expr(f"row_id div {size}"))
-    return placed.groupBy("tensor", "tile_row").applyInArrow(run, _schema(rows, columns))
+        places = group.column("row_id").to_numpy()
+        tiles, tile = np.unique(places // size, return_inverse=True)
+        batch = group.drop_columns(["band"]).append_column("tile", pa.array(tile)).combine_chunks().to_batches()[0]
+        pieces = [(part, width) for part, width in _pieces(batch) if width > 0]
+        top = np.zeros((len(tiles), -(-max((w for _, w in pieces), default=0) // size)), _F)
+        for part, width in pieces:
+            x = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(_F, copy=False).reshape(part.num_rows, width)
+            own = slice_max(np.where(np.isnan(x), 0, np.abs(x)), size)
+            np.maximum.at(top[:, : own.shape[1]], part.column("tile").to_numpy(), own)
+        done = _encoded(batch, lambda x, facts: kernel(x, facts | {"tile_max": top[facts["tile"], : -(-x.shape[1] // size)]}), columns)
+        return pa.Table.from_batches(list(done))
+
+    banded = rows.withColumn("band", F.expr(f"row_id div {size * max(1, ROWS // size)}"))
+    return banded.groupBy("tensor", "band").applyInArrow(run, _schema(rows, columns))
 
 
 def magnitudes(x: np.ndarray, facts: dict[str, np.ndarray]) -> list[np.ndarray]:
@@ -203,7 +206,7 @@ def _wide(per_tile: np.ndarray, size: int, width: int) -> np.ndarray:
 def int8_block(size: int, clip: float | None) -> Kernel:
     def kernel(x: np.ndarray, facts: dict[str, np.ndarray]) -> list[np.ndarray]:
         s = np.maximum(clipped(facts["tile_max"], clip) / _F(127), _F(1e-8))
-        s = np.where(facts["zeros"][:, None], _F(1), s[None, :])
+        s = np.where(facts["zeros"][:, None], _F(1), s)
         return [s.astype(np.float64), int8_codes(x / _wide(s, size, x.shape[1]))]
 
     return kernel
@@ -231,7 +234,7 @@ def fp8_block(size: int) -> Kernel:
     def kernel(x: np.ndarray, facts: dict[str, np.ndarray]) -> list[np.ndarray]:
         if not facts["whole"].all():  # one tensor's rows: all or none
             return fp8_row(x, facts)
-        q = np.repeat(_fp8_scale(facts["tile_max"])[None, :], len(x), axis=0)
+        q = _fp8_scale(facts["tile_max"])
         return _fp8(x, _wide(q, size, x.shape[1]), np.where(facts["zeros"][:, None], 1, _inverse(q).astype(np.float64)))
 
     return kernel
