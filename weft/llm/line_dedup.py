@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import kernel as K
 from weft.llm.linkage import link_components
-from weft.llm.work import BROADCAST_ROWS, Work, binary_column, map_arrow, session_of, steady
+from weft.llm.work import BROADCAST_ROWS, Work, binary_column, free_name, map_arrow, numbered, session_of, steady
 
 #: Characters in a shingle.
 SHINGLE = 8
@@ -303,28 +303,29 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return lines.join(heads, "lid").where("uid != head_uid or line != head_line").select("uid", "line")
 
 
-def _without(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
-    """Cuts the lines; adds n_lines, those that aren't blank, and n_removed."""
+def _without(batches: Iterator[pa.RecordBatch], text_col: str, cut_col: str, added: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    """Cuts the lines; adds how many there were, blank ones aside, and how many were cut."""
     for batch in batches:
         texts, all_, gone = [], [], []
-        for text, cut in zip(binary_column(batch.column(text_col)), batch.column("__cut").to_pylist(), strict=True):
+        for text, cut in zip(binary_column(batch.column(text_col)), batch.column(cut_col).to_pylist(), strict=True):
             text, cut = text.as_py(), set(cut or ())
             texts.append(b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in cut) if cut else text)
             all_.append(sum(1 for x in text.decode("utf-8", "replace").split("\n") if x and not x.isspace()))
             gone.append(len(cut))
-        out = {n: batch.column(n) for n in batch.schema.names if n != "__cut"}
+        out = {n: batch.column(n) for n in batch.schema.names if n != cut_col}
         out[text_col] = pa.array(texts, pa.binary(), mask=np.asarray(batch.column(text_col).is_null())).view(pa.string())
-        yield pa.record_batch({**out, "__lines": pa.array(all_, pa.int64()), "__gone": pa.array(gone, pa.int64())})
+        yield pa.record_batch({**out, added[0]: pa.array(all_, pa.int64()), added[1]: pa.array(gone, pa.int64())})
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> DataFrame:
-    """``docs`` without the lines of :func:`repeated_lines`, and ``__lines``, ``__gone``: how many a text had and lost.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, added: tuple[str, str] = ("__lines", "__gone")) -> DataFrame:
+    """``docs`` without the lines of :func:`repeated_lines`, and two columns ``added``: how many a text had and lost.
 
-    All rows and columns stay; a text that lost every line is empty, one that lost none is as it was.
+    All rows and columns stay, but for columns with the names of those added, which are replaced; a text that lost every
+    line is empty, one that lost none is as it was.
     """
-    docs = steady(Work(session_of(docs), "rows"), docs)
-    cut = repeated_lines(docs, id_col, text_col, threshold).groupBy("uid").agg(F.collect_list("line").alias("__cut"))
-    rows = docs.select("*", F.monotonically_increasing_id().alias("__uid"))
-    both = rows.join(cut.withColumnRenamed("uid", "__uid"), "__uid", "left").drop("__uid").withColumn(text_col, F.col(text_col).cast("string"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name != "__cut"] + ["__lines long", "__gone long"])
-    return map_arrow(both, lambda batches: _without(batches, text_col), schema)
+    docs = steady(Work(session_of(docs), "rows"), docs.drop(*added))
+    uid, place = free_name(docs, "__uid"), free_name(docs, "__cut")
+    cut = repeated_lines(docs, id_col, text_col, threshold).groupBy("uid").agg(F.collect_list("line").alias(place))
+    both = numbered(docs, uid).join(cut.withColumnRenamed("uid", uid), uid, "left").drop(uid).withColumn(text_col, F.col(text_col).cast("string"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name != place] + [f"`{c}` long" for c in added])
+    return map_arrow(both, lambda batches: _without(batches, text_col, place, added), schema)

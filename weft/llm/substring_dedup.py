@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernel as K
-from weft.llm.work import Work, binary_column, map_arrow, numbered, session_of, steady
+from weft.llm.work import Work, binary_column, free_name, map_arrow, numbered, session_of, steady
 
 _LOWER = bytes(K.LOWER.tolist())
 #: A unit with what separates it from the next one; matches follow each other without gaps.
@@ -104,11 +104,13 @@ def _cut(text: str, spans: list[dict]) -> str:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with every repeated run cut out of its text; ``__removed`` lists their original places.
 
-    Rows, their order aside, and all other columns stay; ``__removed`` is empty where nothing was cut.
+    Rows, their order aside, and all other columns stay, but for one that is called ``__removed`` already, which is
+    replaced; ``__removed`` is empty where nothing was cut.
     """
-    docs = steady(Work(session_of(docs), "rows"), docs)
+    docs = steady(Work(session_of(docs), "rows"), docs.drop("__removed"))
+    uid = free_name(docs, "__uid")
     spans = repeated_units(docs, id_col, text_col, unit, min_words).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__removed"))
-    both = numbered(docs).join(spans.withColumnRenamed("uid", "__uid"), "__uid", "left").drop("__uid")
+    both = numbered(docs, uid).join(spans.withColumnRenamed("uid", uid), uid, "left").drop(uid)
     both = both.withColumn(text_col, F.col(text_col).cast("string")).withColumn("__removed", F.coalesce("__removed", F.array().cast("array<struct<start:bigint,end:bigint>>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

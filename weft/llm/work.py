@@ -72,15 +72,24 @@ def steady(work: Work, df: DataFrame) -> DataFrame:
     return df
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df``, which must be :func:`steady`, with ``__uid``, the row's number, as the operators give it."""
-    return df.select("*", F.monotonically_increasing_id().alias("__uid"))
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as keep it apart from the columns of ``df``, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str = "__uid") -> DataFrame:
+    """``df``, which must be :func:`steady`, with ``name`` (a free one), the row's number, as the operators give it."""
+    return df.select("*", F.monotonically_increasing_id().alias(name))
 
 
 def without_rows(df: DataFrame, gone: DataFrame, rows: int) -> DataFrame:
     """``df`` without the rows numbered in the one column of ``gone``; broadcast only where ``rows`` (its count) is in bounds."""
-    gone = gone.toDF("__uid")
-    return numbered(df).join(F.broadcast(gone) if rows <= BROADCAST_ROWS else gone, "__uid", "left_anti").drop("__uid")
+    uid = free_name(df, "__uid")
+    gone = gone.toDF(uid)
+    return numbered(df, uid).join(F.broadcast(gone) if rows <= BROADCAST_ROWS else gone, uid, "left_anti").drop(uid)
 
 
 def spread_join(df: DataFrame, keyed: DataFrame, key: str, bound: int = BROADCAST_ROWS // 10, ways: int = 16) -> DataFrame:
