@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import cases
@@ -65,3 +66,18 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = Work(spark, "test").keep(stage(spark, docs, FOLDER))
         assert docs.count() == 0
+
+
+def test_clashing_columns(spark):
+    """Columns called like those that stages use within stay; those of the mixture are replaced."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 60")
+    for name in ("__uid", "__Gone", "__lines", "__cut", "uid", "size", "TARGET"):
+        docs = docs.withColumn(name, F.lit("own"))
+    work = Work(spark, "test")
+    steps = [work.keep(docs)]
+    for _, stage in corpus_pipeline.STAGES:
+        steps.append(work.keep(stage(spark, steps[-1], FOLDER)))
+    assert all(s.columns == docs.columns for s in steps[:-1])
+    last = steps[-1]
+    assert last.columns == [c for c in docs.columns if c not in ("size", "TARGET")] + list(corpus_pipeline.MIXED)
+    assert last.count() > 0 and last.where("__uid <> 'own' or __Gone <> 'own' or uid <> 'own'").isEmpty()
