@@ -117,6 +117,22 @@ def prefix_length(t: int) -> Column:
     return F.expr(f"n - (n * {t} + 99) div 100 + 1")
 
 
+def _family(k: int, t: int):
+    """All pairs: whether they are linked, a's size, what a shares with b, and a's other elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (_sets(batch.select([c]).rename_columns(["text"]), k) for c in ("text_a", "text_b"))
+            extras = [np.setdiff1d(x, y, assume_unique=True) for x, y in zip(a, b, strict=True)]
+            n = np.array([len(x) for x in a], np.int64)
+            both = n - np.array([len(e) for e in extras], np.int64)
+            good = (both > 0) & (100 * both >= t * (n + np.array([len(y) for y in b], np.int64) - both))
+            extras = pa.array([e.view(np.int64) for e in extras], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good), pa.array(n), pa.array(both), extras], ["a", "b", "linked", "n", "c", "extras"])
+
+    return run
+
+
 def _verify(k: int, t: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +186,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def verify(pairs: DataFrame) -> DataFrame:
         return map_arrow(pairs, _verify(k, threshold), "a long, b long")
 
-    comps = link_components(work, shared_postings(postings), texts, verify, prefix_length(threshold), sizes_match(threshold), places_match(threshold), threshold=threshold)
+    def family(pairs: DataFrame) -> DataFrame:
+        return map_arrow(pairs, _family(k, threshold), "a long, b long, linked boolean, n long, c long, extras array<long>")
+
+    comps = link_components(work, shared_postings(postings), texts, verify, prefix_length(threshold), sizes_match(threshold), places_match(threshold), family, threshold, by_size=False)
     comps = work.keep(comps.join(classes, comps["id"] == classes["sid"]).select("sid", "component", F.col("rep.id").alias("rep")))
     least = comps.groupBy("component").agg(F.min("rep").alias("least"))
     linked = comps.join(least, "component").select("sid", "least")

@@ -12,7 +12,7 @@ pass the exact check:
 A pair within one component can't change the components, so nothing is lost by leaving it out.
 Lists of very frequent keys are split by ``salt`` in round 1 and by Spark's skew join in round 2.
 
-Families (optional) also keep round 2 from pairing all copies of one hub that aren't similar enough to it: what
+Families also keep round 2 from pairing all copies of one hub that aren't similar enough to it: what
 two items of a family share is in the hub, or in neither's part of it.  So with c elements shared with the
 hub, a pair can only match if it shares an element that the hub lacks, or if the smaller c is enough by itself.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.components import components
-from weft.llm.work import Work
+from weft.llm.work import BROADCAST_ROWS, Work
 
 
 #: An element that more than so many of a family have is common to it.
@@ -72,6 +72,12 @@ def _between(rows: DataFrame, group: str, condition: Column) -> DataFrame:
     return a.join(b, (a["key"] == b["key"]) & meet & condition)
 
 
+def _open(work: Work, members: DataFrame) -> DataFrame:
+    """The members of hubs whose members are in different components; others hold no pair to compare."""
+    hubs = work.keep(members.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low != top").select("hub"))
+    return members.join(F.broadcast(hubs) if hubs.count() <= BROADCAST_ROWS else hubs, "hub", "left_semi")
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
 
@@ -98,7 +104,7 @@ def _within(work: Work, family: DataFrame, t: int) -> DataFrame:
 
 
 def link_components(
-    work: Work, shared: DataFrame, texts: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], sent: Column, sizes: Column, places: Column, family: Callable[[DataFrame], DataFrame] | None = None, threshold: int = 80
+    work: Work, shared: DataFrame, texts: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], sent: Column, sizes: Column, places: Column, family: Callable[[DataFrame], DataFrame], threshold: int = 80, by_size: bool = True
 ) -> DataFrame:
     """(id, component) of items that have at least one verified link; component is the smallest id.
 
@@ -106,9 +112,9 @@ def link_components(
     ``texts(ids, n)`` returns (id, text) of the n ids; ``verify`` filters (a, text_a, b, text_b) to the linked pairs
     (a, b); ``sent`` counts an item's postings; ``sizes`` is a necessary condition on n, cap and last of a pair and
     ``places`` one on pos and rank too.  ``family`` maps the pairs of round 1 to (a, b, linked, n, c, extras): a's
-    size, what it shares with b, and its other elements; the links are of Jaccard similarity threshold / 100.
+    size, what it shares with b, and its other elements; the links are of Jaccard similarity threshold / 100.  With
+    ``by_size`` (many short items) hubs are chosen by the length of their lists, and items that miss theirs try a second one.
     """
-    by_size = family is not None
     hubs = work.keep(with_hubs(work.keep(shared), sent, by_size))
     # Hubs of the blocks of a frequent key are tied to the best of them in the same way.
     tops = hubs.where("salt >= 0").select("key", F.col("hub.share").alias("share"), (-F.col("hub.neg")).alias("id"), F.col("hub.n").alias("n"), F.col("hub.cap").alias("cap"), F.col("hub.last").alias("last")).distinct()
@@ -116,34 +122,34 @@ def link_components(
     votes = _votes(hubs).union(_votes(tops.select("*", best.alias("hub")))).where((F.col("id") != F.col("other")) & sizes)
     first = votes.groupBy("id", "other").count().groupBy("id").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
     first = first.select(F.col("id").alias("a"), F.col("other").alias("b"))
-    if family:  # a hub's own hub is nearer to the middle of the group; hubs only ever lead to better ones
+    if by_size:  # a hub's own hub is nearer to the middle of the group; hubs only ever lead to better ones
         for _ in range(2):
             first = work.keep(first)
             first = first.join(first.select(F.col("a").alias("b"), F.col("b").alias("up")), "b", "left").select("a", F.coalesce("up", "b").alias("b"))
     first = work.keep(first)
-    compared, have = check(work, first, texts, family or verify)
-    links = compared.where("linked").select("a", "b") if family else compared
-    if family:  # those that missed the hub are compared with the copy that has the least besides the hub's elements
+    compared, have = check(work, first, texts, family)
+    links = compared.where("linked").select("a", "b")
+    if by_size:  # those that missed the hub are compared with the copy that has the least besides the hub's elements
         nearest = compared.where("linked").groupBy("b").agg(F.max_by("a", F.struct(F.expr("c / n"), "a")).alias("near"))
         missed = compared.where("not linked").join(nearest, "b").select("a", F.col("near").alias("b"))
         links = links.union(check(work, missed, texts, verify, have)[0])
     comps = work.keep(components(work, links))
 
     known = hubs.join(comps, "id", "left").select("key", "id", "n", "pos", "rank", "cap", "last", F.coalesce("component", "id").alias("comp"))
-    if family:
-        members = compared.join(comps.withColumnRenamed("id", "a"), "a", "left")
-        members = work.keep(members.select(F.col("a").alias("id"), F.col("b").alias("hub"), "linked", "n", "c", "extras", F.coalesce("component", "a").alias("comp")))
-        known = known.join(members.select("id", "hub"), "id", "left").withColumn("hub", F.coalesce("hub", "id"))
-        rest = _pairs(_between(work.keep(known.distinct()), "hub", sizes & places)).union(_within(work, members, threshold))
-    else:
-        done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))  # in round 1: every pair is verified once
-        rest = _pairs(_between(work.keep(known), "comp", sizes & places)).join(done, ["a", "b"], "left_anti")
-    rest = work.keep(rest.distinct())
-    if family:  # texts of round 1 are there, but not of hubs of all their lists that no item was compared with
+    members = compared.join(comps.withColumnRenamed("id", "a"), "a", "left")
+    members = work.keep(members.select(F.col("a").alias("id"), F.col("b").alias("hub"), "linked", "n", "c", "extras", F.coalesce("component", "a").alias("comp")))
+    known = known.join(members.select("id", "hub"), "id", "left").withColumn("hub", F.coalesce("hub", "id"))
+    within = _within(work, members if by_size else work.keep(_open(work, members)), threshold)
+    rest = _pairs(_between(work.keep(known.distinct() if by_size else known), "hub", sizes & places)).union(within).distinct()
+    if by_size:
+        rest = work.keep(rest)  # texts of round 1 are there, but not of hubs of all their lists that no item was compared with
         ends = work.keep(rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().join(have.select("id"), "id", "left_anti"))
         n = ends.count()
         have = have.union(work.keep(texts(ends, n))) if n else have
-    more, have = check(work, rest, texts, verify, have if family else None)
+    else:
+        done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))  # in round 1: every pair is verified once
+        rest = work.keep(rest.join(done, ["a", "b"], "left_anti"))
+    more, have = check(work, rest, texts, verify, have if by_size else None)
     if more.isEmpty():
         return comps
     return components(work, links.union(more))
