@@ -136,7 +136,8 @@ def link_components(
     comps = work.keep(components(work, links))
 
     known = hubs.join(comps, "id", "left").select("key", "id", "n", "pos", "rank", "cap", "last", F.coalesce("component", "id").alias("comp"))
-    members = compared.join(comps.withColumnRenamed("id", "a"), "a", "left")
+    near = compared if by_size else compared.where("2 * c >= n")  # others share little with the hub: they are compared by their postings
+    members = near.join(comps.withColumnRenamed("id", "a"), "a", "left")
     members = work.keep(members.select(F.col("a").alias("id"), F.col("b").alias("hub"), "linked", "n", "c", "extras", F.coalesce("component", "a").alias("comp")))
     known = known.join(members.select("id", "hub"), "id", "left").withColumn("hub", F.coalesce("hub", "id"))
     within = _within(work, members if by_size else work.keep(_open(work, members)), threshold)
