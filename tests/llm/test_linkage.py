@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from weft.llm import linkage
 from weft.llm.linkage import link_components, shared_postings
 from weft.llm.work import Work
 
@@ -27,3 +28,25 @@ def test_hub_that_no_item_chose_keeps_its_links(spark):
     every = F.lit(True)
     got = link_components(Work(spark, "test"), shared, texts, verify, F.lit(10), every, every, family)
     assert {(r.id, r.component) for r in got.collect()} == {(hub, hub), (10, hub), (11, hub), (12, hub)}
+
+
+def test_copies_that_share_too_little_besides_the_hub_are_not_paired(spark, monkeypatch):
+    rows = []  # (hub, id, comp, linked, n, c, extras): each needs 10 elements besides the hub's
+    for i in range(60):  # one element in common with 19 others, or two that are the only ones anybody else has
+        rows.append((1, 100 + i, 100 + i, False, 100, 70, [i // 20, 10 + i // 2, *range(1000 + 40 * i, 1028 + 40 * i)]))
+    rows += [(1, 200 + i, 200 + i, False, 100, 70, [*range(20, 40), *range(5000 + 40 * i, 5010 + 40 * i)]) for i in range(2)]
+    rows += [(1, 300 + i, 300 + i, False, 100, 85, [*range(50 + 15 * i, 65 + 15 * i)]) for i in range(3)]  # need nothing besides
+    members = spark.createDataFrame(rows, "hub long, id long, comp long, linked boolean, n long, c long, extras array<long>")
+    made = []
+
+    def between(rows, group, condition, plain=linkage._between):
+        made.append(plain(rows, group, condition))
+        return made[-1]
+
+    monkeypatch.setattr(linkage, "_between", between)
+    got = linkage._within(Work(spark, "test"), members, 80)
+    assert sorted((r.a, r.b) for r in got.distinct().collect()) == [(200, 201)]
+    assert made[0].count() < 20  # 700 before
+    loose = members.withColumn("c", F.when(F.col("id") >= 300, 95).otherwise(F.col("c")).cast("long"))
+    got = linkage._within(Work(spark, "test"), loose, 80)
+    assert sorted((r.a, r.b) for r in got.collect()) == [(200, 201)] * made[1].count() + [(300, 301), (300, 302), (301, 302)]

@@ -95,12 +95,13 @@ def _within(work: Work, family: DataFrame, t: int) -> DataFrame:
     family = work.keep(family.drop("extras").join(more, "id", "left").withColumn("c", F.expr("c + coalesce(f, 0)")).drop("f"))
     sides = [family.select("hub", "linked", *[F.col(c).alias(f"{c}{k}") for c in ("id", "comp", "n", "c")]) for k in (1, 2)]
     loose = sides[0].where(f"not linked and c1 * 100 >= n1 * {t}").drop("linked")
-    enough = loose.join(sides[1].drop("linked"), (loose["hub"] == sides[1]["hub"]) & F.expr(f"comp1 != comp2 and least(c1, c2) * {100 + t} >= (n1 + n2) * {t}"))
-    sizes = F.expr(f"least(n1, n2) * 100 >= greatest(n1, n2) * {t} and (least(c1, c2) + least(n1 - c1, n2 - c2)) * {100 + t} >= (n1 + n2) * {t}")
-    rare = own.where(f"open and k <= {COMMON}").select("key", "id", "comp", "n").join(family.select("id", "c"), "id")
-    some = _between(rare, "comp", sizes).withColumns({"core": F.least("c1", "c2"), "sum": F.col("n1") + F.col("n2")})
-    some = some.groupBy(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "core", "sum").count()
-    return _pairs(enough).union(some.where(f"(core + count) * {100 + t} >= sum * {t}").select("a", "b"))
+    enough = loose.join(sides[1], (loose["hub"] == sides[1]["hub"]) & F.expr(f"comp1 != comp2 and (linked or id1 < id2) and least(c1, c2) * {100 + t} >= (n1 + n2) * {t}"))
+    rare = own.where(f"open and k <= {COMMON}").select("key", "k", "id", "comp", "n").join(family.select("id", "c"), "id")
+    of_id = Window.partitionBy("id")
+    rare = rare.select("*", F.count("*").over(of_id).alias("u"), F.row_number().over(of_id.orderBy("k", "key")).alias("place"))
+    rare = work.keep(rare.where(f"u - place + 1 >= (n * {t} + 99) div 100 - c").drop("k"))
+    sizes = F.expr(f"least(n1, n2) * 100 >= greatest(n1, n2) * {t} and (least(c1, c2) + 1 + least(u1 - place1, u2 - place2)) * {100 + t} >= (n1 + n2) * {t}")
+    return _pairs(enough).union(_pairs(_between(rare, "comp", sizes)))
 
 
 def link_components(
