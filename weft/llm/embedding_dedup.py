@@ -3,9 +3,12 @@
 Pivots partition the unit vectors; a vector's home is the cell of its nearest pivot.  Angles obey the triangle
 inequality, so a vector meets linked vectors of another cell only if it is near the border of that cell: within the
 range of the half space between the two pivots, and no further from that pivot than from its own plus twice the
-range.  It is replicated to those cells, of two cells to the first, and cells join independently.  A cell's vectors
+range.  It is replicated to those cells, of two cells to one, and cells join independently.  A cell's vectors
 are packed into blocks of bounded size, replicas by the block they come from; what travels is a row for each block, and each
 pair of blocks is compared by itself, so hot cells are no larger tasks.
+
+Where vectors lie in all directions alike no bound tells cells apart and every pair has to be compared.  More cells would only make
+more replicas, so there are as many as a sample bears; blocks are as large as memory allows, so that each travels few times.
 """
 
 from __future__ import annotations
@@ -21,9 +24,13 @@ from pyspark.sql import functions as F
 from weft.llm.components import components
 from weft.llm.work import Work, map_arrow, session_of
 
-#: Vectors in a cell at least, on average, and in a block.  Of n vectors up to sqrt(n) are pivots.
-CELL, BLOCK = 2048, 1024
-#: Numbers in a matrix of vectors by pivots.
+#: Vectors in a cell at least, on average.  Of n vectors up to sqrt(n) are pivots.
+CELL = 2048
+#: Cells that a vector of a sample of about so many is replicated to on average, at most; with more, there are fewer pivots.
+REPLICAS, SAMPLE = 4, 20_000
+#: A block holds this part of all vectors, but so many vectors at least, and so many numbers at most if these are more.
+PART, BLOCK, NUMBERS = 8, 1024, 1 << 20
+#: Numbers in a matrix of vectors by pivots, or by vectors.
 MATRIX = 1 << 22
 
 
@@ -57,7 +64,7 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _assign(pivots, least: float) -> Callable:
-    """Rows (rep, mult, v, dim, home, cells): the home cell, and lower cells that the vector is replicated to."""
+    """Rows (rep, mult, v, dim, home, cells): the home cell, and cells that the vector is replicated to; of two cells the lower one takes replicas if their sum is even."""
     reach, sine = math.acos(least), math.sin(math.acos(least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +83,8 @@ def _assign(pivots, least: float) -> Callable:
         near = best[:, None] - dots <= sine * apart + 1e-9
         angle = np.arccos(np.clip(dots, -1, 1))
         near &= angle <= np.arccos(np.clip(best, -1, 1))[:, None] + 2 * reach + 1e-9
-        near &= np.arange(len(p)) < home[:, None]
+        cell = np.arange(len(p))
+        near &= np.where((home[:, None] + cell) % 2 == 0, cell < home[:, None], cell > home[:, None])
         rows = batch.take(pa.array(at))
         count, cells = near.sum(axis=1), np.nonzero(near)[1]
         cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(cells, pa.int32()))
@@ -131,9 +139,11 @@ def _compare(least: float) -> Callable:
         split = len(sides[0][0]) // 8
         alone = len(sides) == 1
         other = np.arange(0 if alone else split, len(reps))
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(0, split, 512):
-            rows = np.arange(i, min(i + 512, split))
+        links, tied_a, tied_b = np.zeros(len(reps)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order = np.argsort(reps)
+        step = max(1, min(512, MATRIX // max(1, len(other))))
+        for i in range(0, split, step):
+            rows = np.arange(i, min(i + step, split))
             s = x[rows] @ x[other].T
             a, b = np.nonzero(s >= least - 1e-9)
             if alone:
@@ -144,12 +154,14 @@ def _compare(least: float) -> Callable:
             if close.any():
                 ok = np.array([not c or _exact(x[p], x[q]) >= least for c, p, q in zip(close, a, b, strict=True)], bool)
                 a, b = a[ok], b[ok]
-            found_a.append(a)
-            found_b.append(b)
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        links = np.bincount(a, mult[b], len(x)) + np.bincount(b, mult[a], len(x))
+            links += np.bincount(a, mult[b], len(x)) + np.bincount(b, mult[a], len(x))
+            tied_a, tied_b = np.concatenate([tied_a, a]), np.concatenate([tied_b, b])
+            if len(tied_a) > MATRIX // 4:  # a link to the root says as much
+                root = _local_roots(len(x), tied_a, tied_b, reps)
+                tied_a = np.flatnonzero(root != reps)
+                tied_b = order[np.searchsorted(reps, root[tied_a], sorter=order)]
         some = links > 0
-        return pa.record_batch({"rep": pa.array(reps[some], pa.int64()), "links": pa.array(links[some].astype(np.int64)), "root": pa.array(_local_roots(len(x), a, b, reps)[some], pa.int64())})
+        return pa.record_batch({"rep": pa.array(reps[some], pa.int64()), "links": pa.array(links[some].astype(np.int64)), "root": pa.array(_local_roots(len(x), tied_a, tied_b, reps)[some], pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,14 +186,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     usable = map_arrow(rows.where("id is not null and v is not null"), _usable, f"id long, v {rows.schema['v'].dataType.simpleString()}, h1 long, h2 long")
     classes = work.keep(usable.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.any_value("v").alias("v")))
     n = classes.count()
-    by_dim: dict[int, list[list[float]]] = {}
-    for r in classes.orderBy(F.xxhash64("rep")).limit(max(1, min(n // CELL, math.isqrt(n)))).collect():
-        by_dim.setdefault(len(r.v), []).append(r.v)
-    pivots = spark.sparkContext.broadcast({d: unit_rows(pa.array(p, pa.list_(pa.float64())))[1][0] for d, p in by_dim.items()})
+    count = max(1, min(n // CELL, math.isqrt(n)))
+    drawn = [r.v for r in classes.orderBy(F.xxhash64("rep")).limit(count).collect()]
     schema = f"rep long, mult long, v {rows.schema['v'].dataType.simpleString()}, dim int, home int, cells array<int>"
-    dealt = work.keep(map_arrow(classes.select("rep", "mult", "v"), _assign(pivots, least), schema))
 
-    homes = F.broadcast(work.keep(dealt.groupBy("dim", "home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("h"))))  # a row for each pivot
+    def deal(rows: DataFrame) -> DataFrame:
+        by_dim: dict[int, list[list[float]]] = {}
+        for v in drawn[:count]:
+            by_dim.setdefault(len(v), []).append(v)
+        pivots = spark.sparkContext.broadcast({d: unit_rows(pa.array(p, pa.list_(pa.float64())))[1][0] for d, p in by_dim.items()})
+        return map_arrow(rows.select("rep", "mult", "v"), _assign(pivots, least), schema)
+
+    sample = classes.where(F.pmod(F.xxhash64("h1", "h2"), F.lit(n // SAMPLE + 1)) == 0)
+    while count > 1 and (mean := deal(sample).agg(F.avg(F.size("cells"))).first()[0] or 0) > REPLICAS:
+        count = max(1, min(count - 1, int(count * REPLICAS / mean)))
+    dealt = work.keep(deal(classes))
+
+    size = F.expr(f"greatest({BLOCK}, least({n // PART}, {NUMBERS} div dim))")
+    homes = F.broadcast(work.keep(dealt.groupBy("dim", "home").agg(F.ceil(F.count("*") / size).cast("int").alias("h"))))  # a row for each pivot
     blocks = dealt.join(homes, ["dim", "home"]).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("h")).cast("int")).drop("h")
     blocks = work.keep(blocks.groupBy("dim", "home", "k").applyInArrow(_pack, "dim int, cell int, home int, k int, reps binary, mults binary, x binary"))
     # A block meets the blocks of its own cell from its own on, and its replicas all blocks of the cell that they are in.
