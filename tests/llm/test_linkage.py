@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from weft.llm import linkage
+from weft.llm.jaccard_join import place_of
 from weft.llm.linkage import link_components, shared_postings
 from weft.llm.work import Work
 
@@ -50,3 +51,21 @@ def test_copies_that_share_too_little_besides_the_hub_are_not_paired(spark, monk
     loose = members.withColumn("c", F.when(F.col("id") >= 300, 95).otherwise(F.col("c")).cast("long"))
     got = linkage._within(Work(spark, "test"), loose, 80)
     assert sorted((r.a, r.b) for r in got.collect()) == [(200, 201)] * made[1].count() + [(300, 301), (300, 302), (301, 302)]
+
+
+def test_postings_are_shared_by_items_of_like_sizes(spark):
+    rows = [(1, -1, 10, 50), (1, -1, 11, 100), (1, -1, 12, 200)]  # no two are within 80 %
+    rows += [(2, -1, 10, 50), (2, -1, 13, 62), (2, -1, 14, 77), (2, -1, 12, 200)]  # 50 and 62, 62 and 78 are; 50 and 77 aren't
+    rows += [(3, -1, 15, 80), (3, -1, 16, 100), (4, -1, 17, 79), (4, -1, 16, 100)]
+    rows += [(5, -1, 10, 50), (5, -1, 10, 50), (6, 0, 10, 50), (6, 1, 12, 200)]  # a copy of one's own; blocks of a frequent key
+    postings = spark.createDataFrame(rows, "key long, salt int, id long, n long")
+    got = sorted((r.key, r.id) for r in shared_postings(postings, 80).collect())
+    assert got == [(2, 10), (2, 13), (2, 14), (3, 15), (3, 16), (6, 10), (6, 12)]
+    assert len(shared_postings(postings).collect()) == 13
+
+
+def test_places_are_short_and_in_order():
+    order = [(0, 0), (0, 2**64 - 1), (1, 0), (1, 2**63), (2, 5), (3, 0), (1000, 7), (1001, 0), (2**32 - 1, 2**64 - 1)]
+    places = [place_of(*x) for x in order]
+    assert places == sorted(places) and places[0] >= 0 and places[-1] < 1 << 19
+    assert place_of(1, 0) < place_of(1, 2**62) < place_of(2, 0) < place_of(3, 0)

@@ -68,6 +68,11 @@ def _sketch(parts: DataFrame) -> np.ndarray:
     return np.minimum(out.reshape(-1), 0xFFFFFFFF).astype(np.uint32)
 
 
+def place_of(freq: int, h: int) -> int:
+    """A place in the order of elements in 19 bits, as it travels with every posting; near ones may have the same, which the filters allow for."""
+    return int(np.float32(freq << 31 | h >> 33).view(np.int32)) >> 12
+
+
 def _prefixes(k: int, t: int, sketch) -> Callable:
     """Postings of the rarest elements of each distinct set; a set is sent once by a task."""
 
@@ -87,7 +92,7 @@ def _prefixes(k: int, t: int, sketch) -> Callable:
                 sids.append(np.full(p, sid))
                 ns.append(np.full(p, n))
                 end = order[p - 1]
-                lasts.append(np.full(p, int(freq[end]) << 31 | int(s[end]) >> 33))
+                lasts.append(np.full(p, place_of(int(freq[end]), int(s[end]))))
                 poss.append(np.arange(p))
             if not keys:
                 continue
@@ -189,7 +194,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def family(pairs: DataFrame) -> DataFrame:
         return map_arrow(pairs, _family(k, threshold), "a long, b long, linked boolean, n long, c long, extras array<long>")
 
-    comps = link_components(work, shared_postings(postings), texts, verify, prefix_length(threshold), sizes_match(threshold), places_match(threshold), family, threshold, by_size=False)
+    comps = link_components(work, shared_postings(postings, threshold), texts, verify, prefix_length(threshold), sizes_match(threshold), places_match(threshold), family, threshold, by_size=False)
     comps = work.keep(comps.join(classes, comps["id"] == classes["sid"]).select("sid", "component", F.col("rep.id").alias("rep")))
     least = comps.groupBy("component").agg(F.min("rep").alias("least"))
     linked = comps.join(least, "component").select("sid", "least")

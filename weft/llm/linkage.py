@@ -32,11 +32,20 @@ from weft.llm.work import BROADCAST_ROWS, Work
 COMMON = 32
 
 
-def shared_postings(postings: DataFrame) -> DataFrame:
-    """Postings whose list holds another item (those of frequent keys, which stand in several blocks, all), with the list's size."""
+def shared_postings(postings: DataFrame, t: int = 0) -> DataFrame:
+    """Postings whose list holds another item (those of frequent keys, which stand in several blocks, all), with the list's size.
+
+    With ``t`` the other item's n must be within t % of the own one or the other way round, as that of any similar set; next to an item
+    in the order of n are those of the nearest n.  A copy of a posting that another task has sent counts as one such.
+    """
     w = Window.partitionBy("key", "salt")
     lists = postings.select("*", F.min("id").over(w).alias("low"), F.max("id").over(w).alias("top"), F.count("*").over(w).cast("int").alias("size"))
-    return lists.where("low != top or salt >= 0").drop("low", "top")
+    other = F.expr("low != top")
+    if t:
+        order = w.orderBy("n", "id")
+        lists = lists.select("*", F.lag("n").over(order).alias("less"), F.lead("n").over(order).alias("more"))
+        other &= F.expr(f"coalesce(less * 100 >= n * {t}, false) or coalesce(n * 100 >= more * {t}, false)")
+    return lists.where(other | F.expr("salt >= 0")).drop("low", "top", "less", "more")
 
 
 def with_hubs(shared: DataFrame, sent: Column, by_size: bool) -> DataFrame:
