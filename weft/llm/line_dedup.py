@@ -8,7 +8,6 @@ the size still meet.  Bands of the signature are the postings; linkage compares
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,14 +44,17 @@ def normal(line: str) -> str:
     return " ".join(line.split())
 
 
-#: White space that :func:`normal` would change: other than a line feed or a single space.
-_UNEVEN = re.compile(r"[^\S \n]|  ")
+#: White space other than a line feed or a space, which :func:`normal` would change: bytes of ASCII, and characters beyond it.
+_ODD = bytes(c for c in range(128) if chr(c).isspace() and chr(c) not in " \n")
+_WIDE = [chr(c) for c in range(128, 1 << 16) if chr(c).isspace()]
 
 
 def lines_of(text: bytes) -> list[str]:
     """Lines, A-Z as a-z, white space collapsed; blank ones are empty."""
-    low = text.translate(_LOWER).decode("utf-8", "replace")
-    if _UNEVEN.search(low):
+    low = text.translate(_LOWER, _ODD)
+    uneven = len(low) < len(text) or b"  " in low
+    low = (text.translate(_LOWER) if uneven else low).decode("utf-8", "replace")
+    if uneven or (not low.isascii() and any(c in low for c in _WIDE)):
         return [normal(x) for x in low.split("\n")]
     return [x.strip(" ") for x in low.split("\n")]
 
@@ -63,22 +65,34 @@ def digests(lines: list[str]) -> np.ndarray:
 
 
 #: Characters whose signatures are taken at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _CODES = K.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * K._P)
 
 
+def _mixed(h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """K.mix in place; ``more`` is overwritten."""
+    for shift, factor in ((30, K.U(0xBF58476D1CE4E5B9)), (27, K.U(0x94D049BB133111EB)), (31, None)):
+        h ^= np.right_shift(h, K.U(shift), out=more)
+        if factor is not None:
+            h *= factor
+    return h
+
+
 def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all windows of the lines, padded and joined; where each line's shingles begin, and how many there are."""
     size = np.array([len(x) for x in lines], np.int64)
     pad = "\0" * SHINGLE
     code = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
-    h = _CODES[code & 0xFFFF]
-    if (code > 0xFFFF).any():
+    if code.max() <= 0xFFFF:
+        h = _CODES.take(code)
+    else:
+        h = _CODES.take(code & 0xFFFF)
         h += (code >> 16).astype(np.uint64) * _P2
+    more = np.empty_like(h)
     for step, power in ((1, K._P), (2, _P2), (4, _P4)):
-        h[:-step] += h[step:] * power
-    return K.mix(h), np.concatenate([[0], np.cumsum(size + SHINGLE)])[:-1], np.maximum(size - SHINGLE + 1, 1)
+        h[:-step] += np.multiply(h[step:], power, out=more[step:])
+    return _mixed(h, more), np.concatenate([[0], np.cumsum(size + SHINGLE)])[:-1], np.maximum(size - SHINGLE + 1, 1)
 
 
 def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +119,7 @@ def _many(lines: list[str]) -> np.ndarray:
     width = np.diff(np.append(first, len(h)))
     bin_ = (((h >> K.U(32)) * K.U(PLACES)) >> K.U(32)).astype(np.int64)
     h *= _MULTIPLIERS[0]
-    h[(first + count)[:, None] + np.arange(SHINGLE - 1)] = _NONE  # windows that reach over a line's end
+    h[(first + count)[:, None] + np.arange(2 * SHINGLE - 1)] = _NONE  # windows that reach over a line's end, into the next one too
     sig = np.full(len(lines) * PLACES, _NONE)
     np.minimum.at(sig, np.repeat(np.arange(len(lines)) * PLACES, width) + bin_, h)
     sig = sig.reshape(-1, PLACES)
@@ -205,7 +219,7 @@ def _lists(asked: pa.Table) -> pa.Table:
         """Number of the run of equal rows for each row."""
         return np.cumsum(np.concatenate([[False], np.any([c[1:] != c[:-1] for c in columns], axis=0)])) if len(columns[0]) else np.zeros(0, np.int64)
 
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     of = runs(key[order])
     some = order[(np.bincount(of)[of] > 1) | (salt[order] >= 0)]  # most keys are one line's own
     some = some[np.lexsort((lid[some], salt[some], key[some]))]
@@ -238,8 +252,17 @@ def _sets(batch: pa.RecordBatch, column: str, ids: str) -> list[np.ndarray]:
     if not texts:
         return []
     h, begin = char_shingles(texts)
-    own = [np.unique(h[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
-    return [own[k] for k in at]
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        h[a:b].sort()
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    new[begin[:-1]] = True
+    h, begin = h[new], np.concatenate([[0], np.cumsum(new)])[begin].tolist()
+    return [h[begin[k] : begin[k + 1]] for k in at.tolist()]
+
+
+def _lacking(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The elements of p that q lacks; both are sorted, distinct and not empty."""
+    return p[q[np.minimum(np.searchsorted(q, p), len(q) - 1)] != p]
 
 
 def _verify(t: int, family: bool) -> Callable:
@@ -248,7 +271,7 @@ def _verify(t: int, family: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = _sets(batch, "text_a", "a"), _sets(batch, "text_b", "b")
-            extras = [np.setdiff1d(p, q, assume_unique=True) for p, q in zip(x, y, strict=True)]
+            extras = [_lacking(p, q) for p, q in zip(x, y, strict=True)]
             n, both = [len(p) for p in x], [len(p) - len(e) for p, e in zip(x, extras, strict=True)]
             good = pa.array([100 * c >= t * (k + len(q) - c) for c, k, q in zip(both, n, y, strict=True)], pa.bool_())
             pairs = batch.select(["a", "b"])

@@ -70,8 +70,9 @@ def _votes(rows: DataFrame) -> DataFrame:
 
 def _between(rows: DataFrame, group: str, condition: Column) -> DataFrame:
     """Rows 1 and 2 of one key in different groups and components; most of the rows are in the key's major group."""
-    sizes = rows.groupBy("key", group).count()
-    keys = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max_by(group, F.struct("count", group)).alias("major")).where("k > 1").select("key", "major")
+    sizes = rows.groupBy("key", group).agg(F.count("*").alias("count"), F.min("comp").alias("low"), F.max("comp").alias("top"))
+    keys = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max_by(group, F.struct("count", group)).alias("major"), F.min("low").alias("low"), F.max("top").alias("top"))
+    keys = keys.where("k > 1 and low != top").select("key", "major")  # others hold no pair to compare
     several = rows.join(keys, "key")
     names = [c for c in rows.columns if c != "key"]
     a = several.where(f"{group} != major").select("key", *[F.col(c).alias(f"{c}1") for c in names])
@@ -150,8 +151,8 @@ def link_components(
     members = near.join(comps.withColumnRenamed("id", "a"), "a", "left")
     members = work.keep(members.select(F.col("a").alias("id"), F.col("b").alias("hub"), "linked", "n", "c", "extras", F.coalesce("component", "a").alias("comp")))
     known = known.join(members.select("id", "hub"), "id", "left").withColumn("hub", F.coalesce("hub", "id"))
-    within = _within(work, members if by_size else work.keep(_open(work, members)), threshold)
-    rest = _pairs(_between(work.keep(known.distinct() if by_size else known), "hub", sizes & places)).union(within).distinct()
+    within = _within(work, work.keep(_open(work, members)), threshold)
+    rest = _pairs(_between(work.keep(known), "hub", sizes & places)).union(within).distinct()
     if by_size:
         rest = work.keep(rest)  # texts of round 1 are there, but not of hubs of all their lists that no item was compared with
         ends = work.keep(rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().join(have.select("id"), "id", "left_anti"))

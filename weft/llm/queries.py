@@ -48,7 +48,7 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents after fuzzy line deduplication: lines, lines removed, and a digest of the text that is left."""
-    found = dedup_lines(table(spark, folder, "documents"))
+    found = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), digest.alias("text_sha256"))
 
