@@ -85,3 +85,16 @@ def test_families_in_one_component_send_no_elements(spark, monkeypatch):
     got = link_components(Work(spark, "test"), shared, texts, verify, F.lit(4), every, every, family)
     assert {(r.id, r.component) for r in got.collect()} == {(1, 1), (10, 1), (11, 1), (12, 1), (2, 2), (20, 2)}
     assert not {1, 10, 11, 12} & set(seen) and 21 in seen
+
+
+def test_bitmaps_keep_unlike_lines_of_a_family_apart(spark):
+    rng = np.random.default_rng(3)
+    base, sets = rng.integers(0, 1 << 63, 400, dtype=np.uint64), []
+    for k in range(40):  # each has most of its elements in the hub, but another part of it; the last two are alike
+        sets.append(np.unique(np.concatenate([rng.permutation(base)[:300], rng.integers(0, 1 << 63, 20, dtype=np.uint64)])) if k < 39 else sets[-1][8:])
+    rows = [(1, k, k, False, len(s), 300, [], L._bitmap(s).tolist()) for k, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "hub long, id long, comp long, linked boolean, n long, c long, extras array<long>, bits array<long>")
+    got = {(r.a, r.b) for r in linkage._within(Work(spark, "test"), members, 80).collect()}
+    alike = {(i, j) for i in range(40) for j in range(i) for c in [len(np.intersect1d(sets[i], sets[j]))] if 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c)}
+    assert {(j, i) for i, j in alike} <= got and (38, 39) in got
+    assert len(got) < 80  # 780 without bitmaps

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernel as K
-from weft.llm.linkage import link_components
+from weft.llm.linkage import LONGS, link_components
 from weft.llm.work import BROADCAST_ROWS, Work, binary_column, free_name, map_arrow, numbered, session_of, steady
 
 #: Characters in a shingle.
@@ -265,8 +265,15 @@ def _lacking(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return p[q[np.minimum(np.searchsorted(q, p), len(q) - 1)] != p]
 
 
+def _bitmap(p: np.ndarray) -> np.ndarray:
+    """LONGS longs with the bits of the elements."""
+    bits = np.zeros(64 * LONGS, bool)
+    bits[(p & K.U(64 * LONGS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _verify(t: int, family: bool) -> Callable:
-    """The pairs that are linked; with ``family`` all pairs, with whether they are and what a and b share and don't."""
+    """The pairs that are linked; with ``family`` all pairs, with whether they are, what a and b share and don't, and a's bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +286,7 @@ def _verify(t: int, family: bool) -> Callable:
                 yield pairs.filter(good)
                 continue
             extras = pa.array([e.view(np.int64) for e in extras], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*pairs.columns, good, pa.array(n, pa.int64()), pa.array(both, pa.int64()), extras], ["a", "b", "linked", "n", "c", "extras"])
+            yield pa.RecordBatch.from_arrays([*pairs.columns, good, pa.array(n, pa.int64()), pa.array(both, pa.int64()), extras, pa.array([_bitmap(p) for p in x], pa.list_(pa.int64()))], ["a", "b", "linked", "n", "c", "extras", "bits"])
 
     return run
 
@@ -315,7 +322,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return map_arrow(pairs, _verify(threshold, False), "a long, b long")
 
     def family(pairs: DataFrame) -> DataFrame:
-        return map_arrow(pairs, _verify(threshold, True), "a long, b long, linked boolean, n long, c long, extras array<long>")
+        return map_arrow(pairs, _verify(threshold, True), "a long, b long, linked boolean, n long, c long, extras array<long>, bits array<long>")
 
     every = F.lit(True)
     comps = link_components(work, shared, texts, verify, F.lit(BANDS), every, every, family, threshold)

@@ -30,6 +30,8 @@ from weft.llm.work import BROADCAST_ROWS, Work
 
 #: An element that more than so many of a family have is common to it.
 COMMON = 32
+#: Longs of a bitmap, in which each element of a set has one bit.
+LONGS = 32
 
 
 def shared_postings(postings: DataFrame, t: int = 0) -> DataFrame:
@@ -92,6 +94,12 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
 
 
+def _alike(t: int) -> Column:
+    """Whether two sets may match by their bitmaps: each bit that one lacks is of an element of the other's own."""
+    own = ["(" + " + ".join(f"bit_count({x}[{k}] & ~{y}[{k}])" for k in range(LONGS)) + ")" for x, y in (("bits1", "bits2"), ("bits2", "bits1"))]
+    return F.expr(f"least(n1 - {own[0]}, n2 - {own[1]}) * {100 + t} >= (n1 + n2) * {t}")
+
+
 def _within(work: Work, family: DataFrame, t: int) -> DataFrame:
     """Pairs of a family in different components that share a rare element that the hub lacks, or enough of the rest.
 
@@ -103,9 +111,10 @@ def _within(work: Work, family: DataFrame, t: int) -> DataFrame:
     own = work.keep(own.where(f"open or k > {COMMON}"))  # most elements are one item's own
     more = own.where(f"k > {COMMON}").groupBy("id").agg(F.count("*").alias("f"))
     family = work.keep(family.drop("extras").join(more, "id", "left").withColumn("c", F.expr("c + coalesce(f, 0)")).drop("f"))
-    sides = [family.select("hub", "linked", *[F.col(c).alias(f"{c}{k}") for c in ("id", "comp", "n", "c")]) for k in (1, 2)]
+    bits = "bits" in family.columns
+    sides = [family.select("hub", "linked", *[F.col(c).alias(f"{c}{k}") for c in ("id", "comp", "n", "c", *["bits"] * bits)]) for k in (1, 2)]
     loose = sides[0].where(f"not linked and c1 * 100 >= n1 * {t}").drop("linked")
-    enough = loose.join(sides[1], (loose["hub"] == sides[1]["hub"]) & F.expr(f"comp1 != comp2 and (linked or id1 < id2) and least(c1, c2) * {100 + t} >= (n1 + n2) * {t}"))
+    enough = loose.join(sides[1], (loose["hub"] == sides[1]["hub"]) & F.expr(f"comp1 != comp2 and (linked or id1 < id2) and least(c1, c2) * {100 + t} >= (n1 + n2) * {t}") & (_alike(t) if bits else F.lit(True)))
     rare = own.where(f"open and k <= {COMMON}").select("key", "k", "id", "comp", "n").join(family.select("id", "c"), "id")
     of_id = Window.partitionBy("id")
     rare = rare.select("*", F.count("*").over(of_id).alias("u"), F.row_number().over(of_id.orderBy("k", "key")).alias("place"))
@@ -123,7 +132,7 @@ def link_components(
     ``texts(ids, n)`` returns (id, text) of the n ids; ``verify`` filters (a, text_a, b, text_b) to the linked pairs
     (a, b); ``sent`` counts an item's postings; ``sizes`` is a necessary condition on n, cap and last of a pair and
     ``places`` one on pos and rank too.  ``family`` maps the pairs of round 1 to (a, b, linked, n, c, extras): a's
-    size, what it shares with b, and its other elements; the links are of Jaccard similarity threshold / 100.  With
+    size, what it shares with b, and its other elements, and may add ``bits``, a's bitmap; the links are of Jaccard similarity threshold / 100.  With
     ``by_size`` (many short items) hubs are chosen by the length of their lists, and items that miss theirs try a second one.
     """
     hubs = work.keep(with_hubs(work.keep(shared), sent, by_size))
@@ -149,7 +158,7 @@ def link_components(
     known = hubs.join(comps, "id", "left").select("key", "id", "n", "pos", "rank", "cap", "last", F.coalesce("component", "id").alias("comp"))
     near = compared if by_size else compared.where("2 * c >= n")  # others share little with the hub: they are compared by their postings
     members = near.join(comps.withColumnRenamed("id", "a"), "a", "left")
-    members = work.keep(members.select(F.col("a").alias("id"), F.col("b").alias("hub"), "linked", "n", "c", "extras", F.coalesce("component", "a").alias("comp")))
+    members = work.keep(members.select(F.col("a").alias("id"), F.col("b").alias("hub"), "linked", "n", "c", "extras", *[c for c in near.columns if c == "bits"], F.coalesce("component", "a").alias("comp")))
     known = known.join(members.select("id", "hub"), "id", "left").withColumn("hub", F.coalesce("hub", "id"))
     within = _within(work, work.keep(_open(work, members)), threshold)
     rest = _pairs(_between(work.keep(known), "hub", sizes & places)).union(within).distinct()
