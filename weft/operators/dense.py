@@ -232,7 +232,7 @@ def fp8_row(x: np.ndarray, facts: dict[str, np.ndarray]) -> list[np.ndarray]:
 
 def fp8_block(size: int) -> Kernel:
     def kernel(x: np.ndarray, facts: dict[str, np.ndarray]) -> list[np.ndarray]:
-        if not facts["whole"].all():  # one tensor's rows: all or none
+        if "whole" in facts and not facts["whole"].all():  # one tensor's rows: all or none
             return fp8_row(x, facts)
         q = _fp8_scale(facts["tile_max"])
         return _fp8(x, _wide(q, size, x.shape[1]), np.where(facts["zeros"][:, None], 1, _inverse(q).astype(np.float64)))

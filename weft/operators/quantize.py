@@ -49,8 +49,13 @@ def int8_row(rows: DataFrame, clip: float | None = None) -> DataFrame:
     return dense.encode(with_tensor_max(rows), dense.int8_row(clip), CODED)
 
 
-def int8_block(rows: DataFrame, size: int = 128, clip: float | None = None) -> DataFrame:
-    """One scale for a size x size tile: largest magnitude / 127, at least 1e-8; a tensor whose rows or columns don't divide is an error."""
+def int8_block(rows: DataFrame, size: int = 128, clip: float | None = None, partial: bool = False) -> DataFrame:
+    """One scale for a size x size tile: largest magnitude / 127, at least 1e-8; a tensor whose rows or columns don't divide is an error.
+
+    With ``partial`` it is none: tiles at the edges, or with rows missing, have a scale for the elements that they have.
+    """
+    if partial:
+        return dense.encode_tiles(dense.with_facts(rows), size, dense.int8_block(size, clip), CODED)
     refused = F.raise_error(F.concat(F.lit("rows and columns must be multiples of "), F.lit(str(size)), F.lit(": tensor "), F.col("tensor").cast("string")))
     shaped = dense.with_facts(rows, size)
     shaped = shaped.withColumn("v", F.when(F.col("whole"), F.col("v")).otherwise(refused.cast(shaped.schema["v"].dataType)))
@@ -71,9 +76,12 @@ def fp8_row(rows: DataFrame) -> DataFrame:
     return dense.encode(with_tensor_max(rows), dense.fp8_row, VALUED)
 
 
-def fp8_block(rows: DataFrame, size: int = 128) -> DataFrame:
-    """One scale for a size x size tile; a tensor whose rows or columns don't divide gets one for each row (one, if it is all zeros)."""
-    return dense.encode_tiles(dense.with_facts(rows, size), size, dense.fp8_block(size), VALUED)
+def fp8_block(rows: DataFrame, size: int = 128, partial: bool = False) -> DataFrame:
+    """One scale for a size x size tile; a tensor whose rows or columns don't divide gets one for each row (one, if it is all zeros).
+
+    With ``partial`` it gets tiles too: those at the edges, or with rows missing, have a scale for the elements that they have.
+    """
+    return dense.encode_tiles(dense.with_facts(rows, None if partial else size), size, dense.fp8_block(size), VALUED)
 
 
 def fp8_dequantize(quantized: DataFrame, size: int | None = None) -> DataFrame:
