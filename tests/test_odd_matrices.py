@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from weft.operators.superblocks import KINDS, SIZE, decode, encode, superblocks
 
 
 def against_sql(spark, folder, name):
@@ -35,3 +36,19 @@ def test_tiles_at_the_edge(spark, tmp_path, name, ids):
     vectors(spark, str(tmp_path), ids)
     got, want = against_sql(spark, str(tmp_path), name)
     assert got == want and got
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_rows_short_of_a_superblock(spark, tmp_path, kind):
+    rows = vectors(spark, str(tmp_path), range(10))
+    x = np.zeros((3, SIZE), np.float32)
+    x.reshape(-1)[:640] = np.concatenate([v for _, v, _ in rows])
+    for name in (f"{kind}_blocks", f"{kind}_weighted"):
+        got = entry.queries()[name](spark, str(tmp_path)).orderBy("row_id").collect()
+        back = decode(kind, np.stack([np.frombuffer(bytes.fromhex(r.data), np.uint8) for r in got]))
+        assert back.shape == x.shape and ((back - x) ** 2).sum() < 0.2 * (x**2).sum()
+        assert (back[2, 128:] == 0).all() and ((back[2] - x[2]) ** 2).sum() < 0.2 * (x[2] ** 2).sum()
+    assert got[0].data == encode(kind, x[:1], np.float32(0.1) + np.abs(x[:1])).tobytes().hex().upper()
+    short = spark.createDataFrame([("t", 0, x[2, :128].tolist())], "tensor string, row_id long, v array<float>")
+    weights = spark.createDataFrame([("t", [1.0] * 128)], "tensor string, w array<float>")
+    assert bytes(superblocks(short, kind, weights, fill=True).first().data) == encode(kind, x[2:], np.repeat(np.float32([[1, 0]]), 128, axis=1)).tobytes()

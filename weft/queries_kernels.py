@@ -86,7 +86,7 @@ def _superblocks(kind: str, weighted: bool):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         rows = wide(spark, folder)
         weights = rows.groupBy("tensor").agg(F.expr("transform(max_by(v, -row_id), x -> CAST(0.1 AS FLOAT) + abs(x))").alias("w")) if weighted else None
-        return superblocks(rows, kind, weights).select("tensor", "row_id", F.hex("data").alias("data"))
+        return superblocks(rows, kind, weights, fill=True).select("tensor", "row_id", F.hex("data").alias("data"))  # the last row may be short
 
     run.__name__ = f"{kind}_{'weighted' if weighted else 'blocks'}"
     run.__doc__ = f"Super-blocks of the layout {kind}" + (", errors weighted by column." if weighted else ".")
