@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def case(x: str, table: dict[str, str], otherwise: str = "NULL") -> str:
     return f"CASE {x} {' '.join(f'WHEN {text(k)} THEN {text(v)}' for k, v in table.items())} ELSE {otherwise} END"
 
 
+def lookup(x: str, table: dict[str, str | int]) -> str:
+    """``case`` for Spark alone: one lookup in a constant map.  Long chains make methods of more than 8000 bytes, which the JVM never compiles."""
+    return f"element_at(map({', '.join(f'{text(k)}, {text(v) if isinstance(v, str) else f"{v}L"}' for k, v in table.items())}), {x})"
+
+
 # Canonical names of the parts of a layer, by their names in checkpoints.
 PARTS = {
     "self_attn.q_proj": "attn_q",
@@ -76,28 +82,31 @@ ARCHS = {
 }
 
 
-#: Steps to the canonical name, columns over (name, arch); each step refers to the one before.
-CANONICAL = [
-    {"unwrapped": "regexp_replace(name, '^(model[.]language_model[.]|model[.]model[.])', '')"},
-    {"bare": "regexp_replace(unwrapped, '^model[.]', '')"},
-    {"tail": "regexp_extract(bare, '^layers[.][0-9]+[.](.*)$', 1)", "layer": "regexp_extract(bare, '^layers[.]([0-9]+)[.]', 1)"},
-    {"core": "regexp_replace(tail, '[.](weight|bias)$', '')", "suffix": "regexp_extract(tail, '([.](weight|bias))$', 1)"},
-    {"part": f"CASE WHEN core = 'post_attention_layernorm' THEN CASE WHEN {one_of('arch', POST_ATTENTION_ARCHS)} THEN 'post_attention_norm' ELSE 'ffn_norm' END ELSE {case('core', PARTS)} END"},
-    {"canonical": f"CASE WHEN unwrapped = 'lm_head.weight' THEN 'output.weight' WHEN {one_of('bare', TOP)} THEN {case('bare', TOP)} WHEN part IS NOT NULL THEN concat('blk.', CAST(CAST(layer AS BIGINT) AS VARCHAR(20)), '.', part, suffix) END"},
-]
+def canonical_steps(among: Callable[[str, dict[str, str]], str]) -> list[dict[str, str]]:
+    """Steps to the canonical name, columns over (name, arch); each step refers to the one before.  ``among`` looks a value up in a table."""
+    return [
+        {"unwrapped": "regexp_replace(name, '^(model[.]language_model[.]|model[.]model[.])', '')"},
+        {"bare": "regexp_replace(unwrapped, '^model[.]', '')"},
+        {"tail": "regexp_extract(bare, '^layers[.][0-9]+[.](.*)$', 1)", "layer": "regexp_extract(bare, '^layers[.]([0-9]+)[.]', 1)"},
+        {"core": "regexp_replace(tail, '[.](weight|bias)$', '')", "suffix": "regexp_extract(tail, '([.](weight|bias))$', 1)"},
+        {"part": f"CASE WHEN core = 'post_attention_layernorm' THEN CASE WHEN {one_of('arch', POST_ATTENTION_ARCHS)} THEN 'post_attention_norm' ELSE 'ffn_norm' END ELSE {among('core', PARTS)} END"},
+        {"canonical": f"CASE WHEN unwrapped = 'lm_head.weight' THEN 'output.weight' WHEN {one_of('bare', TOP)} THEN {among('bare', TOP)} WHEN part IS NOT NULL THEN concat('blk.', CAST(CAST(layer AS BIGINT) AS VARCHAR(20)), '.', part, suffix) END"},
+    ]
+
+
 HELPERS = ("unwrapped", "bare", "tail", "layer", "core", "suffix", "part")
 
 
 def canonical(tensors: DataFrame) -> DataFrame:
     """Adds ``canonical``: null if the name has none (rotary caches and whatever isn't known)."""
-    for step in CANONICAL:
+    for step in canonical_steps(lookup):
         tensors = tensors.withColumns({k: F.expr(v) for k, v in step.items()})
     return tensors.drop(*HELPERS)
 
 
 def canonical_sql(source: str) -> str:
     """The same as DuckDB SQL over the query ``source``."""
-    for step in CANONICAL:
+    for step in canonical_steps(case):
         source = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in step.items())} FROM ({source})"
     return f"SELECT * EXCLUDE ({', '.join(HELPERS)}) FROM ({source})"
 

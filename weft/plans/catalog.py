@@ -51,11 +51,15 @@ def models(parts: DataFrame) -> DataFrame:
 
 
 def tensors(parts: DataFrame) -> DataFrame:
-    """The catalog of the made-up models."""
-    base = models(parts)
-    layers = base.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("layers") - 1)).alias("layer")).select("*", F.explode(F.expr(_structs(LAYER))).alias("p"))
-    outer = base.withColumn("layer", F.lit(None).cast("long")).select("*", F.explode(F.expr(_structs(OUTER))).alias("p"))
-    both = layers.union(outer).select("model", "arch", "prefix", "width", "gqa", "layer", "p.*")
+    """The catalog of the made-up models.
+
+    A model becomes dozens of tensors, but a table of models is too small for Spark to split, and it takes the catalog to be as small; so the
+    models are dealt out first, by model: what is made of them is made by all cores, and windows over a model's tensors shuffle nothing more.
+    """
+    dealt = models(parts).repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "model")
+    layers = dealt.select("*", F.explode(F.expr("sequence(-1L, greatest(coalesce(layers, 0L), 0L) - 1)")).alias("layer"))  # -1: outside of layers
+    both = layers.select("*", F.explode(F.expr(f"if(layer < 0, {_structs(OUTER)}, {_structs(LAYER)})")).alias("p"))
+    both = both.select("model", "arch", "prefix", "width", "gqa", F.expr("nullif(layer, -1L)").alias("layer"), "p.*")
     rows = both.select("model", "arch", "gqa", "ndim", *[F.expr(v).alias(k) for k, v in TENSOR.items()])
     return rows.withColumn("dtype", F.expr(DTYPE))
 
