@@ -18,6 +18,12 @@ def plan_of(df, how="formatted"):
     return df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), how)
 
 
+@tables
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n.startswith("select_")])
+def test_nothing_that_grows_is_broadcast(spark, name):
+    assert "Broadcast" not in plan_of(entry.queries()[name](spark, FOLDER), "simple")
+
+
 @tables
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n.startswith("policy_")])
 def test_policies_shuffle_models_only_and_are_compiled(spark, name):
@@ -36,7 +42,7 @@ def models(spark, folder, keys):
     spark.createDataFrame([(k, 1 + abs(k or 3) % 50) for k in keys], "p_partkey long, p_size int").write.parquet(f"{folder}/part.parquet")
 
 
-@pytest.mark.parametrize("name", ["tensor_catalog", "policy_q3_k_xs", "policy_q4_k_m"])
+@pytest.mark.parametrize("name", ["tensor_catalog", "policy_q3_k_xs", "policy_q4_k_m", "select_int8"])
 def test_odd_models(spark, tmp_path, name):
     models(spark, tmp_path, (None, -9, -8, -1, 0, 1, 7, 23, 2**40))
     got, want = against_sql(spark, str(tmp_path), name)

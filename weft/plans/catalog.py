@@ -117,11 +117,13 @@ def action(chosen: str, target: str = "BF16") -> str:
 
 
 def plan(tensors: DataFrame, target: str = "BF16", **options) -> DataFrame:
-    """``tensors`` with ``chosen`` and ``action``; a bias whose weight is quantized is corrected."""
+    """``tensors`` with ``chosen`` and ``action``; a bias whose weight is quantized is corrected.
+
+    A window finds the weight: the list of weights grows with the catalog, and Spark, which takes it for small, would broadcast it.
+    """
     chosen = tensors.withColumn("chosen", F.expr(quantizable(**options))).withColumn("action", F.expr(action("chosen", target)))
-    base = F.regexp_replace("name", "[.](weight|bias)$", "")
-    weights = chosen.where("chosen").select("model", base.alias("base"), F.lit(True).alias("sibling"))
-    rows = chosen.withColumn("base", base).join(weights, ["model", "base"], "left")
+    rows = chosen.withColumn("base", F.regexp_replace("name", "[.](weight|bias)$", ""))
+    rows = rows.withColumn("sibling", F.expr("bool_or(chosen) over (partition by model, base) and model is not null"))
     return rows.withColumn("action", F.expr("CASE WHEN name LIKE '%.bias' AND sibling THEN 'bias_correct' ELSE action END")).drop("base", "sibling")
 
 
