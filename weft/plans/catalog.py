@@ -140,8 +140,12 @@ def first_wins(tensors: DataFrame) -> DataFrame:
 
 
 def remaining(tensors: DataFrame, done: DataFrame) -> DataFrame:
-    """What is left to do: tensors that aren't in (model, name) of ``done``."""
-    return tensors.join(done, ["model", "name"], "left_anti")
+    """What is left to do: tensors that aren't in (model, name) of ``done``, null names too.
+
+    ``done`` may be as long as the catalog, so it isn't broadcast: a window over both finds it.
+    """
+    both = tensors.withColumn("done", F.lit(False)).unionByName(done.select("model", "name").withColumn("done", F.lit(True)), allowMissingColumns=True)
+    return both.withColumn("done", F.expr("bool_or(done) over (partition by model, name)")).where("not done").drop("done")
 
 
 def finished_prefix(tensors: DataFrame) -> DataFrame:
