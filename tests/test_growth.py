@@ -19,7 +19,7 @@ def plan_of(df, how="formatted"):
 
 
 @tables
-@pytest.mark.parametrize("name", [*[n for n in entry.queries() if n.startswith("select_")], "resume_remaining", "loader_contract", "validate_structure", "validate_summary"])
+@pytest.mark.parametrize("name", [*[n for n in entry.queries() if n.startswith("select_")], "resume_remaining", "loader_contract", "validate_structure", "validate_summary", "importance_gate"])
 def test_nothing_that_grows_is_broadcast(spark, name):
     assert "Broadcast" not in plan_of(entry.queries()[name](spark, FOLDER), "simple")
 
@@ -42,7 +42,7 @@ def models(spark, folder, keys):
     spark.createDataFrame([(k, 1 + abs(k or 3) % 50) for k in keys], "p_partkey long, p_size int").write.parquet(f"{folder}/part.parquet")
 
 
-@pytest.mark.parametrize("name", ["tensor_catalog", "policy_q3_k_xs", "policy_q4_k_m", "select_int8", "resume_remaining"])
+@pytest.mark.parametrize("name", ["tensor_catalog", "policy_q3_k_xs", "policy_q4_k_m", "select_int8", "resume_remaining", "importance_gate"])
 def test_odd_models(spark, tmp_path, name):
     models(spark, tmp_path, (None, -9, -8, -1, 0, 1, 7, 23, 2**40))
     got, want = against_sql(spark, str(tmp_path), name)

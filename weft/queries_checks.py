@@ -246,5 +246,6 @@ _GATE = "CASE WHEN width_w IS NULL THEN CASE WHEN stored LIKE 'IQ%' AND gguf_nam
 def importance_gate(spark: SparkSession, folder: str) -> DataFrame:
     """What importance weights mean for each tensor: used, dropped, missing where they must be, or of the wrong width."""
     rows = policy.assign(catalog.named(tensors(spark, folder)), "iq2_m")
-    weights = rows.where("pos % 5 <> 0").select("model", "pos", F.expr("CASE WHEN pos % 7 = 0 OR pos = -2 THEN width + 1 ELSE width END").alias("width_w"))
-    return rows.join(weights, ["model", "pos"], "left").select("model", "gguf_name", "stored", F.expr(_GATE).alias("outcome"))
+    # The made-up weights are a function of the tensor's place; as a table to be joined they would be as long as the catalog.
+    rows = rows.withColumn("width_w", F.expr("CASE WHEN pos % 5 = 0 THEN NULL WHEN pos % 7 = 0 OR pos = -2 THEN width + 1 ELSE width END"))
+    return rows.select("model", "gguf_name", "stored", F.expr(_GATE).alias("outcome"))
